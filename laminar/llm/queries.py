@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import near_dedup, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
