@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality_rules, sharding
+from . import language_id, near_dedup, packing, quality_classifier, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_sharding": sharding.op2_sharding,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
