@@ -153,3 +153,47 @@ def shingles_of(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.empty(0, dtype=U))
     return out
+
+
+def text_slices(column, limit: int):
+    """Ranges (first, last) of rows of an Arrow string column of about limit bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield first, last
+        first = last
+
+
+def by_stretches(texts, odd: str, whole, ids_of, lead: str = ""):
+    """The ids of all texts of an Arrow string array without nulls, and the bounds of each text in them.
+
+    Texts that match the pattern ``odd`` go to ``whole``, which gives little-endian 32-bit ids of each. Of the others,
+    with ``lead`` before them, the stretches between spaces, with a line feed at the front of those that follow one, go
+    to ``ids_of`` once for each distinct one.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.large_string())
+    strange = pc.match_substring_regex(texts, odd)
+    alone = dict(zip(np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist(), [np.frombuffer(x, "<u4") for x in whole(texts.filter(strange).to_pylist())], strict=True))
+    usual = pc.replace_substring(pc.if_else(strange, "", texts), "\n", " \n")
+    led = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), usual, pa.scalar("", pa.large_string()))
+    lists = pc.split_pattern(led, " ")
+    coded = lists.flatten().dictionary_encode()
+    known = ids_of(coded.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+    flat, starts = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
+    index = coded.indices.to_numpy()
+    lengths = sizes[index]
+    ends = np.cumsum(lengths)
+    ids = flat[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+    if alone:
+        parts = [alone.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+        ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return ids, bounds

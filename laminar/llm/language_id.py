@@ -1,8 +1,8 @@
 """Language identification of spans: scripts narrow the candidates, and a Viterbi path over the words labels them.
 
 Training reads a bounded sample of labelled texts and counts, for each language, its words and the character n-grams of
-words with their boundaries. A word's score under a language is its smoothed log-probability a word, mixed with that of
-its n-grams, centred and clipped; only languages seen in the script of the word's letters compete, and a word without
+words with their boundaries. A word's score under a language is its smoothed log-probability as a word plus those of
+its n-grams, less the best language's, and clipped; only languages seen in the script of the word's letters compete, and a word without
 letters, or in a script no language was seen in, scores alike for all. Within a text, the best labelling of the words
 pays ``SWITCH`` for each change of language.
 
@@ -23,7 +23,10 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,7 @@ from ._shared import materialize
 
 #: At most about so many labelled texts train, drawn by a checksum of the key, and so many words of each language count.
 TRAIN_DOCS = 4000
-TRAIN_WORDS = 50_000
+TRAIN_WORDS = 30_000
 GRAM = 3
 SWITCH = 12.0
 CLIP = 6.0
@@ -59,9 +62,10 @@ SCRIPTS = (
 _BOUNDS = np.array([x for x, _ in SCRIPTS])
 
 
+@lru_cache(maxsize=1 << 16)
 def script(c: str) -> str:
-    """The script of a letter."""
-    return SCRIPTS[int(np.searchsorted(_BOUNDS, ord(c), side="right")) - 1][1]
+    """The script of a letter; empty for other characters."""
+    return SCRIPTS[int(np.searchsorted(_BOUNDS, ord(c), side="right")) - 1][1] if c.isalpha() else ""
 
 
 def letters_of(word: str) -> str:
@@ -78,52 +82,67 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log-probabilities a language: rows of words, n-grams, and what the unseen get; and the scripts of each."""
+    """Log-probabilities a language: rows by word, by n-gram, and the languages seen in each script."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-    scripts: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def score(self, word: str) -> np.ndarray:
-        """Of lower-case letters: a value for each language, 0 for those that lead; zeros if nothing speaks."""
-        none = np.zeros(len(self.langs))
-        if not word:
-            return none
-        able = np.zeros(len(self.langs), dtype=bool)
-        for c in set(word):
-            if c.isalpha() and (seen := self.scripts.get(script(c))) is not None:
-                able |= seen
-        if not able.any():
-            return none
-        own = [self.grams[g] for g in grams(word) if g in self.grams]
-        out = np.add.reduce(own) if own else none
-        if (known := self.words.get(word)) is not None:
-            out = out + known
+    word_at: dict[str, int]
+    words: np.ndarray
+    gram_at: dict[str, int]
+    grams: np.ndarray
+    scripts: dict[str, np.ndarray]
+
+    def able(self, scripts: frozenset[str]) -> np.ndarray:
+        """The languages seen in any of the scripts."""
+        none = np.zeros(len(self.langs), dtype=bool)
+        return np.logical_or.reduce([self.scripts.get(s, none) for s in scripts]) if scripts else none
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Of words in lower-case letters: for each language a value, 0 for those that lead; zeros if nothing speaks."""
+        k = len(self.langs)
+        if not words or not k:
+            return np.zeros((len(words), k))
+        get, lost = self.gram_at.get, len(self.gram_at)
+        at = [[get(g, lost) for g in grams(w)] for w in words]
+        sizes = np.fromiter(map(len, at), dtype=np.int64, count=len(at))
+        out = np.add.reduceat(self.grams[np.fromiter(chain.from_iterable(at), dtype=np.int64, count=int(sizes.sum()))], np.cumsum(sizes) - sizes)
+        known = self.word_at.get
+        out += self.words[[known(w, len(self.word_at)) for w in words]]
+        found: dict[frozenset, np.ndarray] = {}
+        able = np.empty((len(words), k), dtype=bool)
+        for i, w in enumerate(words):
+            own = frozenset(map(script, w)) - {""}
+            if (seen := found.get(own)) is None:
+                seen = found[own] = self.able(own)
+            able[i] = seen
         out = np.where(able, out, -np.inf)
-        return np.maximum(out - out.max(), -CLIP)
+        top = out.max(axis=1, keepdims=True)
+        return np.where(np.isfinite(top), np.maximum(out - np.where(np.isfinite(top), top, 0), -CLIP), 0.0)
 
 
-def fit(samples: dict[str, Counter], max_words: int = TRAIN_WORDS) -> Model:
+def _table(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of smoothed log-probabilities of what was counted twice or more in all, and a last row of zeros."""
+    total = Counter()
+    for c in counts:
+        total.update(c)
+    kept = sorted(x for x, n in total.items() if n > 1)
+    table = np.array([[c[x] for c in counts] for x in kept], dtype=np.float64).reshape(len(kept), len(counts))
+    sums = np.array([c.total() for c in counts], dtype=np.float64)
+    rows = np.log((table + 0.5) / (sums + 0.5 * max(1, len(total))))
+    return {x: i for i, x in enumerate(kept)}, np.vstack([rows, np.zeros(len(counts))])
+
+
+def fit(samples: dict[str, Counter]) -> Model:
     """From each language's words, in lower-case letters, with their counts."""
-    model = Model(sorted(samples))
-    k = len(model.langs)
-    tables: tuple[dict, dict] = ({}, {})
-    for i, lang in enumerate(model.langs):
-        for word, n in samples[lang].most_common(max_words):
-            tables[0].setdefault(word, np.zeros(k))[i] += n
+    langs = sorted(samples)
+    by_gram, by_script = [Counter() for _ in langs], [Counter() for _ in langs]
+    for lang, seen, scripts in zip(langs, by_gram, by_script, strict=True):
+        for word, n in samples[lang].items():
             for g in grams(word):
-                tables[1].setdefault(g, np.zeros(k))[i] += n
-            for c in set(word):
-                model.scripts.setdefault(script(c), np.zeros(k))[i] += n
-    for counts, out in zip(tables, (model.words, model.grams), strict=True):
-        total = np.sum(list(counts.values()), axis=0) if counts else np.ones(k)
-        for x, n in counts.items():
-            if n.sum() > 1:
-                out[x] = np.log((n + 0.5) / (total + 0.5 * len(counts)))
-    letters = sum(model.scripts.values()) if model.scripts else np.ones(k)
-    model.scripts = {s: n > 0.001 * letters for s, n in model.scripts.items()}
-    return model
+                seen[g] += n
+            scripts[script(word[0])] += n
+    sums = np.array([max(1, c.total()) for c in by_script], dtype=np.float64)
+    scripts = {s: np.array([c[s] for c in by_script]) > 0.001 * sums for s in set().union(*by_script) - {""}} if langs else {}
+    return Model(langs, *_table([samples[x] for x in langs]), *_table(by_gram), scripts)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -162,54 +181,44 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         self.index: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.langs)))
-        self.letters = np.zeros(1024, dtype=np.int64)
-
-    def _add(self, word: str) -> int:
-        i = len(self.index)
-        if i == len(self.scores):
-            self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        own = letters_of(word)
-        self.scores[i], self.letters[i] = self.model.score(own), len(own)
-        self.index[word] = i
-        return i
-
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words of a text, their scores, and their letters."""
-        if len(self.index) > CACHED_WORDS:
-            self.index.clear()
-        own = text.split()
-        get, add = self.index.get, self._add
-        at = [get(w, -1) for w in own]
-        if -1 in at:
-            at = [i if i >= 0 else (get(w, -1) if w in self.index else add(w)) for i, w in zip(at, own, strict=True)]
-        at = np.array(at, dtype=np.int64)
-        return own, self.scores[at], self.letters[at]
-
-    def labels(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """The words, the language of each as an index, their scores, and their letters."""
-        own, scores, letters = self.words(text)
-        if not own or not self.model.langs:
-            return own, np.zeros(len(own), dtype=np.int64), scores, letters
-        lead = settled(scores, self.switch)
-        return own, np.full(len(own), lead) if lead >= 0 else viterbi(scores, self.switch), scores, letters
-
-    def predict(self, text: str) -> tuple[str, float, int]:
+        self.values = np.zeros((0, len(model.langs)))
+        self.letters = np.zeros(0, dtype=np.int64)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.index) + len(words) > CACHED_WORDS:
+            self.index, self.values, self.letters = {}, self.values[:0], self.letters[:0]
+        if new := sorted(words - self.index.keys()):
+            own = [letters_of(w) for w in new]
+            self.index |= zip(new, range(len(self.index), len(self.index) + len(new)), strict=True)
+            self.values = np.vstack([self.values, self.model.scores(own)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, own), dtype=np.int64, count=len(own))])
+
+    def label(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: the words, the language of each as an index, their scores, and their letters."""
+        split = [t.split() for t in texts]
+        self._learn(set().union(*split))
+        get = self.index.__getitem__
+        for own in split:
+            at = np.fromiter(map(get, own), dtype=np.int64, count=len(own))
+            scores, letters = self.values[at], self.letters[at]
+            if not own or not self.model.langs:
+                yield own, np.zeros(len(own), dtype=np.int64), scores, letters
+                continue
+            lead = settled(scores, self.switch)
+            yield own, np.full(len(own), lead) if lead >= 0 else viterbi(scores, self.switch), scores, letters
+
+    def predict(self, labels: np.ndarray, scores: np.ndarray, letters: np.ndarray) -> tuple[str, float, int]:
         """The language of most letters, its score, and the number of spans."""
-        _, labels, scores, letters = self.labels(text)
         if not len(labels) or not self.model.langs or not (total := int(letters.sum())):
             return UNKNOWN, 0.0, 0
         share = np.bincount(labels, weights=letters, minlength=len(self.model.langs))
         best = int(share.argmax())
         own = scores[labels == best].sum(axis=0)
-        away = np.exp(np.clip(own - own[best], -50, 0))
-        posterior = 1 / max(1.0, away.sum())
+        posterior = 1 / np.exp(np.clip(own - own[best], -50, 0)).sum()
         return self.model.langs[best], float(share[best] / total * posterior), int(np.count_nonzero(np.diff(labels))) + 1
 
-    def spans(self, text: str) -> list[tuple[str, str]]:
+    def spans(self, own: list[str], labels: np.ndarray, letters: np.ndarray) -> list[tuple[str, str]]:
         """(language, words) of each stretch in one language."""
-        own, labels, _, letters = self.labels(text)
         if not own or not letters.any() or not self.model.langs:
             return [(UNKNOWN, " ".join(own))] if own else []
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(own)]
@@ -272,14 +281,14 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         labeller = Labeller(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = [labeller.predict(t) for t in texts]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                marked = list(labeller.label([t or "" for t in part.column(1).to_pylist()]))
+                found = [labeller.predict(*x[1:]) for x in marked]
                 columns = [part.column(0), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int32())))]
                 names = [key, "lang_pred", "score", "n_spans"]
                 if spans:
-                    pairs = [[{"lang": a, "text": b} for a, b in labeller.spans(t)] for t in texts]
+                    pairs = [[{"lang": a, "text": b} for a, b in labeller.spans(x[0], x[1], x[3])] for x in marked]
                     columns.append(pa.array(pairs, pa.list_(pa.struct([("lang", pa.string()), ("text", pa.string())]))))
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(columns, names)

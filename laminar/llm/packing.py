@@ -18,13 +18,12 @@ an empty table gives an empty result; extra columns of the input are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import by_stretches, materialize, text_slices
 
 SEQUENCE = 1024
 END_ID = 2
@@ -101,7 +100,7 @@ class Encoder:
         self.words |= found
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        out = list(map(self.words.get, words))
+        out = list(map(self.words.get, [w if w != "\r" else "" for w in words]))
         if missing := [i for i, x in enumerate(out) if x is None]:
             for i in missing:
                 out[i] = self.older.get(words[i])
@@ -114,27 +113,7 @@ class Encoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of an Arrow string array without nulls, and the bounds of each text in them."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        texts = texts.cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, self.UNUSUAL)
-        whole = dict(zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), map(lambda x: np.frombuffer(x, "<u4"), self._whole(texts.filter(odd).to_pylist())), strict=True))
-        usual = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
-        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), usual, pa.scalar("", pa.large_string())), " ")
-        coded = lists.flatten().dictionary_encode()
-        known = self._ids_of([w if w != "\r" else "" for w in coded.dictionary.to_pylist()]) if len(coded.dictionary) else []
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        flat, starts = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy()
-        lengths = sizes[index]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
-        if whole:
-            parts = [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
-            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        return ids, bounds
+        return by_stretches(texts, self.UNUSUAL, self._whole, self._ids_of, "\r")
 
 
 def encoder(path: str) -> Encoder:
@@ -151,19 +130,6 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n, limit)]
 
 
-def _slices(column, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about limit bytes of text, one row at least."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < len(ends):
-        done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
-        yield first, last
-        first = last
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -182,7 +148,7 @@ def pieces(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None,
 
         task, ranks, enc = TaskContext.get().partitionId(), np.zeros(limit + 1, dtype=np.int64), encoder(path)
         for batch in batches:
-            for first, last in _slices(batch.column(1), BLOCK_BYTES):
+            for first, last in text_slices(batch.column(1), BLOCK_BYTES):
                 keys = batch.column(0).slice(first, last - first)
                 ids, bounds = enc.encode(pc.fill_null(batch.column(1).slice(first, last - first), ""))
                 rows, place, starts, lengths, own, crcs, order = [], [], [], [], [], [], []
