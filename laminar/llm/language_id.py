@@ -297,6 +297,24 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_WORDS for each language
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                found = [labeller.predict(*x[1:]) for x in labeller.label([t or "" for t in part.column(at).to_pylist()])]
+                yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return label(docs, train(docs)).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "n_spans")
