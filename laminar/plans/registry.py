@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminar.plans import dsl, scan_queries
+from laminar.plans.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {**scan_queries.Q}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return dsl.run(table(spark, sf_dir, "lineitem"), "SELECT l_orderkey, l_extendedprice LIMIT 5 OFFSET 100 STRIPE 0")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
