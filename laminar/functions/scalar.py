@@ -50,8 +50,8 @@ def same_map(a, b) -> Column:
 
 def decimal_scale(x, exponent: int) -> tuple[Column, Column]:
     """The value times a power of ten, rounded, and whether dividing gives the value back exactly."""
-    scaled = F.rint(_c(x) * float(10**exponent)).cast("long")
-    return scaled, scaled / float(10**exponent) == _c(x)
+    scaled = F.rint(_c(x) * float(10**exponent)).try_cast("long")  # null past the range of a long
+    return scaled, F.coalesce(scaled / float(10**exponent) == _c(x), _c(x).isNull())
 
 
 def pack(rows: DataFrame, width: int, per_word: int) -> DataFrame:

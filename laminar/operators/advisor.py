@@ -8,6 +8,7 @@ Doubles count as ranges of all 64 bits, because SQL cannot see their bit pattern
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -108,7 +109,7 @@ def bool_estimates() -> dict[str, Column]:
 def unsigned(c: Column, width: int) -> Column:
     """A signed integer as the unsigned one of the same bits, in a decimal that holds 64 of them."""
     wide = c.cast("decimal(20,0)")
-    return F.when(c < 0, wide + F.lit(1 << (8 * width)).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(c < 0, wide + F.lit(Decimal(1 << (8 * width)))).otherwise(wide)
 
 
 def facts(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
@@ -129,7 +130,7 @@ def facts(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
     if isinstance(kind, T.BooleanType):
         return counted.groupBy(by).agg(*sums, F.sum(F.when(F.col("v"), F.col("c")).otherwise(0)).alias("ones")).join(run, by)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        whole = F.lit((1 << (8 * WIDTHS[kind.typeName()])) - 1).cast("decimal(20,0)")
+        whole = F.lit(Decimal((1 << (8 * WIDTHS[kind.typeName()])) - 1))
         return counted.groupBy(by).agg(*sums).withColumn("span", whole).join(run, by)
     as_long = F.unix_micros(F.col("v").cast("timestamp")) if kind.typeName().startswith("timestamp") else F.col("v").cast("long")
     u = counted.withColumn("u", unsigned(as_long, WIDTHS[kind.typeName()]))
