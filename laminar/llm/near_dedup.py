@@ -334,9 +334,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     trees = tree_count(percent / 100, recall, 2)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = materialize(sketches(docs, k, percent, trees), "sketches")
-    linkable = held.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(linkable.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
-    sketched = linkable.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi")
+    # One row for each class: equal sets have equal nodes and bytes. Copies are joined before they are shuffled.
+    linkable = held.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
+    sketched = materialize(linkable.agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = sketched.select("digest", F.col("doc_id").alias("class_id"))
     likely = likely_links(sketched, percent)
     families = materialize(components(likely).select(F.col("id").alias("doc_id"), F.col("root").alias("family")), "families")
     sizes = families.groupBy("family").count()
