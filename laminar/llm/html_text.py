@@ -144,6 +144,8 @@ LABELLED = (
     ((3, 1.0, 2, 1.0, 9, 0.0, 0, 0), 0), ((4, 1.0, 1, 1.0, 40, 0.0, 0, 1), 0), ((1, 1.0, 1, 1.0, 7, 0.0, -1, 1), 0),
     ((6, 1.0, 5, 1.0, 8, 1.0, 1, 0), 0), ((3, 0.67, 4, 1.0, 3, 1.0, 1, 0), 0), ((8, 0.9, 60, 0.0, 9, 1.0, 1, 0), 0),
     ((14, 0.9, 12, 1.0, 13, 0.8, 0, 0), 0), ((25, 0.8, 30, 0.9, 4, 1.0, 0, 0), 0), ((20, 0.6, 3, 1.0, 2, 1.0, 0, 0), 0),
+    ((1, 1.0, 0, 0.0, 48, 0.0, 0, 0), 0), ((2, 1.0, 1, 1.0, 60, 0.0, 0, 0), 0), ((5, 1.0, 0, 0.0, 25, 0.0, 0, 0), 0),
+    ((4, 1.0, 70, 0.0, 50, 0.0, 1, 0), 0), ((2, 1.0, 40, 0.0, 35, 0.0, 1, 0), 0), ((3, 1.0, 80, 0.0, 0, 0.0, 1, 0), 0),
     # Adverts, notices and forms, named as such by their part.
     ((7, 0.0, 1, 1.0, 10, 0.0, -1, 1), 0), ((24, 0.0, 1, 1.0, 8, 0.0, -1, 0), 0), ((60, 0.1, 5, 0.0, 50, 0.0, -1, 0), 0),
     ((12, 0.2, 45, 0.0, 30, 0.0, -1, 0), 0), ((3, 0.0, 20, 0.0, 0, 0.0, -1, 1), 0), ((120, 0.0, 80, 0.0, 90, 0.0, -1, 1), 0),
@@ -156,11 +158,14 @@ LABELLED = (
     ((4, 0.0, 50, 0.0, 80, 0.0, 1, 0), 1), ((80, 0.0, 9, 0.0, 8, 0.0, 1, 0), 1), ((140, 0.05, 80, 0.0, 30, 0.0, 1, 0), 1),
     ((35, 0.1, 50, 0.0, 6, 0.0, 1, 0), 1), ((12, 0.25, 40, 0.0, 15, 0.1, 1, 0), 1), ((6, 0.0, 5, 0.0, 7, 0.0, 1, 0), 1),
     ((3, 0.0, 4, 0.0, 0, 0.0, 1, 0), 1), ((22, 0.4, 30, 0.0, 25, 0.0, 1, 0), 1), ((10, 0.0, 0, 0.0, 0, 0.0, 1, 0), 1),
+    ((70, 0.0, 30, 0.0, 2, 1.0, 1, 0), 1), ((12, 0.05, 30, 0.0, 4, 1.0, 1, 0), 1), ((5, 0.0, 90, 0.0, 3, 1.0, 1, 0), 1),
+    ((40, 0.0, 6, 1.0, 9, 1.0, 1, 0), 1), ((9, 0.1, 1, 1.0, 2, 1.0, 1, 0), 1),
     # Pages that name no part: long text with few links, and short blocks between long ones.
     ((45, 0.0, 8, 0.0, 60, 0.0, 0, 0), 1), ((90, 0.05, 45, 0.0, 30, 0.0, 0, 0), 1), ((30, 0.1, 60, 0.0, 5, 0.2, 0, 0), 1),
     ((18, 0.0, 50, 0.0, 40, 0.0, 0, 0), 1), ((5, 0.0, 70, 0.0, 60, 0.0, 0, 0), 1), ((7, 0.0, 40, 0.0, 35, 0.0, 0, 0), 1),
     ((12, 0.0, 30, 0.0, 20, 0.0, 0, 0), 1), ((25, 0.2, 20, 0.1, 30, 0.0, 0, 0), 1), ((6, 0.0, 2, 1.0, 55, 0.0, 0, 0), 1),
     ((16, 0.0, 3, 0.0, 3, 0.0, 0, 0), 1), ((22, 0.0, 0, 0.0, 0, 0.0, 0, 0), 1), ((8, 0.0, 0, 0.0, 40, 0.0, 0, 0), 1),
+    ((60, 0.0, 45, 0.0, 1, 1.0, 0, 0), 1), ((50, 0.0, 60, 0.0, 3, 1.0, 0, 0), 1), ((33, 0.1, 20, 0.0, 6, 1.0, 0, 0), 1),
     # Short blocks there that stand among short ones.
     ((3, 0.0, 2, 0.0, 4, 0.0, 0, 0), 0), ((5, 0.0, 4, 1.0, 3, 0.0, 0, 0), 0), ((6, 0.2, 3, 0.0, 0, 0.0, 0, 0), 0),
     ((4, 0.0, 35, 0.0, 0, 0.0, 0, 0), 0), ((7, 0.0, 5, 0.0, 2, 1.0, 0, 0), 0), ((2, 0.0, 40, 0.0, 1, 1.0, 0, 0), 0),

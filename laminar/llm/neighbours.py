@@ -131,6 +131,8 @@ def _start(points: DataFrame, n: int, dims: int) -> DataFrame:
         ids = table.column(0).to_numpy()
         return _offers(ids, *_compare(ids, _codes(table.column(1)), DEGREE // PROJECTIONS + 2))
 
+    # As many ranges as there are blocks, at most, so that few points are not each alone in a range.
+    ranges = max(1, min(n, points.count() // BLOCK))
     draw = np.random.default_rng(SEED)
     out = None
     for _ in range(PROJECTIONS):
@@ -144,7 +146,8 @@ def _start(points: DataFrame, n: int, dims: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.float64())], ["node", "code", "at"])
 
         laid = points.mapInArrow(project, "node long, code binary, at double")
-        ranged = laid.repartitionByRange(n, "at", "node").sortWithinPartitions("at", "node").select("node", "code")
+        dealt = laid.repartitionByRange(ranges, "at", "node") if ranges > 1 else laid.coalesce(1)
+        ranged = dealt.sortWithinPartitions("at", "node").select("node", "code")
         found = ranged.mapInArrow(run, GRAPH)
         out = found if out is None else out.unionByName(found)
     return out
