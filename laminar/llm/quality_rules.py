@@ -105,8 +105,8 @@ _WS = r"[\x20\x09-\x0D]+"
 ORACLE = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS words FROM docs),
-pos AS (SELECT rid, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
-win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + 7], ' ')) AS c FROM pos),
+pos AS (SELECT rid, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS s FROM w WHERE len(words) >= 8),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM pos),
 dup AS (SELECT rid, i, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + 8) - i) AS n FROM win WHERE c > 1),
 rep AS (SELECT rid, sum(n)::BIGINT AS n_repeat_words FROM dup GROUP BY rid),
 line AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM docs),
