@@ -29,13 +29,13 @@ from ._shared import materialize, shuffle_partitions
 from .near_dedup import _groups
 
 #: Neighbours of a node in the graph, reverse ones drawn for a round, and matches offered to a node by another.
-DEGREE, REVERSE, OFFERS = 24, 24, 8
+DEGREE, REVERSE, OFFERS = 32, 32, 12
 BLOCK = 512
 PROJECTIONS = 3
-ROUNDS = 8
+ROUNDS = 5
 #: The build ends when fewer than this share of the graph's entries changed in a round.
-SETTLED = 0.02
-BEAM, EXPAND, STEPS = 128, 24, 8
+SETTLED = 0.01
+BEAM, EXPAND, STEPS = 192, 32, 8
 SEED = 11
 
 
@@ -153,13 +153,21 @@ def _start(points: DataFrame, n: int, dims: int) -> DataFrame:
     return out
 
 
-def _round(graph: DataFrame, points: DataFrame, n: int) -> DataFrame:
-    """The graph after each node has compared its neighbours, forward and reverse, with each other."""
+def _around(graph: DataFrame) -> DataFrame:
+    """(centre, member): each node's neighbours, forward and up to REVERSE drawn ones that it is a neighbour of.
+
+    A member that is both comes twice.
+    """
     forward = graph.select(F.col("node").alias("centre"), F.explode("near").alias("member"))
     drawn = Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre"))
     reverse = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
     reverse = reverse.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= REVERSE).drop("_r")
-    around = forward.unionByName(reverse).distinct().join(points, F.col("member") == F.col("node")).select("centre", "member", "code")
+    return forward.unionByName(reverse)
+
+
+def _round(graph: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """The graph after each node has compared its neighbours, forward and reverse, with each other."""
+    around = _around(graph).join(points, F.col("member") == F.col("node")).select("centre", "member", "code")
 
     def run(batches):
         for table, starts in _groups(batches):
@@ -167,9 +175,10 @@ def _round(graph: DataFrame, points: DataFrame, n: int) -> DataFrame:
             ids, codes = table.column(1).to_numpy(), _codes(table.column(2))
             nodes, near, sims = [], [], []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s > 1:
-                    a, b = _compare(ids[s:e], codes[s:e], OFFERS)
-                    nodes.append(ids[s:e])
+                own, first = np.unique(ids[s:e], return_index=True)
+                if len(own) > 1:
+                    a, b = _compare(own, codes[s:e][first], OFFERS)
+                    nodes.append(own)
                     near += a
                     sims += b
             if nodes:
@@ -199,8 +208,8 @@ STATE = "query long, code binary, near array<long>, sims array<float>, open arra
 def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
     """(query, near, sims): the BEAM best nodes that greedy search from starts (query, code, near, sims, open) finds."""
     n = shuffle_partitions(points.sparkSession)
-    # Each node with the codes of its neighbours.
-    edges = graph.select("node", F.explode("near").alias("member"))
+    # Each node with the codes of its neighbours in either direction.
+    edges = _around(graph).withColumnRenamed("centre", "node")
     coded = edges.join(points.withColumnRenamed("node", "member"), "member").groupBy("node").agg(F.collect_list(F.struct("member", "code")).alias("around"))
     hops = materialize(coded.select("node", F.col("around.member").alias("members"), F.col("around.code").alias("codes")), "hops")
 
