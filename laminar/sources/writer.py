@@ -187,3 +187,11 @@ def may_hold(filter_blocks: DataFrame, probes: DataFrame, key: str, bits: int, h
         bit = _probe(key, i)
         found = found & (F.coalesce(F.getbit(F.col(f"w{i}"), bit % 32), F.lit(0)) == 1)
     return joined.withColumn("maybe", found).select(*probes.columns, "maybe")
+
+
+def compression_rate(spark, path: str) -> DataFrame:
+    """(raw, stored, rate): raw bytes of a written table against those of its files."""
+    data = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id")
+    raw = raw_bytes(data).agg(F.sum("bytes").alias("raw"))
+    stored = spark.read.format("binaryFile").load(f"{path}/data/*.parquet").agg(F.sum("length").alias("stored"))
+    return raw.crossJoin(stored).withColumn("rate", F.col("raw") / F.col("stored"))  # two single rows
