@@ -11,8 +11,9 @@ The steps:
 
 1. each document's shingle set, its digest, its minwise values and those cut to bytes (written);
 2. documents with equal sets form a class, whose smallest id stands for it from here on;
-3. nodes of all trees, as (path, id, bytes); nodes above ``NODE`` rows are split by further levels, then by pairs of
-   blocks, so no task holds a large node; each node gives a forest of its likely links, at most a row for each member;
+3. nodes of all trees, as (path, id, bytes); a node of up to ``NODE`` rows branches in its task until ``LEAF`` rows are
+   left, larger ones are dealt out by their branches, then by pairs of blocks, so no task holds a very large node; each
+   gives forests of its likely links, at most a row for each member;
 4. likely links are joined into families by contracting stars, iteratively, each round written;
 5. each family is compared exhaustively once more on the full sets, worked out from the texts again: links are confirmed
    by exact counts, pairs already connected by confirmed links are passed over, and pairs whose minwise values differ too
@@ -44,9 +45,11 @@ PERCENT = 85
 RECALL = 0.9999
 POSITIONS = 128
 SEED = 20260
-#: Rows of a node that are compared exhaustively; larger ones branch again.
-NODE = 4096
+#: Rows of a node that are compared exhaustively; larger ones branch again, up to so many levels.
+LEAF = 1024
 LEVELS = 4
+#: Rows of a node that one task holds and branches in memory; larger ones are dealt out by their branches first.
+NODE = 16384
 #: Members of a family, or of a node that no branching divides, that one task compares with each other.
 BLOCK = 2048
 
@@ -179,6 +182,22 @@ def forest(sketch: np.ndarray, least: int, sides: np.ndarray | None = None) -> l
     return out
 
 
+def branched(sketch: np.ndarray, path: int, threshold: float, least: int, level: int = 0) -> list[tuple[int, int]]:
+    """Likely links in a node, branching while it is large: at each chosen position by the rows' values there."""
+    if len(sketch) <= LEAF or level >= LEVELS:
+        return forest(sketch, least)
+    out = []
+    for position in chosen(path, threshold, POSITIONS):
+        values = sketch[:, position]
+        order = np.argsort(values, kind="stable")
+        cuts = np.flatnonzero(np.diff(values[order])) + 1
+        for own in np.split(order, cuts):
+            if len(own) > 1:
+                below = int(child(path & (2**64 - 1), position, values[own[:1]])[0])
+                out += [(int(own[i]), int(own[j])) for i, j in branched(sketch[own], below, threshold, least, level + 1)]
+    return out
+
+
 LINKS = "a long, b long"
 
 
@@ -194,14 +213,17 @@ def likely_links(held: DataFrame, percent: int) -> DataFrame:
 
         for table, starts in _groups(batches):
             ends = np.append(starts[1:], table.num_rows)
-            ids, sides = table.column(2).to_numpy(), table.column(1).to_numpy()
+            paths, sides, ids = (table.column(i).to_numpy() for i in range(3))
             a, b = [], []
             several = np.flatnonzero(ends - starts > 1)
             for g in several.tolist():
                 s, e = int(starts[g]), int(ends[g])
                 own = _matrix(table.column(3).slice(s, e - s))
-                two = sides[s:e] if sides[s] >= 0 and sides[s:e].min() != sides[s:e].max() else None
-                for i, j in forest(own, least, two):
+                if sides[s] < 0:
+                    found = branched(own, int(paths[s]), threshold, least)
+                else:
+                    found = forest(own, least, sides[s:e] if sides[s:e].min() != sides[s:e].max() else None)
+                for i, j in found:
                     a.append(min(ids[s + i], ids[s + j]))
                     b.append(max(ids[s + i], ids[s + j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -335,7 +357,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = materialize(sketches(docs, k, percent, trees), "sketches")
     # One row for each class: equal sets have equal nodes and bytes. Copies are joined before they are shuffled.
-    # One row for each class: equal sets have equal nodes and bytes. Copies are joined before they are shuffled.
     linkable = held.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
     sketched = materialize(linkable.agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch")), "classes")
     classes = sketched.select("digest", F.col("doc_id").alias("class_id"))
