@@ -1,4 +1,4 @@
-"""Each registered query of the library gives the rows of its SQL on the smallest test tables."""
+"""Each registered query of the library gives the rows of its SQL on the test tables."""
 
 import datetime
 import decimal
@@ -11,7 +11,7 @@ import pytest
 
 from laminar.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
