@@ -9,9 +9,9 @@ for a pair just at the threshold.
 
 The steps:
 
-1. each document's shingle set, its digest, its minwise values and those cut to bytes (written);
+1. each document's shingle set, its digest, its nodes at the first level, and its minwise values cut to four bits (written);
 2. documents with equal sets form a class, whose smallest id stands for it from here on;
-3. nodes of all trees, as (path, id, bytes); a node of up to ``NODE`` rows branches in its task until ``LEAF`` rows are
+3. nodes of all trees, as (path, id, bits); a node of up to ``NODE`` rows branches in its task until ``LEAF`` rows are
    left, larger ones are dealt out by their branches, then by pairs of blocks, so no task holds a very large node; each
    gives forests of its likely links, at most a row for each member;
 4. likely links are joined into families by contracting stars, iteratively, each round written;
@@ -70,6 +70,12 @@ def minwise(sets: list[np.ndarray], positions: int = POSITIONS) -> np.ndarray:
     return out
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """The low four bits of each value, two to a byte."""
+    low = (values & 0xF).astype(np.uint8)
+    return low[:, 0::2] << 4 | low[:, 1::2]
+
+
 def tree_count(threshold: float, recall: float, levels: int) -> int:
     """Trees needed for a pair at the threshold to meet in a node, if branching goes on for ``levels`` levels."""
     apart = 0.0
@@ -95,7 +101,7 @@ SKETCHED = "doc_id long, n_shingles long, digest binary, roots array<long>, sket
 
 
 def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's set size, the digest of its set, its nodes at the first level, and its minwise bytes."""
+    """Each document's set size, the digest of its set, its nodes at the first level, and its packed minwise values."""
     threshold = percent / 100
     branches = [(tree, position) for tree in range(trees) for position in chosen(tree - trees, threshold, POSITIONS)]
 
@@ -108,7 +114,7 @@ def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_
                 full = [s for s in sets if len(s)]
                 values = minwise(full)
                 roots = np.stack([child(tree - trees, position, values[:, position]) for tree, position in branches], axis=1)
-                low = (values & 0xFF).astype(np.uint8)
+                low = packed(values)
                 at = iter(range(len(full)))
                 place = [next(at) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +154,11 @@ def _groups(batches):
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    """The values of packed sketches, a row each."""
+    both = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    out = np.empty((len(both), 2 * both.shape[1]), dtype=np.uint8)
+    out[:, 0::2], out[:, 1::2] = both >> 4, both & 0xF
+    return out
 
 
 class Union:
@@ -204,7 +214,8 @@ LINKS = "a long, b long"
 def likely_links(held: DataFrame, percent: int) -> DataFrame:
     """Forests of likely links in the nodes of all trees, over the representatives ``held``."""
     threshold = percent / 100
-    least = math.ceil(POSITIONS * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
+    agree = threshold + (1 - threshold) / 16  # four bits agree by chance as well
+    least = math.ceil(POSITIONS * (agree - 4 * math.sqrt(agree * (1 - agree) / POSITIONS)))
     spark = held.sparkSession
     n = shuffle_partitions(spark)
 
