@@ -97,15 +97,13 @@ def _oracle() -> str:
         out += [f"{name}{i} AS ({step(shards)} FROM {name}{i - 1})" for i in range(1, shards + 1)]
         return ",\n".join(out)
 
-    # The sixteen entries of the CRC-32 table for four bits at a time.
-    nibbles = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
-    half = "xor((crc >> 4), {t}[((xor(crc, {x})) & 15) + 1])"
+    table = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
     return f"""
 WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS raw FROM documents),
-hexed AS (SELECT rid, hex(raw) AS h, octet_length(raw) AS n FROM docs),
-crc AS (SELECT rid, xor(list_reduce(list_transform(range(0, 2 * n + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT
-      ELSE (strpos('0123456789ABCDEF', h[(CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END)::INT]) - 1)::BIGINT END),
-      lambda crc, x: {half.format(t=nibbles, x='x')}), 4294967295)::BIGINT AS text_crc32, (n + 1)::BIGINT AS size FROM hexed),
+crc_table AS (SELECT {table} AS t),
+hexed AS (SELECT rid, list_transform(string_split(hex(raw), ''), lambda c: strpos('0123456789ABCDEF', c) - 1) AS d, octet_length(raw) AS n, t FROM docs, crc_table),
+crc AS (SELECT rid, xor(list_reduce(list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE 16 * d[2 * i - 1] + d[2 * i] END),
+      lambda crc, x: xor(crc >> 8, t[((xor(crc, x)) & 255) + 1])), 4294967295)::BIGINT AS text_crc32, (n + 1)::BIGINT AS size FROM hexed),
 {chain('a', SHARDS)},
 {chain('g', SHARDS + 1)}
 SELECT doc_id, size, text_crc32, 'key' AS law, a{SHARDS}.b::INT AS shard,
