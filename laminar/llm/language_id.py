@@ -41,7 +41,7 @@ GRAM = 3
 SWITCH = 12.0
 CLIP = 6.0
 UNKNOWN = "und"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 #: First code points of ranges of letters by script, in order; code points before the first are Latin.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -185,9 +185,11 @@ class Labeller:
         self.letters = np.zeros(0, dtype=np.int64)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.index) + len(words) > CACHED_WORDS:
+        new = words - self.index.keys()
+        if len(self.index) + len(new) > CACHED_WORDS:
             self.index, self.values, self.letters = {}, self.values[:0], self.letters[:0]
-        if new := sorted(words - self.index.keys()):
+            new = words
+        if new := sorted(new):
             own = [letters_of(w) for w in new]
             self.index |= zip(new, range(len(self.index), len(self.index) + len(new)), strict=True)
             self.values = np.vstack([self.values, self.model.scores(own)])
