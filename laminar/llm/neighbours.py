@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, and queries search it greedily.
 
 Dong, Moses and Li, "Efficient k-nearest neighbor graph construction for generic similarity measures" (2011). Equal
-vectors form a class, indexed once; of a class only the members with the smallest ids can be among the nearest, so as
-many are kept as a query can return. The graph starts from blocks of bounded size along random projections, compared
+vectors form a class, of which only the members with the smallest ids can be among the nearest, so as many are kept as a
+query can return. Vectors of one code, as positively scaled copies are, form a node, indexed once. The graph starts from blocks of bounded size along random projections, compared
 within each. Then each round joins neighbours of neighbours: every node gathers its neighbours, forward and reverse,
 compares them with each other, and offers each its best matches, which are merged into the graph. Rounds end when few
-entries change. Vectors travel as bytes of their scaled components during the build and the search.
+entries change. Vectors travel as 16-bit codes of their scaled components during the build and the search.
 
 A query starts at its own class's neighbours and, in rounds, expands the best nodes not yet expanded, joining them with
-the graph; the best ``BEAM`` seen stay. Scores of the result are cosines in double precision of the original vectors.
+the graph. The best ``BEAM`` seen stay, and all others seen whose score by codes is so near to that of the last place
+asked for that the error of the codes, which is measured, can hide their order: these are expanded too, and all members
+of all nodes within that error are scored on the original vectors, with cosines in double precision. A query in a group
+of near copies closer than that error thus meets the group, as far as ``STEPS`` rounds reach. Cosines are given to ``PLACES`` places, so that the
+rounding of scaled copies makes no order among them.
 
 Reverse neighbours of a node are drawn, as in the paper, up to a fixed number by a hash; recall is measured against
 brute force in the tests and, for the query's own tables, in the README.
@@ -36,6 +40,9 @@ ROUNDS = 5
 #: The build ends when fewer than this share of the graph's entries changed in a round.
 SETTLED = 0.01
 BEAM, EXPAND, STEPS = 192, 32, 8
+#: Nodes expanded in a round at most, where so many are within the error of the codes.
+CLOSE = 256
+PLACES = 13
 SEED = 11
 
 
@@ -46,9 +53,9 @@ def usable(vector: str) -> Column:
 
 
 def _code(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors as bytes, each scaled to its largest component."""
+    """Vectors in 16 bits a component, each scaled to its largest component."""
     top = np.abs(vectors).max(axis=1, keepdims=True)
-    return np.round(vectors / top * 127).astype(np.int8)
+    return np.round(vectors / top * 32767).astype(np.int16)
 
 
 def _unit(codes: np.ndarray) -> np.ndarray:
@@ -57,7 +64,7 @@ def _unit(codes: np.ndarray) -> np.ndarray:
 
 
 def _codes(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(len(column), -1)
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -205,8 +212,9 @@ def build(points: DataFrame, dims: int) -> DataFrame:
 STATE = "query long, code binary, near array<long>, sims array<float>, open array<long>"
 
 
-def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
-    """(query, near, sims): the BEAM best nodes that greedy search from starts (query, code, near, sims, open) finds."""
+def search(graph: DataFrame, points: DataFrame, starts: DataFrame, k: int, margin: float) -> DataFrame:
+    """(query, near, sims): of the nodes that greedy search from starts (query, code, near, sims, open) finds, those less
+    than margin below the k-th best."""
     n = shuffle_partitions(points.sparkSession)
     # Each node with the codes of its neighbours in either direction.
     edges = _around(graph).withColumnRenamed("centre", "node")
@@ -232,12 +240,15 @@ def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
                     fresh = ~np.isin(ids, near)
                     ids, at = ids[fresh], at[fresh]
                     if len(ids):
-                        own = _unit(np.frombuffer(code, dtype=np.int8)[None, :])[0]
-                        found = _unit(np.frombuffer(b"".join([flat[i] for i in at]), dtype=np.int8).reshape(len(at), -1)) @ own
+                        own = _unit(np.frombuffer(code, dtype=np.int16)[None, :])[0]
+                        found = _unit(np.frombuffer(b"".join([flat[i] for i in at]), dtype=np.int16).reshape(len(at), -1)) @ own
                         near, sims = np.concatenate([near, ids]), np.concatenate([sims, found.astype(np.float32)])
-                order = np.argsort(-sims, kind="stable")[:BEAM]
+                order = np.argsort(-sims, kind="stable")
+                close = int(np.count_nonzero(sims >= sims[order[min(k, len(order)) - 1]] - margin)) if len(order) else 0
+                order = order[: max(BEAM, close)]
                 near, sims = near[order], sims[order]
-                opened = [x for x in near.tolist() if x not in done][:EXPAND]
+                unsure = sum(x not in done for x in near[:close].tolist())
+                opened = [x for x in near.tolist() if x not in done][: min(max(EXPAND, unsure), CLOSE)]
                 rows.append((queries[s], code, near, sims, opened, sorted(done & set(near.tolist()))))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = list(zip(*rows, strict=True))
@@ -251,7 +262,9 @@ def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
         state = materialize(grouped.mapInArrow(run, STATE + ", done array<long>"), "beam")
         if state.where(F.size("open") > 0).isEmpty():
             break
-    return state.select("query", "near", "sims")
+    least = F.element_at("sims", F.least(F.lit(k), F.size("sims"))) - F.lit(margin)
+    close = F.when(F.size("sims") > 0, F.size(F.filter("sims", lambda x: x >= least))).otherwise(0)
+    return state.select("query", F.slice("near", F.lit(1), close).alias("near"), F.slice("sims", F.lit(1), close).alias("sims"))
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -265,34 +278,44 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     held = materialize(rows.where(F.size("v") == dims).withColumn("class", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))), "vectors")
     # Members that can be among the k nearest: the k + 1 smallest ids of each class, cut to that within each task first.
     ranked = held.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1)
-    members = materialize(ranked.select("class", "id", "v", "_r"), "members")
 
     def code(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                values = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dims)
-                codes = _code(values / np.abs(values).max(axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "code"])
-
-    points = materialize(members.where("_r = 1").select("class", "v").mapInArrow(code, "node long, code binary"), "points")
+                values = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, dims)
+                values = values / np.abs(values).max(axis=1, keepdims=True)
+                codes = _code(values)
+                exact, rough = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (values, codes.astype(np.float64)))
+                lost = pa.array(np.linalg.norm(exact - rough, axis=1), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), lost], ["class", "id", "v", "code", "lost"])
+
+    coded = ranked.select("class", "id", "v").mapInArrow(code, "class long, id long, v array<double>, code binary, lost double")
+    members = materialize(coded.withColumn("node", F.xxhash64("code")), "members")
+    points = materialize(members.groupBy("node").agg(F.first("code").alias("code")), "points")
+    # A score by codes errs by the loss of both codes and the rounding of single precision, and so does the one it is held against.
+    lost = members.agg(F.max("lost")).first()[0]
+    margin = 4 * (lost + dims * 2.0**-24)
     graph = build(points, dims)
-    asked = held.where("asks").select("class").distinct()
-    starts = asked.join(points, asked["class"] == points["node"]).join(graph.withColumnRenamed("node", "n"), F.col("class") == F.col("n"), "left")
+    nodes = members.select("class", "node").distinct()
+    asked = held.where("asks").select("class").distinct().join(nodes, "class").select("node").distinct()
+    starts = asked.join(points, "node").join(graph.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     nothing = F.array().cast("array<long>")
     starts = starts.select(
-        F.col("class").alias("query"), "code", F.coalesce("near", nothing).alias("near"),
+        F.col("node").alias("query"), "code", F.coalesce("near", nothing).alias("near"),
         F.coalesce("sims", F.array().cast("array<float>")).alias("sims"), F.coalesce(F.slice("near", 1, EXPAND), nothing).alias("open"), nothing.alias("done"),
     )
-    found = search(graph, points, starts).select("query", F.explode(F.slice("near", 1, 4 * (k + 1))).alias("class"))
-    found = found.unionByName(asked.select(F.col("class").alias("query"), "class"))
+    found = search(graph, points, starts, k + 1, margin).select("query", F.explode("near").alias("node"))
+    found = found.unionByName(asked.select(F.col("node").alias("query"), "node")).distinct()
     # The exact measure, for each query and each candidate member.
     dot = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (a, x) -> a + x)"
-    near = found.join(members.withColumnRenamed("v", "w"), "class").select(F.col("query").alias("class"), F.col("id").alias("vec_id"), "w")
-    pairs = held.where("asks").select(F.col("id").alias("query_id"), "class", "v").join(near, "class").where("query_id <> vec_id")
+    scaled = "transform({0}, x -> x / array_max(transform({0}, y -> abs(y))))"
+    near = found.join(members.select("node", F.col("id").alias("vec_id"), F.expr(scaled.format("v")).alias("w")), "node").drop("node")
+    asking = held.where("asks").join(nodes, "class").select(F.col("id").alias("query_id"), F.col("node").alias("query"), F.expr(scaled.format("v")).alias("v"))
+    pairs = asking.join(near, "query").where("query_id <> vec_id")
     score = F.expr(f"{dot.format('v', 'w')} / (sqrt({dot.format('v', 'v')}) * sqrt({dot.format('w', 'w')}))")
-    scored = pairs.select("query_id", "vec_id", score.alias("score")).distinct()
+    scored = pairs.select("query_id", "vec_id", F.round(score, PLACES).alias("score")).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

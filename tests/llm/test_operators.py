@@ -299,6 +299,43 @@ def test_neighbours_awkward(spark):
     assert neighbours.nearest(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-5, 0.001, 0.01])
+def test_neighbours_near_copies(spark, noise):
+    """Groups larger than the beam, of vectors that differ by less than a byte's step."""
+    draw = np.random.default_rng(4)
+    base = draw.standard_normal((2, 64))
+    vectors = [(i, (base[i % 2] + noise * draw.standard_normal(64)).tolist()) for i in range(800)]
+    vectors += [(1000 + i, draw.standard_normal(64).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 25 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = np.array([v for _, v in vectors])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in vectors])
+    hit = 0
+    asked = [i for i in range(0, 800, 25)]
+    for q in asked:
+        far = ((x - x[q]) ** 2).sum(axis=1)  # of unit vectors: the order of cosines, without their cancellation
+        far[q] = np.inf
+        hit += len(got[q] & set(ids[np.argsort(far)[:5]].tolist()))
+    assert hit >= 0.98 * 5 * len(asked)
+
+
+def test_neighbours_scaled_copies(spark):
+    """Scaled copies tie, and the smaller ids win, however many there are."""
+    draw = np.random.default_rng(6)
+    base = draw.standard_normal(16)
+    order = draw.permutation(400).tolist()
+    vectors = [(i, (base * (1.0 + 0.37 * order[i])).tolist()) for i in range(400)]
+    vectors += [(1000 + i, draw.standard_normal(16).tolist()) for i in range(100)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id").isin(3, 200, 399)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {3: [0, 1, 2, 4, 5], 200: [0, 1, 2, 3, 4], 399: [0, 1, 2, 3, 4]}
+
+
 # 6. Near-duplicates.
 
 
