@@ -1,7 +1,7 @@
 """Language identification of spans: scripts narrow the candidates, and a Viterbi path over the words labels them.
 
-Training reads a bounded sample of labelled texts and counts, for each language, its words and the character n-grams of
-words with their boundaries. A word's score under a language is its smoothed log-probability as a word plus those of
+Training reads a bounded sample of each language's labelled texts, so that every label is learned, and counts, for each
+language, its words and the character n-grams of words with their boundaries. A word's score under a language is its smoothed log-probability as a word plus those of
 its n-grams, less the best language's, and clipped; only languages seen in the script of the word's letters compete, and a word without
 letters, or in a script no language was seen in, scores alike for all. Within a text, the best labelling of the words
 pays ``SWITCH`` for each change of language.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 
-#: At most about so many labelled texts train, drawn by a checksum of the key, and so many words of each language count.
+#: At most about so many labelled texts of each language train, drawn by a checksum of the key, and so many words of it count.
 TRAIN_DOCS = 4000
 TRAIN_WORDS = 30_000
 GRAM = 3
@@ -243,12 +243,27 @@ def sample(labelled: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     return labelled.where(mixed < int(share * 1_000_000)) if share < 1 else labelled
 
 
+def sample_each(labelled: DataFrame, limit: int, key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """About limit rows of each lang, those with the smallest mixed checksums of the key; all, if it has no more.
+
+    The shares taken follow from a count by lang. Which rows it takes depends on nothing but the keys and the counts. The
+    smallest checksum of a lang is always taken, so none is left out.
+    """
+    whole = 10**15
+    mixed = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(whole))
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.min(mixed).alias("least")).where(F.col("n") > limit).collect()
+    if not counts:
+        return labelled
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(whole * limit // r["n"], r["least"] + 1))])
+    return labelled.where(mixed < F.coalesce(bounds[F.col(lang)], F.lit(whole)))
+
+
 def train(docs: DataFrame, limit: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on a sample of the rows outside fold 0 whose lang is not null.
+    """Fits on a sample, for each lang, of the rows outside fold 0 whose lang is not null.
 
     Words are counted on the executors; at most TRAIN_WORDS of each language come to the driver, most frequent first.
     """
-    rows = sample(docs.where((fold(key) > 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()), limit, key)
+    rows = sample_each(docs.where((fold(key) > 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()), limit, key, lang)
 
     def count(batches):
         import pyarrow as pa

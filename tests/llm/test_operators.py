@@ -126,6 +126,21 @@ def test_language_awkward(awkward, nothing):
     assert language_id.keep(awkward, model, 0.1).columns == awkward.columns
 
 
+def test_language_rare(spark):
+    """A language of few texts is learned beside one of many."""
+    rows = [(i, f"the cat sat on the mat and dog number w{i % 50} ran off", "en") for i in range(3000)]
+    rows += [(5000 + i, "ο σκύλος και η γάτα είναι στο σπίτι", "el") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, 40)
+    assert model.langs == ["el", "en"]
+    assert {r["lang_pred"] for r in language_id.label(df.where("lang = 'el'"), model).collect()} == {"el"}
+    assert language_id.keep(df.where("lang = 'el'"), model, 0.4).count() == 12
+    fit_rows = df.where(language_id.fold() > 0)
+    taken = {r["lang"]: r["count"] for r in language_id.sample_each(fit_rows, 40).groupBy("lang").count().collect()}
+    assert taken["el"] == fit_rows.where("lang = 'el'").count() and 10 < taken["en"] < 100
+    assert {r["lang"] for r in language_id.sample_each(fit_rows, 0).select("lang").distinct().collect()} == {"en", "el"}
+
+
 # 2. Sharding.
 
 
