@@ -7,6 +7,9 @@ in tests, a temporary folder of this process is used.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -47,6 +50,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(run):
+    """run, a function over Arrow batches, that gives freed memory back to the system when it ends.
+
+    Python workers serve one task after another, so what the allocators hold on to would stand beside the next one's.
+    """
+
+    @functools.wraps(run)
+    def inner(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -168,32 +191,33 @@ def text_slices(column, limit: int):
         first = last
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the parts that stand one after another in flat, those of index, one after another; and their bounds."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[index]
+    bounds = np.append(0, np.cumsum(lengths))
+    return flat[np.repeat(starts[index] - bounds[:-1], lengths) + np.arange(int(bounds[-1]))], bounds
+
+
 def by_stretches(texts, odd: str, whole, ids_of, lead: str = ""):
     """The ids of all texts of an Arrow string array without nulls, and the bounds of each text in them.
 
-    Texts that match the pattern ``odd`` go to ``whole``, which gives little-endian 32-bit ids of each. Of the others,
-    with ``lead`` before them, the stretches between spaces, with a line feed at the front of those that follow one, go
-    to ``ids_of`` once for each distinct one.
+    Texts that match the pattern ``odd`` go to ``whole``, which gives the ids of each. Of the others, with ``lead`` before
+    them, the stretches between spaces, with a line feed at the front of those that follow one, go to ``ids_of``, each
+    distinct one once: it gives the ids of all, one after another, and how many each has.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     texts = texts.cast(pa.large_string())
     strange = pc.match_substring_regex(texts, odd)
-    alone = dict(zip(np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist(), [np.frombuffer(x, "<u4") for x in whole(texts.filter(strange).to_pylist())], strict=True))
+    alone = dict(zip(np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist(), whole(texts.filter(strange).to_pylist()), strict=True))
     usual = pc.replace_substring(pc.if_else(strange, "", texts), "\n", " \n")
     led = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), usual, pa.scalar("", pa.large_string()))
     lists = pc.split_pattern(led, " ")
     coded = lists.flatten().dictionary_encode()
-    known = ids_of(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-    flat, starts = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
-    index = coded.indices.to_numpy()
-    lengths = sizes[index]
-    ends = np.cumsum(lengths)
-    ids = flat[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+    ids, ends = gathered(*ids_of(coded.dictionary), coded.indices.to_numpy())
+    bounds = ends[lists.offsets.to_numpy()]
     if alone:
         parts = [alone.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
-        ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        ids, bounds = np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
     return ids, bounds

@@ -18,18 +18,22 @@ an empty table gives an empty result; extra columns of the input are not read.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import by_stretches, materialize, text_slices
+from ._shared import by_stretches, gathered, materialize, text_slices, trimmed
 
 SEQUENCE = 1024
 END_ID = 2
-CACHED_WORDS = 400_000
-#: Bytes of text that are encoded at a time.
-BLOCK_BYTES = 8 << 20
+#: Words that the tokenizer's own cache holds at most.
+CACHED_WORDS = 65_536
+#: Characters of texts that are given to the tokenizer at once, one text at least.
+TOGETHER = 1 << 16
+#: Bytes of text that are encoded at a time, one text at least.
+BLOCK_BYTES = 2 << 20
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -40,12 +44,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of Arrow texts, by a byte-level BPE tokenizer, with a bounded cache of words.
+    """Token ids of Arrow texts, by a byte-level BPE tokenizer.
 
     In a text whose white space is single spaces and line feeds between other characters, a space begins a stretch that
     is encoded alone, and so do a line feed and the word after it; a full stop or comma after a letter is a stretch too.
-    Stretches are kept by a word and the mark before it: none for a space, a line feed, or a carriage return at the
-    text's start. Those not kept are encoded together, and their ids told apart by the tokens that begin with the space.
+    Stretches are known by a word and the mark before it: none for a space, a line feed, or a carriage return at the
+    text's start. Each distinct one of a block is encoded once: those after spaces together, their ids told apart by the
+    tokens that begin with the space. Nothing is kept from block to block but the tokenizer's own cache of words.
     """
 
     #: Matches a text with other uses of white space, which is encoded whole. The characters of \\s.
@@ -53,6 +58,8 @@ class Encoder:
         r"[\t\v\f\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
         r"|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
     )
+    #: Matches a word that ends in a mark, which is a stretch of its own there.
+    MARKED = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}][.,]\z"
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         import os
@@ -62,72 +69,113 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cached = cached
-        #: Two generations: the younger one becomes the older when it is full.
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(cached)
         self.marks = {x: self._whole([x])[0] for x in ".,\n"}
         self.after_space = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.after_space[i] = token.startswith("\u0120")  # how byte-level vocabularies write a space
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, a few texts at a time."""
+        out, part, size = [], [], 0
+        for text in [*texts, None]:
+            if part and (text is None or size + len(text) > TOGETHER):
+                out += [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part, size = [], 0
+            if text is not None:
+                part.append(text)
+                size += len(text)
+        return out
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it."""
-        out: list[bytes] = []
+    def _spaced(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of all words with a space before each, and how many each has, in parts."""
+        ids, sizes = [], []
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
-            ids = np.frombuffer(self._whole(["".join([" " + w for w in part])])[0], dtype="<u4")
-            cuts = np.flatnonzero(self.after_space[ids])
+            found = self._whole([" " + " ".join(part)])[0]
+            cuts = np.flatnonzero(self.after_space[found])
             assert len(cuts) == len(part)
-            out += [x.tobytes() for x in np.split(ids, cuts[1:])]
-        return out
+            ids.append(found)
+            sizes.append(np.diff(cuts, append=len(found)))
+        return ids, sizes
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > self.cached:
-            self.older, self.words = self.words, {"": b""}
-        plain = {w[:-1] if len(w) > 2 and w[-1] in ".," and w[-2].isalpha() else w for w in missing}
-        found = {w: ids for w in plain if (ids := self.words.get(w) or self.older.get(w)) is not None}
-        rest = [w for w in plain if w not in found]
-        spaced, led = [w for w in rest if w[0] not in "\n\r"], [w for w in rest if w[0] in "\n\r"]
-        found |= zip(spaced, self._spaced(spaced), strict=True)
-        for w, ids in zip(led, self._whole([w[1:] for w in led]), strict=True):
-            found[w] = self.marks["\n"] + ids if w[0] == "\n" else ids
-        for w in missing:
-            self.words[w] = found[w] if w in found else found[w[:-1]] + self.marks[w[-1]]
-        self.words |= found
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        out = list(map(self.words.get, [w if w != "\r" else "" for w in words]))
-        if missing := [i for i, x in enumerate(out) if x is None]:
-            for i in missing:
-                out[i] = self.older.get(words[i])
-            if new := [words[i] for i in missing if out[i] is None]:
-                self._learn(new)
-                for i in missing:
-                    out[i] = self.words[words[i]] if out[i] is None else out[i]
-            self.words |= ((words[i], out[i]) for i in missing)
-        return out
+    def _ids_of(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of distinct stretches, one after another, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = pc.match_substring_regex(words, self.MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        index, known = stems.indices.to_numpy(), stems.dictionary
+        led = pc.match_substring_regex(known, r"\A[\n\r]").to_numpy(zero_copy_only=False)
+        ids, sizes = self._spaced(known.filter(pa.array(~led)).to_pylist())
+        starting = known.filter(pa.array(led)).to_pylist()
+        for word, own in zip(starting, self._whole([w[1:] for w in starting]), strict=True):
+            ids += [self.marks["\n"], own] if word[0] == "\n" else [own]
+            sizes.append(np.array([len(own) + (len(self.marks["\n"]) if word[0] == "\n" else 0)]))
+        place = np.empty(len(led), dtype=np.int64)
+        place[np.append(np.flatnonzero(~led), np.flatnonzero(led))] = np.arange(len(led))
+        flat, bounds = gathered(*_joined(ids, sizes), place[index])
+        ended = marked.to_numpy(zero_copy_only=False)
+        if not ended.any():
+            return flat, np.diff(bounds)
+        last = pc.utf8_slice_codeunits(words.filter(marked), -1, 2**31 - 1)
+        comma = pc.equal(last, ",").to_numpy(zero_copy_only=False)
+        assert len(self.marks["."]) == len(self.marks[","]) == 1
+        return np.insert(flat, bounds[1:][ended], np.where(comma, self.marks[","][0], self.marks["."][0])), np.diff(bounds) + ended
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of an Arrow string array without nulls, and the bounds of each text in them."""
         return by_stretches(texts, self.UNUSUAL, self._whole, self._ids_of, "\r")
 
 
+def _joined(ids: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate(ids), np.concatenate(sizes)) if sizes else (np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64))
+
+
 def encoder(path: str) -> Encoder:
     if (path,) not in _ENCODERS:
         _ENCODERS[(path,)] = Encoder(path)
     return _ENCODERS[(path,)]
 
 
-def cut(n: int, limit: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: full ones, but for the first."""
-    if n <= limit:
-        return [(0, n)]
-    first = n % limit or limit
-    return [(0, first)] + [(s, limit) for s in range(first, n, limit)]
+class Pieces(NamedTuple):
+    """Pieces of texts: the row of each, its place, start and length in it, its checksum; and all ids, one after another."""
+
+    row: np.ndarray
+    piece: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    crc: np.ndarray
+    ids: np.ndarray
+
+
+def pieces_of(ids: np.ndarray, bounds: np.ndarray, limit: int, end_id: int) -> Pieces:
+    """Cuts the ids of each text, with end_id after them, into full pieces, but for the first."""
+    sizes = np.diff(bounds) + 1
+    ends = np.cumsum(sizes)
+    whole = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype="<u4")
+    inside = np.ones(len(whole), dtype=bool)
+    inside[ends - 1] = False
+    whole[inside] = ids[bounds[0] : bounds[-1]]
+    counts = -(-sizes // limit)
+    row = np.repeat(np.arange(len(sizes)), counts)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = (sizes - (counts - 1) * limit)[row]
+    start = np.where(piece, first + (piece - 1) * limit, 0)
+    length = np.where(piece, limit, first)
+    cuts, data = np.append(0, np.cumsum(length)) * 4, memoryview(whole.tobytes())
+    crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), dtype=np.int64, count=len(row))
+    return Pieces(row, piece, start, length, crc, whole)
+
+
+def _by_value(values: np.ndarray):
+    """(value, its places in order) of each distinct value."""
+    order = np.argsort(values, kind="stable")
+    if len(order):
+        for own in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+            yield int(values[own[0]]), own
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -139,7 +187,6 @@ def pieces(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None,
     with_ids adds the ids themselves, as an array column.
     """
     path = tokenizer or default_tokenizer()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         import pyarrow as pa
@@ -151,26 +198,24 @@ def pieces(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None,
             for first, last in text_slices(batch.column(1), BLOCK_BYTES):
                 keys = batch.column(0).slice(first, last - first)
                 ids, bounds = enc.encode(pc.fill_null(batch.column(1).slice(first, last - first), ""))
-                rows, place, starts, lengths, own, crcs, order = [], [], [], [], [], [], []
-                for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    whole = ids[a:b].tobytes() + end
-                    for i, (start, n) in enumerate(cut(len(whole) // 4, limit)):
-                        piece = whole[4 * start : 4 * (start + n)]
-                        for column, v in zip((rows, place, starts, lengths, crcs, order), (row, i, start, n, zlib.crc32(piece), int(ranks[n])), strict=True):
-                            column.append(v)
-                        ranks[n] += 1
-                        if with_ids:
-                            own.append(np.frombuffer(piece, dtype="<u4").astype(np.int64))
-                columns = [keys.take(pa.array(rows, pa.int64())), pa.array(place, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())]
-                columns += [pa.array(crcs, pa.int64()), pa.array([task] * len(rows), pa.int32()), pa.array(order, pa.int64())]
+                found = pieces_of(ids, bounds, limit, end_id)
+                places = []
+                for n, order in _by_value(found.length):
+                    places.append((order, ranks[n] + np.arange(len(order))))
+                    ranks[n] += len(order)
+                rank = np.empty(len(found.row), dtype=np.int64)
+                for order, place in places:
+                    rank[order] = place
+                columns = [keys.take(pa.array(found.row)), pa.array(found.piece.astype(np.int32)), pa.array(found.start), pa.array(found.length)]
+                columns += [pa.array(found.crc), pa.array(np.full(len(rank), task, dtype=np.int32)), pa.array(rank)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 if with_ids:
-                    columns.append(pa.array(own, pa.list_(pa.int64())))
+                    columns.append(pa.LargeListArray.from_arrays(np.append(0, np.cumsum(found.length)), found.ids.astype(np.int64)).cast(pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = PIECES + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(trimmed(run), schema)
 
 
 def plan(counts: dict[int, int], limit: int = SEQUENCE) -> list[tuple[list[int], int]]:
@@ -269,7 +314,7 @@ def pack(held: DataFrame, limit: int = SEQUENCE) -> DataFrame:
     ranked = short.join(firsts, ["length", "task"]).select(*own, (F.col("rank") + F.col("first")).alias("rank"))
     single = (-1 - F.col("task").cast("long") * F.lit(1 << 33) - F.col("rank")).alias("sequence_id")
     full = held.where(F.col("length") >= limit).select(*own, single, F.lit(0).cast("long").alias("offset"))
-    return ranked.mapInArrow(place, PACKED).unionByName(full)
+    return ranked.mapInArrow(trimmed(place), PACKED).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:

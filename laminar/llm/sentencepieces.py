@@ -21,13 +21,14 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._shared import by_stretches, text_slices
+from ._shared import by_stretches, text_slices, trimmed
 
 SPACE = "▁"
 #: Below the lowest piece score, for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 400_000
-BLOCK_BYTES = 8 << 20
+#: Stretches whose ids take at most so many bytes are kept, about so many of them.
+CACHED_WORDS, LONG_WORD = 150_000, 64
+BLOCK_BYTES = 2 << 20
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -104,13 +105,13 @@ class Pieces:
                 out += self.path(stretch)
         return out
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Of stretches: after a space, or after the line feed that they begin with."""
+    def _ids_of(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches, one after another, and how many each has: after a space, or after their line feed."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         get = self.words.get
         out = []
-        for w in words:
+        for w in words.to_pylist():
             if (ids := get(w)) is None:
                 if not w:
                     ids = b""
@@ -120,14 +121,15 @@ class Pieces:
                     ids = self.newline + np.array(self.path(w[1:]), dtype="<u4").tobytes()
                 else:
                     raise ValueError("pieces with line feeds are encoded whole")
-                self.words[w] = ids
+                if len(ids) <= LONG_WORD:
+                    self.words[w] = ids
             out.append(ids)
-        return out
+        return np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of an Arrow string array without nulls, and the bounds of each text in them."""
         odd = self.ODD if self.newline else self.ODD + r"|\n"
-        return by_stretches(texts, odd, lambda ts: [np.array(self.whole(t), dtype="<u4").tobytes() for t in ts], self._ids_of)
+        return by_stretches(texts, odd, lambda ts: [np.array(self.whole(t), dtype="<u4") for t in ts], self._ids_of)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -185,7 +187,7 @@ def encode(docs: DataFrame, model: str | None = None, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{key}` {kind}, n_ids long, ids_crc32 long, n_chars long, decoded boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(trimmed(run), schema)
 
 
 def decode(rows: DataFrame, model: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -200,7 +202,7 @@ def decode(rows: DataFrame, model: str | None = None, key: str = "doc_id", ids:
             texts = [load(path).decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return rows.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return rows.select(key, ids).mapInArrow(trimmed(run), f"`{key}` {kind}, text string")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
