@@ -7,10 +7,12 @@ other characters stay, and a word equal to the one before has a sign of its own.
 columns. Rows are scaled to unit length; margins of rows left out of a fit give the slope and offset that turn margins
 into probabilities.
 
-At most about TRAIN_DOCS labelled rows train, drawn by a checksum of the key; their distinct columns come to the driver.
+At most TRAIN_DOCS labelled rows train, those with the smallest checksums of their keys; their distinct columns come to
+the driver.
 
-Cases: a null or empty text has no n-grams and scores by the model's offset alone; equal rows score the same; labels
-that are null do not train, and a key labelled more than once trains once for each label; if the training rows have
+Cases: a null or empty text has no n-grams and scores by the model's offset alone; a very long one is taken whole, as a
+block of its own; equal rows score the same, and among equal checksums the smaller label and columns train; labels that
+are null, or whose key is, do not train, and a key labelled more than once trains once for each label; if the training rows have
 one class or none, each score is that class's share, or 0.5; an empty table gives an empty table; extra columns are not
 read.
 """
@@ -23,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import IN_WORD, LOWER, U, mix, powers, text_buffers, words_of
-from .language_id import fold, sample
+from ._shared import IN_WORD, LOWER, U, mix, powers, text_buffers, trimmed, words_of
+from .language_id import bound, fold, mixed
 
 TRAIN_DOCS = 6000
 BITS = 20
@@ -151,8 +153,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, columns: int = 1 << BITS) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fits on a sample of the labelled rows outside fold 1 of 3."""
-    drawn = sample(labels.where((fold(key, 3) != 1) & F.col(label).isNotNull()).select(key, label), limit, key)
+    """Fits on a sample of the labelled rows outside fold 1 of 3: at most limit labels, and at most limit rows of docs."""
+    fine = labels.where((fold(key, 3) != 1) & F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("label"), mixed(key).alias("draw"))
+    # A share by checksum first, so that few rows are sorted; then a limit by rank, as one key can have many labels.
+    drawn = fine.where(F.col("draw") < bound(2 * limit, fine.count())).orderBy("draw", key, "label").limit(limit)
 
     def run(batches):
         import pyarrow as pa
@@ -160,11 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, key: str
         for batch in batches:
             for first, data, offsets in text_buffers(batch.column(1)):
                 found = [c.astype("<i4").tobytes() for c in features(data, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.binary()), batch.column(2).slice(first, len(found))], ["key", "columns", "label"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.binary()), batch.column(2).slice(first, len(found))], ["draw", "columns", "label"])
 
-    # The drawn labels are bounded by limit, so they can go to every task.
-    rows = docs.select(key, text).join(F.broadcast(drawn), key).select(F.col(key).cast("long").alias("key"), text, F.col(label).cast("int"))
-    table = rows.mapInArrow(run, "key long, columns binary, label int").orderBy("key").toArrow()
+    # At most limit labels, so they can go to every task; a key can have many rows, so those are limited again.
+    rows = docs.select(key, text).join(F.broadcast(drawn), key).select("draw", text, "label")
+    table = rows.mapInArrow(trimmed(run), "draw long, columns binary, label int").orderBy("draw", "label", "columns").limit(limit).toArrow()
     columns = [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in table.column("columns").to_pylist()]
     return fit(columns, np.array(table.column("label").to_pylist(), dtype=np.float64))
 
@@ -182,7 +186,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 found = shared.value.probability(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    return docs.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, score double, predicted int")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

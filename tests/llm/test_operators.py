@@ -87,24 +87,62 @@ def brute_path(scores, switch):
 def test_viterbi():
     draw = np.random.default_rng(3)
     for _ in range(60):
-        scores = -draw.random((6, 3)) * 6
+        texts = [-draw.random((n, 3)) * 6 for n in (6, 1, 3, 6, 5)]
         for switch in (0.5, 3.0, 20.0):
-            path = language_id.viterbi(scores, switch)
+            for scores, path in zip(texts, language_id.viterbi(texts, switch), strict=True):
+                own = scores[np.arange(len(scores)), path].sum() - switch * np.count_nonzero(np.diff(path))
+                assert own == pytest.approx(brute_path(scores, switch))
+            scores, path = texts[0], language_id.viterbi(texts, switch)[0]
             own = scores[np.arange(6), path].sum() - switch * np.count_nonzero(np.diff(path))
-            assert own == pytest.approx(brute_path(scores, switch))
             lead = language_id.settled(scores, switch)
             assert lead < 0 or scores[:, lead].sum() == pytest.approx(own)
 
 
 def test_spans_and_scripts():
-    model = language_id.fit({"en": Counter({"the": 9, "cat": 3, "house": 2}), "fr": Counter({"le": 9, "chat": 3, "maison": 2}), "ru": Counter({"кот": 5, "дом": 5})})
+    model = language_id.fit({"en": language_id.counted(["the cat house the cat the"] * 3), "fr": language_id.counted(["le chat maison le chat le"] * 3), "ru": language_id.counted(["кот дом"] * 5)})
     labeller = language_id.Labeller(model, 2.0)
     text = "the cat the house the cat кот дом le chat le maison le chat"
-    own, labels, scores, letters = next(labeller.label([text]))
-    assert [x for x, _ in labeller.spans(own, labels, letters)] == ["en", "ru", "fr"]
+    labels, scores, letters = next(labeller.label([text]))
+    assert [x for x, _ in labeller.spans(text, labels, letters)] == ["en", "ru", "fr"]
     assert labeller.predict(labels, scores, letters)[0] in ("en", "fr")
-    got = [labeller.predict(*x[1:]) for x in labeller.label(["", "123 ...", "漢字"])]
-    assert got[0] == (language_id.UNKNOWN, 0.0, 0) and got[1][0] == language_id.UNKNOWN
+    got = [labeller.predict(*x) for x in labeller.label(["", "123 ...", "漢字", "\u0301 \u0300", "123\u0301", "\u0301le chat"])]
+    assert got[0] == got[1] == got[3] == got[4] == (language_id.UNKNOWN, 0.0, 0) and got[5][0] == "fr"
+
+
+def test_language_scores():
+    """The arrays against a plain version: distinct words, their letters, n-grams and smoothed log-probabilities."""
+    import unicodedata
+
+    texts = ["The cat, the CAT! 12 e\u0301t\u00e9 x", "", "le  chat-noir\n\u03bb\u03cc\u03b3\u03bf\u03c2 \u0130stanbul", "the"]
+    words = language_id.words_of(texts)
+    split = [unicodedata.normalize("NFC", t).split() for t in texts]
+    assert np.diff(words.bounds).tolist() == [len(x) for x in split]
+    ends = np.cumsum(words.sizes)
+    known = ["".join(map(chr, words.points[e - n : e])) for e, n in zip(ends, words.sizes, strict=True)]
+    for own, i, n in zip(sum(split, []), words.which, words.letters, strict=True):
+        want = "".join(c.lower()[0] for c in own if c.isalpha() or unicodedata.category(c)[0] == "M")
+        assert n == sum(c.isalpha() for c in own) and (known[i] == want if n else i == -1)
+    whole, grams, counts = language_id.columns_of(words)
+    assert counts.tolist() == [len(w) for w in known] and len(set(whole.tolist())) == len(known)
+    own = {w: grams[e - n : e].tolist() for w, e, n in zip(known, np.cumsum(counts), counts, strict=True)}
+    seen = {}
+    for w, columns in own.items():
+        for g, c in zip([f"^{w}$"[i : i + 3] for i in range(len(w))], columns, strict=True):
+            assert seen.setdefault(g, c) == c
+    assert len(set(seen.values())) == len(seen)
+    model = language_id.fit({"a": language_id.counted(texts[:1]), "b": language_id.counted(texts[1:])})
+    at, n = language_id.counted(texts[:1])
+    total = n[at < language_id.AT_GRAMS].sum()
+    distinct = len({w.lower() for w in known})
+    column = whole[known.index("the")]
+    assert model.words[column, 0] == pytest.approx(np.log(2.5 / (total + 0.5 * distinct)))
+
+
+def test_language_sample_bound():
+    """Shares of any table, of 10**11 rows as of ten."""
+    for n in (10, 4001, 10**6, 10**9, 4 * 10**9, 10**11, 10**15):
+        share = language_id.bound(4000, n) / language_id.WHOLE
+        assert 0 < share <= 1 and (share == 1 if n <= 4000 else abs(share * n - 4000) < 1)
 
 
 def test_language_held_out(spark, documents):
