@@ -1,8 +1,7 @@
-"""What the corpus operators share: tables in the cluster's shared folder, and vectorised word hashing.
+"""What the corpus operators share beside tables in the cluster's shared folder: blocks of texts and hashes of words.
 
-Intermediate results that are read more than once, or that must survive a lost executor, are written as Parquet
-under ``spark.checkpoint.dir``, the folder that driver and executors share. Where the session does not name one, as
-in tests, a temporary folder of this process is used.
+Intermediate results that are read more than once, or that must survive a lost executor, are written as Parquet under
+``spark.checkpoint.dir``, by ``laminar.sources.shared``.
 """
 
 from __future__ import annotations
@@ -10,40 +9,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: list[str] = []
-U = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one temporary folder of this process where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="laminar-"))
-    return _FALLBACK[0]
-
+from laminar.sources.shared import discard, materialize, scratch, shared_dir
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: the plan behind it runs once and is cut off."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U = np.uint64
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -152,7 +124,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER):
     starts = np.flatnonzero(begins)
     lengths = np.diff(starts, append=len(inside))
     place = np.arange(len(inside)) - np.repeat(starts, lengths)
-    values = (table[data[inside]].astype(U) + U(1)) * powers(int(lengths.max()))[place]
+    # Each byte is mixed with its place, so that no words can be made to collide as with a polynomial.
+    values = mix((place.astype(U) << U(8)) + table[data[inside]] + U(1))
     hashes = mix(np.add.reduceat(values, starts) + lengths.astype(U) * U(0xD6E8FEB86659FD93))
     return hashes, np.searchsorted(inside[starts], offsets)
 

@@ -9,24 +9,29 @@ for a pair just at the threshold.
 
 The steps:
 
-1. each document's shingle set, its digest, its nodes at the first level, and its minwise values cut to four bits (written);
-2. documents with equal sets form a class, whose smallest id stands for it from here on;
-3. nodes of all trees, as (path, id, bits); a node of up to ``NODE`` rows branches in its task until ``LEAF`` rows are
-   left, larger ones are dealt out by their branches, then by pairs of blocks, so no task holds a very large node; each
-   gives forests of its likely links, at most a row for each member;
+1. each row's shingle set, its digest, its nodes at the first level, and its minwise values cut to four bits (written);
+2. rows with equal sets form a class (written, with a number of its own), whatever their ids;
+3. nodes of all trees, as (path, class), of which those with two rows or more get the bits; a node of up to ``NODE`` rows
+   branches in its task until ``LEAF`` rows are left, larger ones are dealt out by their branches, then by pairs of blocks,
+   so no task holds a very large node; each gives a forest of its likely links, at most a row for each member;
 4. likely links are joined into families by contracting stars, iteratively, each round written;
-5. each family is compared exhaustively once more on the full sets, worked out from the texts again: links are confirmed
-   by exact counts, pairs already connected by confirmed links are passed over, and pairs whose minwise values differ too
-   much to reach the threshold (by five standard deviations) are not counted. Families above ``BLOCK`` members are split
-   into pairs of blocks;
-6. confirmed links give components; classes and documents take the smallest id they reach.
-
-The likelihood test of step 3 is at four standard deviations below the threshold; the trees are sized for RECALL there.
-
-Cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own component; one
-with fewer than k words is one shingle; equal rows have equal sets and so one component, and all are ``kept`` if their
-id is the component's; a null doc_id takes no part in links and has a null component and kept true; an empty table
-gives an empty table; extra columns are not read.
+5. the full sets of all members are written; each member's likeliest link is confirmed on the two full sets, and
+   confirmed links give first components;
+6. in families that these leave in several parts, all pairs of members of different parts are compared on the full sets,
+   dealt out by pairs of blocks of about ``BLOCK`` members: those outside the family's largest part against all;
+7. confirmed links, and links between classes that share a doc_id, give components; each row takes the smallest doc_id of
+   its component.
+
+What can be missed: a pair exactly at the threshold meets in some tree with probability RECALL, however deep its nodes
+branch, as levels below the root branch at a higher rate and the trees are counted for branching without end; a pair that
+meets is likely if its bits agree down to 4.5 standard deviations below the threshold; and step 6 does not count pairs
+whose minwise values lie six deviations below. Sets are compared by 64-bit hashes of shingles.
+
+Cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own component, also
+where another row of its id has words; one with fewer than k words is one shingle; a very long text is one set, in memory
+in proportion to its words; equal rows have equal sets and so one component, and all are ``kept`` if their id is the
+component's; rows of one id with different texts all count, and their components are one; a null doc_id takes no part in
+links and has a null component and kept true; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U, materialize, mix, shingles_of, shuffle_partitions, text_buffers, words_of
+from ._shared import U, discard, materialize, mix, shingles_of, shuffle_partitions, text_buffers, trimmed, words_of
 
 SHINGLE = 3
 PERCENT = 85
@@ -50,8 +55,10 @@ LEAF = 1024
 LEVELS = 4
 #: Rows of a node that one task holds and branches in memory; larger ones are dealt out by their branches first.
 NODE = 16384
-#: Members of a family, or of a node that no branching divides, that one task compares with each other.
-BLOCK = 2048
+#: Expected children of a pair at the threshold in a node: at the root, and below it.
+ROOT, BELOW = 1.0, 1.5
+#: Members of a family, or of a node that no branching divides, that one task compares with as many others.
+BLOCK = 512
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -76,19 +83,24 @@ def packed(values: np.ndarray) -> np.ndarray:
     return low[:, 0::2] << 4 | low[:, 1::2]
 
 
-def tree_count(threshold: float, recall: float, levels: int) -> int:
-    """Trees needed for a pair at the threshold to meet in a node, if branching goes on for ``levels`` levels."""
+def tree_count(recall: float) -> int:
+    """Trees needed for a pair at the threshold to meet in a node, if branching goes on for any number of levels."""
     apart = 0.0
-    for _ in range(levels):  # a branching process of mean 1 at the threshold
-        apart = math.exp(apart - 1)
-    return math.ceil(math.log(1 - recall) / math.log(apart))
+    for _ in range(200):  # the branching process below the root dies out with the smallest root of this equation
+        apart = math.exp(BELOW * (apart - 1))
+    return math.ceil(math.log(1 - recall) / (ROOT * (apart - 1)))
 
 
-def chosen(path: int, threshold: float, positions: int) -> list[int]:
-    """The positions on which the node of that path branches."""
+def chosen(path: int, threshold: float, positions: int, mean: float = BELOW) -> list[int]:
+    """The positions on which the node of that path branches, each taken with probability mean / (threshold * positions)."""
     with np.errstate(over="ignore"):
         draws = mix(U(path & (2**64 - 1)) * U(0x9E3779B97F4A7C15) + np.arange(1, positions + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
-    return np.flatnonzero(draws < U(int(2**64 / (threshold * positions)))).tolist()
+    return np.flatnonzero(draws < U(min(2**64 - 1, int(2**64 * mean / (threshold * positions))))).tolist()
+
+
+def root_branches(trees: int, threshold: float) -> list[tuple[int, int]]:
+    """(tree, position) of all branches at the roots."""
+    return [(tree, position) for tree in range(trees) for position in chosen(tree - trees, threshold, POSITIONS, ROOT)]
 
 
 def child(path, position: int, values: np.ndarray) -> np.ndarray:
@@ -97,13 +109,17 @@ def child(path, position: int, values: np.ndarray) -> np.ndarray:
         return mix(seed + (values.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 SKETCHED = "doc_id long, n_shingles long, digest binary, roots array<long>, sketch binary"
 
 
 def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's set size, the digest of its set, its nodes at the first level, and its packed minwise values."""
     threshold = percent / 100
-    branches = [(tree, position) for tree in range(trees) for position in chosen(tree - trees, threshold, POSITIONS)]
+    branches = root_branches(trees, threshold)
 
     def run(batches):
         import pyarrow as pa
@@ -121,14 +137,14 @@ def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_
                     [
                         batch.column(0).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([None if i is None else hashlib.blake2b(s.tobytes(), digest_size=16).digest() for i, s in zip(place, sets, strict=True)], pa.binary()),
+                        pa.array([None if i is None else digest_of(s) for i, s in zip(place, sets, strict=True)], pa.binary()),
                         pa.array([None if i is None else roots[i] for i in place], pa.list_(pa.int64())),
                         pa.array([None if i is None else low[i].tobytes() for i in place], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "digest", "roots", "sketch"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCHED)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), SKETCHED)
 
 
 def _groups(batches):
@@ -164,8 +180,8 @@ def _matrix(column) -> np.ndarray:
 class Union:
     """Disjoint sets of 0 to n - 1."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def join(self, a: int, b: int) -> bool:
         x, y = self.label[a], self.label[b]
@@ -175,36 +191,40 @@ class Union:
         return True
 
 
-def forest(sketch: np.ndarray, least: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join all rows of which a chain of pairs agrees in ``least`` positions or more.
+def forest(sketch: np.ndarray, rows: np.ndarray, least: int, union: Union, sides: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(row, row, positions alike): links that join all of rows of which a chain of pairs agrees in ``least`` positions.
 
-    Each row looks for all rows it is not yet joined with. sides: with two blocks, only pairs across them count.
+    Each row looks for all that it is not yet joined with. sides: with two blocks, only pairs across them count.
     """
-    union, out = Union(len(sketch)), []
-    for i in range(len(sketch) - 1):
-        others = np.flatnonzero(union.label[i + 1 :] != union.label[i]) + i + 1
+    out: list[tuple[int, int, int]] = []
+    for at, i in enumerate(rows[:-1].tolist()):
+        others = rows[at + 1 :]
+        others = others[union.label[others] != union.label[i]]
         if sides is not None:
             others = others[sides[others] != sides[i]]
         if len(others):
-            for j in others[np.count_nonzero(sketch[others] == sketch[i], axis=1) >= least].tolist():
+            alike = np.count_nonzero(sketch[others] == sketch[i], axis=1)
+            near = np.flatnonzero(alike >= least)
+            for j, n in zip(others[near].tolist(), alike[near].tolist(), strict=True):
                 if union.join(i, j):
-                    out.append((i, j))
+                    out.append((i, j, n))
+        elif (union.label[rows[at:]] == union.label[i]).all():
+            break
     return out
 
 
-def branched(sketch: np.ndarray, path: int, threshold: float, least: int, level: int = 0) -> list[tuple[int, int]]:
+def branched(sketch: np.ndarray, rows: np.ndarray, path: int, threshold: float, least: int, union: Union, level: int = 0) -> list[tuple[int, int, int]]:
     """Likely links in a node, branching while it is large: at each chosen position by the rows' values there."""
-    if len(sketch) <= LEAF or level >= LEVELS:
-        return forest(sketch, least)
+    if len(rows) <= LEAF or level >= LEVELS:
+        return forest(sketch, rows, least, union)
     out = []
     for position in chosen(path, threshold, POSITIONS):
-        values = sketch[:, position]
+        values = sketch[rows, position]
         order = np.argsort(values, kind="stable")
-        cuts = np.flatnonzero(np.diff(values[order])) + 1
-        for own in np.split(order, cuts):
-            if len(own) > 1:
+        for own in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+            if len(own) > 1 and (union.label[rows[own]] != union.label[rows[own[0]]]).any():
                 below = int(child(path & (2**64 - 1), position, values[own[:1]])[0])
-                out += [(int(own[i]), int(own[j])) for i, j in branched(sketch[own], below, threshold, least, level + 1)]
+                out += branched(sketch, rows[own], below, threshold, least, union, level + 1)
     return out
 
 
@@ -212,10 +232,10 @@ LINKS = "a long, b long"
 
 
 def likely_links(held: DataFrame, percent: int) -> DataFrame:
-    """Forests of likely links in the nodes of all trees, over the representatives ``held``."""
+    """(a, b, alike): forests of likely links in the nodes of all trees, over the classes ``held``."""
     threshold = percent / 100
     agree = threshold + (1 - threshold) / 16  # four bits agree by chance as well
-    least = math.ceil(POSITIONS * (agree - 4 * math.sqrt(agree * (1 - agree) / POSITIONS)))
+    least = math.ceil(POSITIONS * (agree - 4.5 * math.sqrt(agree * (1 - agree) / POSITIONS)))
     spark = held.sparkSession
     n = shuffle_partitions(spark)
 
@@ -225,25 +245,26 @@ def likely_links(held: DataFrame, percent: int) -> DataFrame:
         for table, starts in _groups(batches):
             ends = np.append(starts[1:], table.num_rows)
             paths, sides, ids = (table.column(i).to_numpy() for i in range(3))
-            a, b = [], []
+            out: list[np.ndarray] = []
             several = np.flatnonzero(ends - starts > 1)
             for g in several.tolist():
                 s, e = int(starts[g]), int(ends[g])
-                own = _matrix(table.column(3).slice(s, e - s))
+                own, rows = _matrix(table.column(3).slice(s, e - s)), np.arange(e - s)
                 if sides[s] < 0:
-                    found = branched(own, int(paths[s]), threshold, least)
+                    found = branched(own, rows, int(paths[s]), threshold, least, Union(rows.copy()))
                 else:
-                    found = forest(own, least, sides[s:e] if sides[s:e].min() != sides[s:e].max() else None)
-                for i, j in found:
-                    a.append(min(ids[s + i], ids[s + j]))
-                    b.append(max(ids[s + i], ids[s + j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    found = forest(own, rows, least, Union(rows.copy()), sides[s:e] if sides[s:e].min() != sides[s:e].max() else None)
+                if found:
+                    i, j, alike = np.array(found).T
+                    out.append(np.stack([np.minimum(ids[s + i], ids[s + j]), np.maximum(ids[s + i], ids[s + j]), alike]))
+            a, b, alike = np.concatenate(out, axis=1) if out else np.empty((3, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike.astype(np.int32))], ["a", "b", "alike"])
 
     def branch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            paths, ids, sketch = batch.column("path").to_numpy(), batch.column("doc_id").to_numpy(), _matrix(batch.column("sketch"))
+            paths, ids, sketch = batch.column("path").to_numpy(), batch.column("class").to_numpy(), _matrix(batch.column("sketch"))
             out_path, out_row = [], []
             for path in np.unique(paths):
                 rows = np.flatnonzero(paths == path)
@@ -251,52 +272,58 @@ def likely_links(held: DataFrame, percent: int) -> DataFrame:
                     out_path.append(child(int(path) & (2**64 - 1), position, sketch[rows, position]))
                     out_row.append(rows)
             if out_row:
-                at = np.concatenate(out_row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_path)), pa.array(ids[at]), batch.column("sketch").take(pa.array(at))], ["path", "doc_id", "sketch"])
-
-    rows = held.select(F.explode("roots").alias("path"), "doc_id", "sketch")
-    done = []
-    for level in range(LEVELS):
-        large = materialize(rows.groupBy("path").count().where(F.col("count") > NODE).select("path", "count"), "large")
-        if large.isEmpty():
-            done.append(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_path)), pa.array(ids[np.concatenate(out_row)])], ["path", "class"])
+
+    # Nodes are counted, and parted by size, as pairs of numbers; sketches go only to those of two rows or more.
+    sketches_of = held.select("class", "sketch")
+    rows, done = held.select(F.explode("roots").alias("path"), "class"), []
+    for level in range(LEVELS + 1):
+        counts = materialize(rows.groupBy("path").count().where("count > 1"), "counts")
+        live = rows.join(counts, "path").join(sketches_of, "class").select("path", "class", "sketch", "count")
+        done.append(live.where(F.col("count") <= NODE).select("path", F.lit(-1).alias("side"), "class", "sketch"))
+        large = live.where(F.col("count") > NODE)
+        if counts.where(F.col("count") > NODE).isEmpty():
             break
-        done.append(rows.join(large, "path", "left_anti").select("path", "doc_id", "sketch"))
-        stuck = rows.join(large, "path")
-        if level == LEVELS - 1:
-            done.append(_block_pairs(stuck))
-            break
-        rows = materialize(stuck.select("path", "doc_id", "sketch").mapInArrow(branch, "path long, doc_id long, sketch binary"), "nodes")
-    links = []
-    for part in done:
-        sided = part if "side" in part.columns else part.withColumn("side", F.lit(-1))
-        links.append(sided.select("path", "side", "doc_id", "sketch").repartition(n, "path").sortWithinPartitions("path").mapInArrow(compare, LINKS))
+        if level == LEVELS:
+            done.append(_block_pairs(large).select("path", "side", "class", "sketch"))
+        else:
+            rows = materialize(large.mapInArrow(trimmed(branch), "path long, class long"), "nodes")
+    links = [x.repartition(n, "path").sortWithinPartitions("path").mapInArrow(trimmed(compare), LINKS + ", alike int") for x in done]
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+
 
+def _block(count: int | str) -> F.Column:
+    return F.ceil(F.col(count) / BLOCK).cast("int")
 
-def _block_pairs(rows: DataFrame, group: str = "path") -> DataFrame:
-    """rows (with ``count``, the group's rows) once for each pair of blocks that theirs is in; side: the block's place."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
-    out = rows.withColumn("_blocks", blocks).withColumn("_block", block)
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (with ``count``, the node's rows) once for each pair of blocks that theirs is in; side: the block's place."""
+    out = rows.withColumn("_blocks", _block("count")).withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
     side = F.when(F.col("_block") == F.col("_other"), -1).otherwise(F.col("_block"))
-    out = out.withColumn("side", side).withColumn(group, F.xxhash64(F.col(group), low, high))
+    out = out.withColumn("side", side).withColumn("path", F.xxhash64("path", low, high))
     return out.drop("_blocks", "_block", "_other", "count")
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Tells sets of links apart: their number, and two sums of their checksums."""
+    mixed = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count("*"), F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of all ids that links (a, b) name: the smallest id that each reaches.
 
     Each round gives every node's larger neighbours, then its smaller ones, to its smallest neighbour (Kiveris et al.,
-    "Connected components in MapReduce and beyond", 2014) and is written; rounds go on until stars are left.
+    "Connected components in MapReduce and beyond", 2014) and is written; rounds go on until they change nothing.
     """
     now = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    while True:
+    seen = _fingerprint(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
@@ -305,85 +332,178 @@ def components(links: DataFrame) -> DataFrame:
         moved = large.join(down, "b")
         small = moved.select(F.col("m").alias("a"), "b").unionByName(moved.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         after = materialize(small.distinct(), "links")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
+        found = _fingerprint(after)
+        discard(now)
         now = after
+        if found == seen:
+            break
+        seen = found
     roots = now.select("a").distinct()
     return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(roots.select(F.col("a").alias("id"), F.col("a").alias("root")))
 
 
-def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that connect all that is connected by pairs with percent * union <= 100 * intersection."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if percent * len(b) > 100 * len(a):
+        return False
+    found = np.searchsorted(b, a)
+    both = int(np.count_nonzero(b[np.minimum(found, len(b) - 1)] == a))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def confirm(sets: list[np.ndarray], asking: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of those asking with all that carry another label, as far as they join what is not yet joined."""
     threshold = percent / 100
-    least = math.floor(POSITIONS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
+    least = math.floor(POSITIONS * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
     sketch = (minwise(sets) & 0xFF).astype(np.uint8)
-    sizes, union, out = np.array([len(s) for s in sets]), Union(len(sets)), []
-    order = np.argsort(sizes, kind="stable")
-    for at, i in enumerate(order[:-1].tolist()):
-        rest = order[at + 1 :]
-        others = rest[(union.label[rest] != union.label[i]) & (sizes[rest] * percent <= 100 * sizes[i])]
-        if sides is not None:
-            others = others[sides[others] != sides[i]]
+    sizes, union, out = np.array([len(s) for s in sets]), Union(label), []
+    for i in asking.tolist():
+        fits = (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent) & (union.label != union.label[i])
+        others = np.flatnonzero(fits)
         if not len(others):
             continue
         alike = np.count_nonzero(sketch[others] == sketch[i], axis=1)
         near = np.flatnonzero(alike >= least)
         for j in others[near[np.argsort(-alike[near], kind="stable")]].tolist():
-            if union.label[i] != union.label[j]:
-                found = np.searchsorted(sets[j], sets[i])
-                both = int(np.count_nonzero(sets[j][np.minimum(found, len(sets[j]) - 1)] == sets[i]))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    union.join(i, j)
-                    out.append((i, j))
+            if union.label[i] != union.label[j] and linked(sets[i], sets[j], percent):
+                union.join(i, j)
+                out.append((i, j))
     return out
 
 
-def confirmed_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links within families, from (family, side, doc_id, text)."""
+def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(class, values): the full set of each member (class, doc_id, digest), as sorted 64-bit hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, data, offsets in text_buffers(batch.column(1)):
+                sets = shingles_of(*words_of(data, offsets), k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(sets)), pa.array([digest_of(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                    ["doc_id", "digest", "values"],
+                )
+
+    # A repeated row, or another text of its id, brings sets that are no member's or a member's again.
+    found = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, digest binary, values binary")
+    return found.join(members, ["doc_id", "digest"]).groupBy("class").agg(F.any_value("values").alias("values"))
+
+
+def with_digest(docs: DataFrame, k: int, text: str = "text", out: str = "_digest") -> DataFrame:
+    """docs with the digest of each row's set, null if that is empty."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, data, offsets in text_buffers(batch.column(at)):
+                sets = shingles_of(*words_of(data, offsets), k)
+                digests = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
+                part = batch.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays([*part.columns, digests], [*part.schema.names, out])
+
+    return docs.mapInArrow(trimmed(run), docs.schema.add(out, "binary"))
+
+
+def _sets_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in column.to_pylist()]
+
+
+def confirmed_likeliest(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each member's likeliest link, if the full sets confirm it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            good = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+    # Every member asks once, so the second join deals the pairs evenly; the first one's hubs are split as skewed keys.
+    asked = best.join(sets.select(F.col("class").alias("b"), F.col("values").alias("hub")), "b")
+    return asked.join(sets.withColumnRenamed("class", "a"), "a").select("a", "b", "hub", "values").mapInArrow(trimmed(run), LINKS)
+
+
+def confirmed_apart(families: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between the parts (class, part) that the first components leave of families (class, family)."""
+    members = families.join(first, families["class"] == first["id"], "left").select("class", "family", F.coalesce("root", "class").alias("part"))
+    parts = materialize(members.groupBy("family", "part").count(), "parts")
+    split = parts.groupBy("family").agg(F.sum("count").alias("n"), F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts"))
+    split = split.where("parts > 1 AND n > 2").select("family", "n", (F.col("n") - F.col("top.count")).alias("outside"), F.col("top.part").alias("top"))
+    own = members.join(split, "family").withColumn("_all", _block("n")).withColumn("_out", _block("outside")).withColumn("_hash", F.xxhash64("class"))
+    asking = own.where("part <> top").select("*", F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_j"))
+    asking = asking.select(F.xxhash64("family", F.pmod("_hash", "_out"), F.col("_j").cast("long")).alias("cell"), F.lit(0).alias("side"), "class", "part")
+    asked = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_out") - 1)).alias("_i"))
+    asked = asked.select(F.xxhash64("family", F.col("_i").cast("long"), F.pmod("_hash", "_all")).alias("cell"), F.lit(1).alias("side"), "class", "part")
 
     def run(batches):
         import pyarrow as pa
 
         for table, starts in _groups(batches):
-            ends = np.append(starts[1:], table.num_rows)
             a, b = [], []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            for s, e in zip(starts.tolist(), np.append(starts[1:], table.num_rows).tolist(), strict=True):
                 part = table.slice(s, e - s)
-                ids, sides = part.column(2).to_numpy(), part.column(1).to_numpy()
-                sets = [x for _, data, offsets in text_buffers(part.column(3)) for x in shingles_of(*words_of(data, offsets), k)]
-                two = sides if sides[0] >= 0 and sides.min() != sides.max() else None
-                for i, j in confirm(ids, sets, percent, two):
+                sides, ids = part.column(1).to_numpy(), part.column(2).to_numpy()
+                asking = np.flatnonzero(sides == 0)
+                if not len(asking) or len(asking) == len(ids):
+                    continue
+                _, label = np.unique(part.column(3).to_numpy(), return_inverse=True)
+                for i, j in confirm(_sets_of(part.column(4)), asking, label, percent):
                     a.append(ids[i])
                     b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    n = shuffle_partitions(texts.sparkSession)
-    grouped = texts.select("family", "side", "doc_id", "text").repartition(n, "family").sortWithinPartitions("family")
-    return grouped.mapInArrow(run, LINKS)
+    n = shuffle_partitions(families.sparkSession)
+    dealt = asking.unionByName(asked).join(sets, "class").select("cell", "side", "class", "part", "values")
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), LINKS)
+
+
+def same_id_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows (doc_id, digest) that share an id."""
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    held = rows.join(several, "doc_id").distinct().join(classes.select("digest", "class"), "digest").select("doc_id", "class")
+    return held.join(held.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
+
+
+def grouped(docs: DataFrame, k: int, percent: int, recall: float = RECALL, key: str = "doc_id", text: str = "text", by_id: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, digest, component_id, first) of each row of docs; digest: of its set, null if that is empty.
+
+    first: the row's set is the component's first, of the smallest id and then the smallest digest. by_id: classes that
+    share an id are linked.
+    """
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    held = materialize(sketches(docs, k, percent, tree_count(recall)), "sketches")
+    # One row for each class: equal sets have equal nodes and bits. Copies are joined before they are shuffled.
+    fine = held.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    once = fine.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
+    classes = materialize(once.withColumn("class", F.monotonically_increasing_id()), "classes")
+    likely = materialize(likely_links(classes, percent), "likely")
+    families = materialize(components(likely).select(F.col("id").alias("class"), F.col("root").alias("family")), "families")
+    members = classes.join(families.select("class"), "class").select("class", "doc_id", "digest")
+    sets = materialize(member_sets(docs, members, k), "sets")
+    links = materialize(confirmed_likeliest(likely, sets, percent), "confirmed")
+    more = materialize(confirmed_apart(families, components(links), sets, percent), "confirmed")
+    links = links.unionByName(more)
+    if by_id:
+        links = links.unionByName(same_id_links(fine.select("doc_id", "digest"), classes))
+    joined = classes.select("class", "doc_id", "digest").join(components(links).withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    tops = joined.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("top"))
+    by_digest = joined.join(tops, "root").select("digest", F.col("top.doc_id").alias("component"), (F.col("top.digest") == F.col("digest")).alias("first"))
+    out = held.join(by_digest, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", "digest", component.alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs."""
-    trees = tree_count(percent / 100, recall, 2)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = materialize(sketches(docs, k, percent, trees), "sketches")
-    # One row for each class: equal sets have equal nodes and bytes. Copies are joined before they are shuffled.
-    linkable = held.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
-    sketched = materialize(linkable.agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch")), "classes")
-    classes = sketched.select("digest", F.col("doc_id").alias("class_id"))
-    likely = likely_links(sketched, percent)
-    families = materialize(components(likely).select(F.col("id").alias("doc_id"), F.col("root").alias("family")), "families")
-    sizes = families.groupBy("family").count()
-    sized = families.join(sizes, "family")
-    whole = sized.where(F.col("count") <= BLOCK).drop("count").withColumn("side", F.lit(-1))
-    parts = _block_pairs(sized.where(F.col("count") > BLOCK), "family")
-    members = whole.select("family", "side", "doc_id").unionByName(parts.select("family", "side", "doc_id"))
-    # A repeated row brings its text twice; equal rows of one id and text are one member.
-    once = docs.join(families.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    links = components(confirmed_links(members.join(once, "doc_id"), k, percent))
-    joined = classes.join(links, classes["class_id"] == links["id"], "left").select("digest", F.coalesce("root", "class_id").alias("component"))
-    labelled = held.join(joined, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return labelled.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = grouped(docs, k, percent, recall, key, text).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
