@@ -5,16 +5,19 @@ one's docs. All but the last return the columns of docs as they are, with the ro
 
 * quality: rows that the line rules keep;
 * language: rows with a language, of which at least ``LEAST_SCORE`` of the letters stand in spans of it;
-* near_dedup: of each group of near copies, at five-word shingles and a similarity of 0.8, the row with the smallest id;
-  of rows with that id, one;
+* near_dedup: of each group of near copies, at five-word shingles and a similarity of 0.8, the row with the smallest id,
+  and of rows with that id and the same shingles, the one with the smallest text. Rows of one id with texts that are no
+  near copies are groups of their own, and rows without words are no one's copy;
 * packing: the pieces of the kept rows, each with its sequence and offset.
 
-Rows with a null doc_id pass through the first two stages by their text alone, and are no one's copy in the third.
+Rows with a null doc_id pass through the first two stages by their text alone, and are no one's copy in the third. Null
+and empty texts have no words and go in the first stage. Very long texts are judged, compared and packed whole. An empty
+table gives empty stages; the other columns of docs are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laminar.llm import language_id, near_dedup, packing, quality_rules
@@ -35,11 +38,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(near_dedup.near_duplicates(docs, SHINGLE, PERCENT).where("kept").select("doc_id"), "kept")
-    whole = docs.join(found.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        whole = whole.dropDuplicates(["doc_id"])  # repeated rows of a kept id
-    return whole.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The first row of each group, found by its id; where an id has several rows, by the digest of its set as well."""
+    found = materialize(near_dedup.grouped(docs, SHINGLE, PERCENT, by_id=False), "grouped").where("doc_id IS NOT NULL")
+    stays = F.col("digest").isNull() | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays.cast("int")).alias("stays")).where("stays = 1"), "ids")
+    once = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    whole = once.unionByName(docs.where(F.col("doc_id").isNull()))
+    several = ids.where("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return whole
+    rows = near_dedup.with_digest(docs.join(several, "doc_id", "left_semi").select(*docs.columns), SHINGLE)
+    firsts = found.where(stays).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_own")).distinct()
+    rows = rows.join(firsts, (F.col("doc_id") == F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_own")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.col("text"), *[F.col(c) for c in docs.columns if c != "text"]))
+    with_words = rows.where("_digest IS NOT NULL").withColumn("_place", place).where("_place = 1")
+    return whole.unionByName(with_words.select(*docs.columns)).unionByName(rows.where("_digest IS NULL").select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
