@@ -4,13 +4,15 @@ Everything is a Spark SQL expression over the text column: one pass over each ro
 
 The rules for a line, each by its words (runs of characters other than white space):
 
-* punctuation: symbols of ``[#*$%&|<>]`` are a twelfth of its characters or more, or half of its words end in ``!!``;
-* navigation: two or more words, and a quarter of all, are a bare ``|``;
+* punctuation: symbols of ``[#*$%&|<>]`` are a twelfth of its characters or more, or half of its words end in ``!!``, or
+  it ends in an ellipsis, or it has twelve words or more and no sentence mark at all;
+* navigation: two words or more, and a quarter of all, are a bare separator, or it consists of words of menus alone;
 * boilerplate: it has five words or more without a lower-case letter but with upper-case ones, or ten words or more of
-  which at most a third differ, or it begins as a licence or copyright line does.
+  which at most a third differ, or it begins as a licence or copyright line does, or it has at most twenty words and a
+  phrase of cookie notices, subscriptions, terms, sharing and the like.
 
 Cases: a null text counts as an empty one; an empty text has no words, so its base rule fails; a line without words
-never fails and loses nothing; equal rows get equal results, one for each row; an empty table gives an empty table;
+never fails and loses nothing; equal rows get equal results, one for each row; a very long text is judged whole, within its row; an empty table gives an empty table;
 columns of the input named like a result are shadowed only in ``assess``'s struct column, which ``out`` names.
 Windows of eight words are compared by a 64-bit hash of their words within one text.
 """
@@ -26,8 +28,21 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: How licence and copyright lines begin, in lower case.
-BOILERPLATE = r"^\\s*(this work is licensed|licensed under|copyright |\\(c\\) |© |all rights reserved|spdx-license)"
+#: What ends or parts a sentence, and words that part the entries of a menu.
+MARKS = "[.!?:;,…。！？、।؟۔]"
+SEPARATORS = ("|", "»", "›", "·", "•", ">", "/")
+_ENTRY = (
+    "(?:home|about|about us|contact|contact us|log ?in|log ?out|sign in|sign up|register|account|search|menu|site ?map|privacy"
+    "|terms|help|faq|news|blog|shop|cart|next|previous|back|top|share|print|rss|skip to (?:main )?content)"
+)
+#: Of lines in lower case: menus; how licence and copyright lines begin; phrases of notices. In both dialects of patterns.
+MENU = rf"^[^a-z]*{_ENTRY}(?:[^a-z]+{_ENTRY})*[^a-z]*\z"
+BOILERPLATE = r"^[^a-z©(]*(?:this work is licensed|licensed under|released under|distributed under|copyright |\(c\) |© |all rights reserved|spdx-license)"
+NOTICE = (
+    "all rights reserved|terms of (?:service|use)|privacy policy|cookie policy|uses? cookies|accept (?:all )?cookies|subscribe to our"
+    "|sign up for our|enable javascript|javascript is (?:disabled|required)|click here|read more|powered by|follow us on|share this"
+    "|add to cart|leave a comment|skip to (?:main )?content|page [0-9]+ of [0-9]+"
+)
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -40,15 +55,24 @@ def _count(text: str, chars: str) -> str:
     return f"(length({text}) - length(translate({text}, '{chars}', '')))"
 
 
+def _sql(pattern: str) -> str:
+    """A pattern as a string of Spark SQL."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _line() -> str:
     words = f"array_remove(split(l, '{_SPACE}'), '')"
+    parts = f"size(filter(w, x -> x IN ({', '.join(map(_sql, SEPARATORS))})))"
     fails = (
         f"size(w) > 0 AND ({_count('l', SYMBOLS)} * 12 >= length(l)"
         " OR size(filter(w, x -> endswith(x, '!!'))) * 2 >= size(w)"
-        " OR (size(w) - size(array_remove(w, '|')) >= 2 AND (size(w) - size(array_remove(w, '|'))) * 4 >= size(w))"
+        " OR endswith(get(w, size(w) - 1), '...') OR endswith(get(w, size(w) - 1), '…')"
+        f" OR (size(w) >= 12 AND NOT l RLIKE {_sql(MARKS)})"
+        f" OR ({parts} >= 2 AND {parts} * 4 >= size(w))"
         " OR (size(w) >= 5 AND upper(l) = l AND lower(l) <> l)"
         " OR (size(w) >= 10 AND size(array_distinct(w)) * 3 <= size(w))"
-        f" OR lower(l) RLIKE '{BOILERPLATE}')"
+        f" OR lower(l) RLIKE {_sql(BOILERPLATE)}"
+        f" OR (size(w) <= 20 AND (lower(l) RLIKE {_sql(MENU)} OR lower(l) RLIKE {_sql(NOTICE)})))"
     )
     return _let(words, "w", f"named_struct('line', l, 'words', w, 'fails', {fails})")
 
@@ -102,6 +126,7 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 _WS = r"[\x20\x09-\x0D]+"
+_SEPARATORS = ", ".join(f"'{x}'" for x in SEPARATORS)
 ORACLE = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS words FROM docs),
@@ -114,10 +139,13 @@ lw AS (SELECT rid, l, list_filter(regexp_split_to_array(l, '{_WS}'), lambda x: x
 judged AS (SELECT rid, l, ws, len(ws) > 0 AND (
     (length(l) - length(translate(l, '#*$%&|<>', ''))) * 12 >= length(l)
     OR len(list_filter(ws, lambda x: ends_with(x, '!!'))) * 2 >= len(ws)
-    OR (len(list_filter(ws, lambda x: x = '|')) >= 2 AND len(list_filter(ws, lambda x: x = '|')) * 4 >= len(ws))
+    OR ends_with(ws[-1], '...') OR ends_with(ws[-1], '…')
+    OR (len(ws) >= 12 AND NOT regexp_matches(l, '{MARKS}'))
+    OR (len(list_filter(ws, lambda x: x IN ({_SEPARATORS}))) >= 2 AND len(list_filter(ws, lambda x: x IN ({_SEPARATORS}))) * 4 >= len(ws))
     OR (len(ws) >= 5 AND upper(l) = l AND lower(l) <> l)
     OR (len(ws) >= 10 AND len(list_distinct(ws)) * 3 <= len(ws))
-    OR regexp_matches(lower(l), '^\s*(this work is licensed|licensed under|copyright |\(c\) |© |all rights reserved|spdx-license)')
+    OR regexp_matches(lower(l), '{BOILERPLATE}')
+    OR (len(ws) <= 20 AND (regexp_matches(lower(l), '{MENU}') OR regexp_matches(lower(l), '{NOTICE}')))
   ) AS fails FROM lw),
 by_line AS (SELECT rid, sum(CASE WHEN fails THEN len(ws) ELSE 0 END) AS lost,
     count(*) FILTER (len(ws) > 0) - count(DISTINCT l) FILTER (len(ws) > 0) AS n_dup_lines FROM judged GROUP BY rid),

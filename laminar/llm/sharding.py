@@ -1,14 +1,15 @@
 """Jump consistent hashing: a stable key and the number of shards decide the shard, without a ring table.
 
-Lamping and Veach, "A Fast, Minimal Memory, Consistent Hash Algorithm" (2014). The key is a 64-bit integer; when
-shards are appended, a key either stays or moves to a new shard. The 64-bit products are taken in 16- and 32-bit limbs,
+Lamping and Veach, "A Fast, Minimal Memory, Consistent Hash Algorithm" (2014). The key is a 64-bit integer, or, of a key
+of another type, a 64-bit checksum of its text; when shards are appended, a key either stays or moves to a new shard. The 64-bit products are taken in 16- and 32-bit limbs,
 so that no step overflows a long, whatever the session's ANSI setting.
 
 Slots number the rows of a shard from 0 in the order of (key, checksum, size). Rows are range-partitioned once by that
 order and written with their range; a range's first slot is the sum of the counts before it, so no task holds a shard.
 
 Cases: a null key hashes as key 0 and sorts first; a null text has size 1 and checksum 0, as the empty text; equal
-rows get slots of their own, and any order among them gives the same rows; an empty table gives an empty table; extra
+rows get slots of their own, and any order among them gives the same rows; a very long text counts as one row of its whole
+size, and only its size and checksum are shuffled; an empty table gives an empty table; extra
 columns of the input are not read.
 """
 
@@ -16,12 +17,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._shared import materialize, shuffle_partitions
 
 #: Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
 SHARDS = 8
+#: Jumps after which few keys have not passed the last shard, however many shards there are.
+STEPS = 40
 _LOW = 0xFFFFFFFF
 
 
@@ -42,10 +46,27 @@ def _next(s: str) -> str:
 
 
 def jump_hash(key: str, shards: int) -> Column:
-    """The shard, 0 to shards - 1, of a bigint column."""
+    """The shard, 0 to shards - 1, of a bigint expression; null counts as 0.
+
+    A key jumps about ln(shards) times. A fold has no early end, so the first STEPS jumps are one fold, and a second one
+    over the rest is worked out only for the few rows that have not passed the last shard by then.
+    """
     start = f"named_struct('b', -1L, 'j', 0L, 'hi', shiftrightunsigned(k, 32), 'lo', k & {_LOW}L)"
-    folded = f"aggregate(sequence(1, {shards}), {start}, (s, i) -> if(s.j >= {shards}, s, {_next('s')}), s -> cast(s.b AS int))"
-    return F.expr(f"transform(array(coalesce(cast(`{key}` AS bigint), 0L)), k -> {folded})[0]")
+
+    def fold(first: int, last: int, state: str, out: str) -> str:
+        return f"aggregate(sequence({first}, {last}), {state}, (s, i) -> if(s.j >= {shards}, s, {_next('s')}), s -> {out})"
+
+    found = "cast(s.b AS int)"
+    if shards > STEPS:
+        found = f"if(s.j >= {shards}, {found}, {fold(STEPS + 1, shards, 's', found)})"
+    return F.expr(f"transform(array(coalesce({key}, 0L)), k -> {fold(1, min(shards, STEPS), start, found)})[0]")
+
+
+def _number(docs: DataFrame, key: str) -> str:
+    """The key as a bigint expression: whole numbers as they are, other types by a checksum of their text."""
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        return f"cast(`{key}` AS bigint)"
+    return f"if(`{key}` IS NULL, NULL, xxhash64(cast(`{key}` AS string)))"
 
 
 def number_within(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
@@ -73,8 +94,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
         F.col(key),
         (F.octet_length(filled) + 1).cast("long").alias("size"),
         F.crc32(filled.cast("binary")).alias("text_crc32"),
-        jump_hash(key, shards).alias("shard"),
-        jump_hash(key, shards + 1).alias("grown_shard"),
+        jump_hash(_number(docs, key), shards).alias("shard"),
+        jump_hash(_number(docs, key), shards + 1).alias("grown_shard"),
     )
     return number_within(digest, "shard", [key, "text_crc32", "size"], "slot")
 

@@ -199,6 +199,21 @@ def test_jump_hash(spark):
         assert got == {k: jump(k, n) for k in keys}
 
 
+def test_jump_hash_many(spark, monkeypatch):
+    """Keys that have not passed the last shard after the first fold go through the second."""
+    monkeypatch.setattr(sharding, "STEPS", 3)
+    df = spark.range(300)
+    assert {r["id"]: r["s"] for r in df.select("id", sharding.jump_hash("id", 1000).alias("s")).collect()} == {k: jump(k, 1000) for k in range(300)}
+
+
+def test_sharding_text_keys(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), (None, "y"), ("12", ""), ("a", "x")], "key string, text string")
+    got = [(r["key"], r["shard"], r["grown_shard"], r["slot"]) for r in sharding.shard(df, 3, key="key").collect()]
+    assert len(got) == 5 and len({s for k, s, _, _ in got if k == "a"}) == 1 and all(g in (s, 3) for _, s, g, _ in got)
+    for s in {x[1] for x in got}:
+        assert sorted(x[3] for x in got if x[1] == s) == list(range(sum(x[1] == s for x in got)))
+
+
 def test_sharding_awkward(awkward, nothing):
     got = sharding.shard(awkward).collect()
     assert len(got) == 12
@@ -441,6 +456,59 @@ def test_near_duplicates(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """All texts of an id count: 1 and 2 meet in text a, 1 and 3 in text b."""
+    a, b, z = (" ".join(f"{x}{i}" for i in range(60)) for x in "abz")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, z), (4, ""), (5, z), (6, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, True, 1, True)] * 2 + [(2, True, 1, False), (3, True, 1, False)] + [(4, False, 4, True)] * 2 + [(4, True, 4, True), (5, True, 4, False), (6, False, 6, True)]
+    # Many texts of one id, linked by it alone.
+    rows = [(7, f"{i} " + " ".join(f"{i}x{j}" for j in range(30))) for i in range(40)] + [(9, rows[0][1]), (8, "39 " + " ".join(f"39x{j}" for j in range(30)))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 7), (9, 9), (8, 7)}
+
+
+def test_near_duplicates_apart(spark, monkeypatch):
+    """A family that its likeliest links leave in parts: members near the threshold, joined by a few of many pairs."""
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for at in draw.choice(100, int(draw.integers(2, 6)), replace=False).tolist():
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (512, 16):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+        assert got == brute_components(rows, 3, 85) and 1 < len({c for _, c in got.values()}) < 160
+
+
+def test_trees():
+    """The roots branch about as often as the recall target counts on, at both thresholds in use."""
+    trees = near_dedup.tree_count(near_dedup.RECALL)
+    for threshold in (0.8, 0.85):
+        assert len(near_dedup.root_branches(trees, threshold)) >= trees / threshold
+    q = 0.0
+    for _ in range(200):
+        q = np.exp(near_dedup.BELOW * (q - 1))
+    assert np.exp(q - 1) ** trees <= 1 - near_dedup.RECALL
+
+
+def test_words_do_not_collide():
+    """Words built so that polynomials of their bytes agree (Thue-Morse) have hashes of their own."""
+    signs = "01"
+    for _ in range(9):
+        signs += "".join("10"[int(x)] for x in signs)
+    pair = signs.translate({48: "a", 49: "b"}), signs.translate({48: "b", 49: "a"})
+    assert len(pair[0]) == 1024
+    for _, data, offsets in text_buffers(pa.array(list(pair))):
+        hashes, _ = words_of(data, offsets, LOWER)
+        assert hashes[0] != hashes[1]
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == 12
@@ -476,7 +544,8 @@ def test_main_text():
 
 
 def test_tree_learns_its_table():
-    assert all(html_text.tree().predict(x) == y for x, y in html_text.LABELLED)
+    rows, labels = html_text._labelled()
+    assert len(rows) > 100 and [html_text.tree().predict(x) for x in rows] == labels.tolist()
 
 
 def test_html_pages(spark):
@@ -495,6 +564,24 @@ def test_html_pages(spark):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+def test_html_odd_markup():
+    """Markup that must not lose text: letters that grow in lower case, elements that never end, names of layout."""
+    text = "This is a paragraph of plain text that is long enough to count as the main text of the page."
+    more = "And this is the other one, which is just as long and says as little as the first of the two."
+    both = text + "\n\n" + more
+    assert html_text.main_text("<p>" + "\u0130" * 12 + f"</p><article><script>x</script><p>{text}</p><style>y</STYLE ><p>{more}</p></article>") == both
+    for tag in ("object", "select", "video", "svg", "noscript", "iframe", "canvas"):
+        assert html_text.main_text(f"<article><p>{text}</p><{tag}><p>{more}</p></article>") == both, tag
+        assert html_text.main_text(f"<article><p>{text}</p><{tag}><b>hidden</b><{tag}>h</{tag}></{tag}><p>{more}</p></article>") == both, tag
+    assert html_text.main_text(f"<article><p>{text}</p><script>var x = '<p>'; <p>{more}</p></article>") == text
+    assert "x + 1" in html_text.main_text(f"<article><p>{text} <math><mi>x</mi> + 1</math></p></article>")
+    for name in ("layout with-sidebar", "no-comments", "has-header", "widget-area", "sidebar"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>{text}</p><p>{more}</p></article></div>") == both, name
+    for name in ("comments", "related", "ad"):
+        assert html_text.main_text(f"<article><p>{text}</p></article><div class='{name}'><article><p>{more}</p></article></div>") == text, name
+    assert html_text.main_text(f"<form><main><p>{text}</p><p>{more}</p></main></form>") == both
+
+
 # 8. WARC.
 
 
@@ -595,6 +682,14 @@ def test_lines(spark):
     got = {r["doc_id"]: r["rules"] for r in quality_rules.rules(df).collect()}
     assert [got[i]["kept"] for i in range(len(cases))] == list(cases.values())
     assert got[3]["cleaned"] == good.rstrip("\n")
+    fails = [
+        "Home", "home | About us | CONTACT", "» Next · Previous «", "All rights reserved, 2020.", "© 2020 Someone", "Copyright 2020 by us", "We use cookies to make this better.",
+        "The news of today continues on the next page and then it ends there...", "and so it went on…", "a b c d e f g h i j k l", "one two | three four |", "BUY THIS THING RIGHT NOW",
+    ]
+    fine = ["", "A heading", "At home, he said, there was nothing about it.", "- an item of a list", "Contact was lost.", "x | y is a pipe that a sentence may hold, once.", "One, two"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(fails + fine)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_failed_lines"] for r in quality_rules.rules(df).select("doc_id", "rules.n_failed_lines").collect()}
+    assert [x for i, x in enumerate(fails + fine) if got[i]] == fails
 
 
 def test_queries_cover_all_ten():

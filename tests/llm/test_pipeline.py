@@ -46,6 +46,7 @@ def kept_by_rules(text):
         fails = w and (
             sum(c in "#*$%&|<>" for c in line) * 12 >= len(line) or sum(x.endswith("!!") for x in w) * 2 >= len(w) or (bars >= 2 and bars * 4 >= len(w))
             or (len(w) >= 5 and line.upper() == line and line.lower() != line) or (len(w) >= 10 and len(set(w)) * 3 <= len(w))
+            or (len(w) >= 12 and not any(c in ".!?:;," for c in line))
         )
         lost += len(w) if fails else 0
     return 100 * lost <= 50 * len(words)
