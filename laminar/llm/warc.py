@@ -12,7 +12,8 @@ Of records with equal payloads of at least ``least`` bytes, that with the larges
 are revisits that name it. The group is found by digest and size, counted before it is joined back.
 
 Cases: a null payload is an empty one, a null URL is left out of the record; equal ids with equal payloads, as in
-repeated rows, are all responses where their id is the largest; null ids are written without a record id, never as a
+repeated rows, are all responses where their id is the largest; a very long payload is one record, written and read alone,
+in memory in proportion to it; null ids are written without a record id, never as a
 revisit nor as its target; an empty table gives an empty archive and index; extra columns are not read.
 """
 
@@ -26,12 +27,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch, shuffle_partitions
+from ._shared import materialize, scratch, shuffle_partitions, text_slices, trimmed
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 0
 #: Ranges of a file that lie at most so far apart are read together, up to so many bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+#: Bytes of payloads that are written at a time, one record at least.
+BLOCK_BYTES = 4 << 20
 DATE = "2020-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, payload binary, digest string, refers_to long"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, payload_bytes long, record_type string"
@@ -54,6 +57,9 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # Grouped before it is joined: one row for each payload found twice or more. The join's skewed digests are split.
     twice = keys.where(F.col("page_id").isNotNull() & (F.col("n") >= least)).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     revisits = keys.join(twice, ["digest", "n"]).where("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    # Written, so that its size is known: where it is below the session's threshold it goes to the pages, which then stay
+    # in place; only beyond it payloads are shuffled.
+    revisits = materialize(revisits, "revisits")
     return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
@@ -89,35 +95,45 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:length]
 
 
+def _opened(url: str):
+    """Arrow's file system of a URL, and the path there; Hadoop's names of S3 are the one that Arrow knows."""
+    from pyarrow import fs
+
+    scheme, mark, rest = url.partition("://")
+    return fs.FileSystem.from_uri(f"s3{mark}{rest}" if scheme in ("s3a", "s3n") else url)
+
+
 def write(records: DataFrame, path: str) -> DataFrame:
     """Writes records (``RECORDS``) to files in the shared folder path; the index, written beside them, is returned."""
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
-
-        opened = None
-        for batch in batches:
-            rows: list[tuple] = []
-            for x in batch.to_pylist():
-                if opened is None:
-                    name = f"{path}/{uuid.uuid4().hex}.warc.gz"
-                    system, place = fs.FileSystem.from_uri(name)
-                    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                    opened, offset = system.open_output_stream(place, compression=None), 0
-                member = gzip.compress(record(x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"]), 6, mtime=0)
-                opened.write(member)
-                kind = "response" if x["refers_to"] is None else "revisit"
-                rows.append((name, offset, len(member), x["page_id"], x["url"], x["digest"], len(x["payload"]), kind))
-                offset += len(member)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            names = ["file", "offset", "length", "page_id", "url", "digest", "payload_bytes", "record_type"]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-        if opened is not None:
-            opened.close()
 
-    index = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, INDEX)
+        opened, name, offset = None, None, 0
+        try:
+            for batch in batches:
+                for first, last in text_slices(batch.column(2), BLOCK_BYTES):
+                    rows: list[tuple] = []
+                    for x in batch.slice(first, last - first).to_pylist():
+                        if opened is None:
+                            name = f"{path}/{uuid.uuid4().hex}.warc.gz"
+                            system, place = _opened(name)
+                            system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                            opened = system.open_output_stream(place, compression=None)
+                        member = gzip.compress(record(x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"]), 6, mtime=0)
+                        opened.write(member)
+                        kind = "response" if x["refers_to"] is None else "revisit"
+                        rows.append((name, offset, len(member), x["page_id"], x["url"], x["digest"], len(x["payload"]), kind))
+                        offset += len(member)
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+                    names = ["file", "offset", "length", "page_id", "url", "digest", "payload_bytes", "record_type"]
+                    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        finally:
+            if opened is not None:
+                opened.close()
+
+    index = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(trimmed(run), INDEX)
     return materialize(index, "warc-index")
 
 
@@ -140,49 +156,48 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     read by several tasks.
     """
 
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
+    def numbered(value: str | None):
+        return None if value is None else int(value.strip("<>").rpartition(":")[2])
 
-        opened: dict[str, object] = {}
+    def told(data: bytes) -> tuple:
+        fields, body = parse(gzip.decompress(data))
+        revisit = fields["warc-type"] == "revisit"
+        digest = fields["warc-payload-digest"].partition(":")[2] if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
+        size = int(fields["warc-payload-length"]) if revisit else len(body)
+        ids = numbered(fields.get("warc-record-id")), numbered(fields.get("warc-refers-to"))
+        return ids[0], fields.get("warc-target-uri"), fields["warc-type"], ids[1], digest, size, body if with_payload and not revisit else None
 
-        def parts(file: str, rows: list[tuple[int, int]]):
-            if file not in opened:
-                for x in opened.values():
-                    x.close()
-                opened.clear()
-                system, place = fs.FileSystem.from_uri(file)
-                opened[file] = system.open_input_file(place)
-            for start, end, members in _ranges(rows):
-                data = opened[file].read_at(end - start, start)
-                for offset, length in members:
-                    yield parse(gzip.decompress(data[offset - start : offset - start + length]))
-
-        def numbered(value: str | None):
-            return None if value is None else int(value.strip("<>").rpartition(":")[2])
+    def run(batches):
+        import pyarrow as pa
 
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+        name, opened = None, None
         for batch in batches:
             files, offsets, lengths = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
             a = 0
             while a < len(files):
                 b = a
                 while b < len(files) and files[b] == files[a]:
                     b += 1
-                for fields, body in parts(files[a], list(zip(offsets[a:b], lengths[a:b], strict=True))):
-                    revisit = fields["warc-type"] == "revisit"
-                    digest = fields["warc-payload-digest"].partition(":")[2] if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    size = int(fields["warc-payload-length"]) if revisit else len(body)
-                    out.append((numbered(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], numbered(fields.get("warc-refers-to")), digest, size, body if with_payload and not revisit else None))
+                if files[a] != name:
+                    if opened is not None:
+                        opened.close()
+                    name = files[a]
+                    system, place = _opened(name)
+                    opened = system.open_input_file(place)
+                # A range at a time, so that no more payloads are held than it has.
+                for start, end, members in _ranges(list(zip(offsets[a:b], lengths[a:b], strict=True))):
+                    data = opened.read_at(end - start, start)
+                    columns = list(zip(*[told(data[o - start : o - start + n]) for o, n in members], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
                 a = b
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        if opened is not None:
+            opened.close()
 
     n = shuffle_partitions(index.sparkSession)
     dealt = index.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / RANGE))
-    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, READ)
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(trimmed(run), READ)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
