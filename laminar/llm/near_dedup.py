@@ -59,6 +59,8 @@ NODE = 16384
 ROOT, BELOW = 1.0, 1.5
 #: Members of a family, or of a node that no branching divides, that one task compares with as many others.
 BLOCK = 512
+#: Links, 16 bytes each, that one task unites.
+TOGETHER = 1 << 20
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -315,15 +317,34 @@ def _fingerprint(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first())
 
 
+def _united(batches):
+    """(id, root) of links that one task holds: labels sink to the smallest that each reaches."""
+    import pyarrow as pa
+
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    a, b = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype=np.int64) for i in range(2))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (jumped := root[root]).tobytes() != root.tobytes():
+            root = jumped
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of all ids that links (a, b) name: the smallest id that each reaches.
 
-    Each round gives every node's larger neighbours, then its smaller ones, to its smallest neighbour (Kiveris et al.,
-    "Connected components in MapReduce and beyond", 2014) and is written; rounds go on until they change nothing.
+    Up to TOGETHER links are united in one task. For more, each round gives every node's larger neighbours, then its
+    smaller ones, to its smallest neighbour (Kiveris et al., "Connected components in MapReduce and beyond", 2014) and is
+    written; rounds go on until they change nothing, or so few links are left. Both ways give the same.
     """
     now = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     seen = _fingerprint(now)
-    while seen[0]:
+    while seen[0] > TOGETHER:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
@@ -336,10 +357,10 @@ def components(links: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if found == seen:
-            break
+            roots = now.select("a").distinct()
+            return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(roots.select(F.col("a").alias("id"), F.col("a").alias("root")))
         seen = found
-    roots = now.select("a").distinct()
-    return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(roots.select(F.col("a").alias("id"), F.col("a").alias("root")))
+    return now.coalesce(1).mapInArrow(trimmed(_united), "id long, root long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

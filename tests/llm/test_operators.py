@@ -518,10 +518,24 @@ def test_near_duplicates_awkward(awkward, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (12, 11), (13, 12), (20, 20), (9, 1)]
-    got = {r["id"]: r["root"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 1, 10: 10, 11: 10, 12: 10, 13: 10}
+    draw = np.random.default_rng(1)
+    many = [(int(x), int(y)) for x, y in draw.integers(100, 160, (50, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    want, least = {}, {}
+    for x, y in links + many:
+        if x != y:
+            for v in (x, y):
+                least.setdefault(v, {v})
+            one = least[x] | least[y]
+            for v in one:
+                least[v] = one
+    want = {v: min(group) for v, group in least.items()}
+    for together in (1 << 20, 12, 0):
+        monkeypatch.setattr(near_dedup, "TOGETHER", together)
+        got = near_dedup.components(spark.createDataFrame(links + many, "a long, b long")).collect()
+        assert {r["id"]: r["root"] for r in got} == want and len(got) == len(want)
+        assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 7. Main text.
