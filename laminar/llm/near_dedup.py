@@ -2,9 +2,9 @@
 
 Christiani and Pagh, "Set similarity search beyond MinHash" (2017); Christiani, Pagh and Sivertsen, "Scalable and robust
 set similarity join" (2018). A document is the set of its k-word shingles, embedded as T minwise values. Each of several
-independent trees branches at its root on a few of the T positions, each taken with probability 1 / (threshold * T): a
-document follows the edge of its value at each. Nodes that are still large branch again, on positions drawn for that
-node; small nodes are compared exhaustively by their minwise values. Trees are repeated until the recall target holds
+independent trees branches at its root on one of the T positions: a document follows the edge of its value there. Nodes
+that are still large branch again, on positions drawn for that node, each taken with probability 1.5 / (threshold * T);
+small nodes are compared exhaustively by their minwise values. Trees are repeated until the recall target holds
 for a pair just at the threshold.
 
 The steps:
@@ -55,8 +55,8 @@ LEAF = 1024
 LEVELS = 4
 #: Rows of a node that one task holds and branches in memory; larger ones are dealt out by their branches first.
 NODE = 16384
-#: Expected children of a pair at the threshold in a node: at the root, and below it.
-ROOT, BELOW = 1.0, 1.5
+#: Expected children of a pair at the threshold in a node below the root.
+BELOW = 1.5
 #: Members of a family, or of a node that no branching divides, that one task compares with as many others.
 BLOCK = 512
 #: Links, 16 bytes each, that one task unites.
@@ -85,24 +85,28 @@ def packed(values: np.ndarray) -> np.ndarray:
     return low[:, 0::2] << 4 | low[:, 1::2]
 
 
-def tree_count(recall: float) -> int:
-    """Trees needed for a pair at the threshold to meet in a node, if branching goes on for any number of levels."""
+def tree_count(threshold: float, recall: float) -> int:
+    """Trees needed for a pair at the threshold to meet in a leaf, if branching goes on for any number of levels.
+
+    The pair passes the root of a tree if it agrees at the root's position; below, its meeting dies out with the smallest
+    root of the branching process's equation.
+    """
     apart = 0.0
-    for _ in range(200):  # the branching process below the root dies out with the smallest root of this equation
+    for _ in range(200):
         apart = math.exp(BELOW * (apart - 1))
-    return math.ceil(math.log(1 - recall) / (ROOT * (apart - 1)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - apart)))
 
 
-def chosen(path: int, threshold: float, positions: int, mean: float = BELOW) -> list[int]:
-    """The positions on which the node of that path branches, each taken with probability mean / (threshold * positions)."""
+def chosen(path: int, threshold: float, positions: int) -> list[int]:
+    """The positions on which a node below the root branches, each taken with probability BELOW / (threshold * positions)."""
     with np.errstate(over="ignore"):
         draws = mix(U(path & (2**64 - 1)) * U(0x9E3779B97F4A7C15) + np.arange(1, positions + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
-    return np.flatnonzero(draws < U(min(2**64 - 1, int(2**64 * mean / (threshold * positions))))).tolist()
+    return np.flatnonzero(draws < U(min(2**64 - 1, int(2**64 * BELOW / (threshold * positions))))).tolist()
 
 
-def root_branches(trees: int, threshold: float) -> list[tuple[int, int]]:
-    """(tree, position) of all branches at the roots."""
-    return [(tree, position) for tree in range(trees) for position in chosen(tree - trees, threshold, POSITIONS, ROOT)]
+def roots(trees: int) -> list[int]:
+    """The position on which each tree's root branches: each another one, so that trees are independent."""
+    return np.random.default_rng(SEED).permutation(POSITIONS)[:trees].tolist()
 
 
 def child(path, position: int, values: np.ndarray) -> np.ndarray:
@@ -118,10 +122,9 @@ def digest_of(s: np.ndarray) -> bytes:
 SKETCHED = "doc_id long, n_shingles long, digest binary, roots array<long>, sketch binary"
 
 
-def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, k: int, trees: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's set size, the digest of its set, its nodes at the first level, and its packed minwise values."""
-    threshold = percent / 100
-    branches = root_branches(trees, threshold)
+    positions = roots(trees)
 
     def run(batches):
         import pyarrow as pa
@@ -131,7 +134,7 @@ def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_
                 sets = shingles_of(*words_of(data, offsets), k)
                 full = [s for s in sets if len(s)]
                 values = minwise(full)
-                roots = np.stack([child(tree - trees, position, values[:, position]) for tree, position in branches], axis=1)
+                nodes = np.stack([child(tree - trees, position, values[:, position]) for tree, position in enumerate(positions)], axis=1)
                 low = packed(values)
                 at = iter(range(len(full)))
                 place = [next(at) if len(s) else None for s in sets]
@@ -140,7 +143,7 @@ def sketches(docs: DataFrame, k: int, percent: int, trees: int, key: str = "doc_
                         batch.column(0).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([None if i is None else digest_of(s) for i, s in zip(place, sets, strict=True)], pa.binary()),
-                        pa.array([None if i is None else roots[i] for i in place], pa.list_(pa.int64())),
+                        pa.array([None if i is None else nodes[i] for i in place], pa.list_(pa.int64())),
                         pa.array([None if i is None else low[i].tobytes() for i in place], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "digest", "roots", "sketch"],
@@ -395,7 +398,7 @@ def confirm(sets: list[np.ndarray], asking: np.ndarray, label: np.ndarray, perce
 
 
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(class, values): the full set of each member (class, doc_id, digest), as sorted 64-bit hashes."""
+    """(class, values): the full set of each member (class, doc_id, digest, copies), as sorted 64-bit hashes."""
 
     def run(batches):
         import pyarrow as pa
@@ -408,9 +411,11 @@ def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "digest", "values"],
                 )
 
-    # A repeated row, or another text of its id, brings sets that are no member's or a member's again.
     found = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, digest binary, values binary")
-    return found.join(members, ["doc_id", "digest"]).groupBy("class").agg(F.any_value("values").alias("values"))
+    # Another text of an id is no member's set; a set of several rows can come several times, from rows of one id.
+    own = materialize(found.join(members, ["doc_id", "digest"]).select("class", "copies", "values"), "sets")
+    once = own.where("copies > 1").groupBy("class").agg(F.any_value("values").alias("values"))
+    return own.where("copies = 1").select("class", "values").unionByName(once)
 
 
 def with_digest(docs: DataFrame, k: int, text: str = "text", out: str = "_digest") -> DataFrame:
@@ -435,20 +440,34 @@ def _sets_of(column) -> list[np.ndarray]:
 
 
 def confirmed_likeliest(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each member's likeliest link, if the full sets confirm it."""
+    """Each member's likeliest link, if the full sets confirm it.
+
+    Members that chose the same one meet in cells of about BLOCK of them, each with the set of the chosen one.
+    """
+    both = likely.select("a", "b", "alike").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
+    best = materialize(both.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b")), "likeliest")
+    counts = best.groupBy("b").count()
+    cells = best.join(counts, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), _block("count"))).alias("cell"))
+    asking = cells.select("cell", "b", F.lit(1).alias("side"), F.col("a").alias("class"))
+    asked = cells.select("cell", "b", F.lit(0).alias("side"), F.col("b").alias("class")).distinct()
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            good = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for table, starts in _groups(batches):
+            out: list[tuple] = []
+            for s, e in zip(starts.tolist(), np.append(starts[1:], table.num_rows).tolist(), strict=True):
+                part = table.slice(s, e - s)
+                chosen_ones, sides, ids = (part.column(i).to_numpy() for i in (1, 2, 3))
+                values = _sets_of(part.column(4))
+                hubs = {int(ids[i]): values[i] for i in np.flatnonzero(sides == 0)}
+                out += [(int(ids[i]), int(chosen_ones[i])) for i in np.flatnonzero(sides == 1) if linked(values[i], hubs[int(chosen_ones[i])], percent)]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
-    # Every member asks once, so the second join deals the pairs evenly; the first one's hubs are split as skewed keys.
-    asked = best.join(sets.select(F.col("class").alias("b"), F.col("values").alias("hub")), "b")
-    return asked.join(sets.withColumnRenamed("class", "a"), "a").select("a", "b", "hub", "values").mapInArrow(trimmed(run), LINKS)
+    n = shuffle_partitions(likely.sparkSession)
+    dealt = asking.unionByName(asked).join(sets, "class").select("cell", "b", "side", "class", "values")
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), LINKS)
 
 
 def confirmed_apart(families: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -499,15 +518,15 @@ def grouped(docs: DataFrame, k: int, percent: int, recall: float = RECALL, key:
     share an id are linked.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = materialize(sketches(docs, k, percent, tree_count(recall)), "sketches")
+    held = materialize(sketches(docs, k, tree_count(percent / 100, recall)), "sketches")
     # One row for each class: equal sets have equal nodes and bits. Copies are joined before they are shuffled.
     fine = held.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    once = fine.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
+    once = fine.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = materialize(once.withColumn("class", F.monotonically_increasing_id()), "classes")
     likely = materialize(likely_links(classes, percent), "likely")
     families = materialize(components(likely).select(F.col("id").alias("class"), F.col("root").alias("family")), "families")
-    members = classes.join(families.select("class"), "class").select("class", "doc_id", "digest")
-    sets = materialize(member_sets(docs, members, k), "sets")
+    members = classes.join(families.select("class"), "class").select("class", "doc_id", "digest", "copies")
+    sets = member_sets(docs, members, k)
     links = materialize(confirmed_likeliest(likely, sets, percent), "confirmed")
     more = materialize(confirmed_apart(families, components(links), sets, percent), "confirmed")
     links = links.unionByName(more)

@@ -37,12 +37,12 @@ from ._shared import discard, materialize, shuffle_partitions, trimmed
 from .near_dedup import _groups
 
 #: Neighbours of a node in the graph, reverse ones drawn for a round, and matches offered to a node by another.
-DEGREE, REVERSE, OFFERS = 20, 20, 8
+DEGREE, REVERSE, OFFERS = 32, 32, 12
 #: Nodes that are compared with each other at the start, layouts, and pivots of a layout at each of its levels.
 BLOCK, TREES, PIVOTS, LEVELS = 1024, 4, 256, 3
 #: The build ends when at most this share of the graph's entries is new; it fails if that takes more rounds than this.
 SETTLED, ROUNDS = 0.02, 30
-BEAM, EXPAND = 64, 32
+BEAM, EXPAND = 128, 64
 #: Nodes expanded in a round at most, where so many are within the error of the codes.
 CLOSE = 256
 PLACES = 13

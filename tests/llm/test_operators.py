@@ -487,14 +487,20 @@ def test_near_duplicates_apart(spark, monkeypatch):
 
 
 def test_trees():
-    """The roots branch about as often as the recall target counts on, at both thresholds in use."""
-    trees = near_dedup.tree_count(near_dedup.RECALL)
-    for threshold in (0.8, 0.85):
-        assert len(near_dedup.root_branches(trees, threshold)) >= trees / threshold
-    q = 0.0
-    for _ in range(200):
-        q = np.exp(near_dedup.BELOW * (q - 1))
-    assert np.exp(q - 1) ** trees <= 1 - near_dedup.RECALL
+    """Pairs at the threshold meet as often as the recall target says, at any depth of branching."""
+    draw = np.random.default_rng(6)
+    assert near_dedup.tree_count(0.85, 0.9999) <= near_dedup.tree_count(0.8, 0.9999) <= near_dedup.POSITIONS
+    positions = near_dedup.roots(near_dedup.tree_count(0.8, 0.9))
+    assert len(set(positions)) == len(positions)
+
+    def meets(alike, path, level):
+        return not level or any(meets(alike, int(draw.integers(1 << 62)), level - 1) for p in near_dedup.chosen(path, 0.8, near_dedup.POSITIONS) if alike[p])
+
+    met = 0
+    for _ in range(400):
+        alike = draw.random(near_dedup.POSITIONS) < 0.8
+        met += any(alike[p] and meets(alike, int(draw.integers(1 << 62)), 6) for p in positions)
+    assert met >= 0.87 * 400
 
 
 def test_words_do_not_collide():
