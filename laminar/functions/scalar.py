@@ -40,7 +40,8 @@ def split_nanos(nanos) -> tuple[Column, Column]:
     """Microseconds, rounded down, and the nanoseconds left, 0 to 999."""
     t = _c(nanos).cast("long")
     rest = F.pmod(t, F.lit(1000).cast("long"))
-    return ((t - rest) / 1000).cast("long"), rest
+    # Whole-number division, as a double cannot hold present-day nanoseconds; of the rest first, so that nothing overflows.
+    return F.call_function("div", t, F.lit(1000).cast("long")) - F.when((t < 0) & (rest > 0), 1).otherwise(0), rest
 
 
 def same_map(a, b) -> Column:
@@ -49,9 +50,43 @@ def same_map(a, b) -> Column:
 
 
 def decimal_scale(x, exponent: int) -> tuple[Column, Column]:
-    """The value times a power of ten, rounded, and whether dividing gives the value back exactly."""
+    """The value times a power of ten, rounded, and whether dividing gives the value back exactly, its sign included."""
     scaled = F.rint(_c(x) * float(10**exponent)).try_cast("long")  # null past the range of a long
-    return scaled, F.coalesce(scaled / float(10**exponent) == _c(x), _c(x).isNull())
+    same = (scaled / float(10**exponent) == _c(x)) & ~negative_zero(x)
+    return scaled, F.coalesce(same, _c(x).isNull())
+
+
+def negative_zero(x) -> Column:
+    """Whether a double is -0.0, which equals 0.0: only its text tells."""
+    return (_c(x) == 0) & _c(x).cast("string").startswith("-")
+
+
+def double_bits(x, single: bool = False) -> Column:
+    """The bits of a double (or, of a float, its 32), as the integer that has the same.
+
+    SQL has no cast for it, so they are put together: a scaling by a power of two is exact, which gives the exponent and
+    the mantissa as whole numbers. NaN counts as the quiet one without a payload.
+    """
+    digits, bias, least = (23, 127, -126) if single else (52, 1023, -1022)
+    v = _c(x).cast("double")
+    a = F.abs(v)
+    two = F.lit(2.0)
+    # The scaling goes in two steps, as the power itself would overflow at the ends of the range.
+    guess = F.greatest(F.floor(F.log2(a)), F.lit(least)).cast("int")
+
+    def scaled(e: Column) -> Column:
+        h = F.floor(e / 2)
+        return a * F.pow(two, -h) * F.pow(two, h - e)
+
+    at = F.when(scaled(guess) >= 2, guess + 1).when((scaled(guess) < 1) & (guess > least), guess - 1).otherwise(guess)
+    m = scaled(at)
+    fraction = F.when(m >= 1, m - 1).otherwise(m) * F.lit(float(1 << digits))
+    exponent = F.when(m >= 1, at + bias).otherwise(F.lit(0))
+    normal = F.shiftleft(exponent.cast("long"), digits) + F.rint(fraction).cast("long")
+    top = F.lit(((1 << (8 if single else 11)) - 1) << digits).cast("long")
+    body = F.when(F.isnan(v), top + (1 << (digits - 1))).when(a == float("inf"), top).when(a == 0, F.lit(0).cast("long")).otherwise(normal)
+    sign = F.when(~F.isnan(v) & ((v < 0) | negative_zero(v)), F.lit(1 << 31 if single else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(v.isNotNull(), sign.bitwiseOR(body))
 
 
 def pack(rows: DataFrame, width: int, per_word: int) -> DataFrame:

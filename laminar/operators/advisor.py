@@ -1,8 +1,8 @@
 """Which encoding suits a column of a stripe: estimated sizes from statistics, and the cheapest by size and read cost.
 
 Estimates are bytes of encoded streams, by closed formulas over a group's statistics; nothing is encoded. Values of
-integers are taken as unsigned of their width, as the codecs do, so that a column of mixed signs has a wide range.
-Doubles count as ranges of all 64 bits, because SQL cannot see their bit patterns.
+integers are taken as unsigned of their width, as the codecs do, so that a column of mixed signs has a wide range, and
+doubles and floats by their bits.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laminar.functions.scalar import double_bits
 from laminar.operators import stats
 
 #: Bytes before each encoded stream, and what reading each encoding costs for its size, in order of trial.
@@ -63,7 +64,7 @@ def sparse_bool(n, k) -> Column:
     return F.lit(PREFIX + 1) + packed_u32(_n(k) + 1, 0, n)
 
 
-def numeric_estimates(width: int, integral: bool = True) -> dict[str, Column]:
+def numeric_estimates(width: int) -> dict[str, Column]:
     """Estimates over a group's facts: n, ndv, span, runs, min_run, max_run, mode_n, varint_bytes. None: not usable."""
     n, ndv, span = F.col("n"), F.col("ndv"), F.col("span")
     rest = n - F.col("mode_n")
@@ -75,7 +76,7 @@ def numeric_estimates(width: int, integral: bool = True) -> dict[str, Column]:
         "Dictionary": packed_u32(n, 0, ndv - 1) + F.least(trivial(ndv, width), packed(ndv, span, width)) + PREFIX + 4,
         "RLE": F.lit(PREFIX + 4) + packed_u32(F.col("runs"), F.col("min_run"), F.col("max_run")) + packed(F.col("runs"), span, width),
     }
-    if integral and width >= 4:
+    if width >= 4:
         out["Varint"] = F.lit(PREFIX + width) + F.col("varint_bytes")
     return out
 
@@ -130,9 +131,9 @@ def facts(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
     if isinstance(kind, T.BooleanType):
         return counted.groupBy(by).agg(*sums, F.sum(F.when(F.col("v"), F.col("c")).otherwise(0)).alias("ones")).join(run, by)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        whole = F.lit(Decimal((1 << (8 * WIDTHS[kind.typeName()])) - 1))
-        return counted.groupBy(by).agg(*sums).withColumn("span", whole).join(run, by)
-    as_long = F.unix_micros(F.col("v").cast("timestamp")) if kind.typeName().startswith("timestamp") else F.col("v").cast("long")
+        as_long = double_bits("v", isinstance(kind, T.FloatType))
+    else:
+        as_long = F.unix_micros(F.col("v").cast("timestamp")) if kind.typeName().startswith("timestamp") else F.col("v").cast("long")
     u = counted.withColumn("u", unsigned(as_long, WIDTHS[kind.typeName()]))
     ends = u.groupBy(by).agg(*sums, F.min("u").alias("lo"), F.max("u").alias("hi")).withColumn("span", F.col("hi") - F.col("lo"))
     less = F.col("u") - F.col("lo")
@@ -144,6 +145,10 @@ def facts(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
     return ends.join(varint, by).join(run, by)
 
 
+def estimable(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.BooleanType)) or kind.typeName() in WIDTHS
+
+
 def estimates(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
     """(by, encoding, size, place) of each usable encoding of a column; place: its order of trial."""
     kind = rows.schema[column].dataType
@@ -152,7 +157,7 @@ def estimates(rows: DataFrame, column: str, by: str = "stripe_id") -> DataFrame:
     elif isinstance(kind, T.BooleanType):
         table = bool_estimates()
     else:
-        table = numeric_estimates(WIDTHS[kind.typeName()], not isinstance(kind, (T.FloatType, T.DoubleType)))
+        table = numeric_estimates(WIDTHS[kind.typeName()])
     order = list(READ_FACTORS)
     each = [F.struct(F.lit(e).alias("encoding"), c.cast("long").alias("size"), F.lit(order.index(e)).alias("place")) for e, c in table.items()]
     return facts(rows, column, by).select(by, F.explode(F.array(*each)).alias("e")).select(by, "e.*").where(F.col("size").isNotNull())

@@ -1,13 +1,17 @@
 """Encodings as tables of encoded values, and back: what each codec stores, without its bytes.
 
 Columns come as rows (stripe_id, row_id, v); each group is encoded on its own. Every pair of functions is an exact round
-trip. Sequences that need the order of a whole column are cut at stripes, so windows hold a stripe each.
+trip, nulls and the sign of zero included, for the columns that it takes: packed integers (``fixed_width``, ``blocks``,
+``patched``, ``varints``, ``delta_blocks``) are of columns without nulls whose rows follow each other within a group, as a
+laid-out table's do; nulls are cut off before by ``nullable``. Sequences that need the order of a whole column are cut at
+stripes, so windows hold a stripe each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from laminar.operators import stats
 
@@ -49,14 +53,14 @@ def alphabet(rows: DataFrame, by_group: bool = True) -> DataFrame:
 
 
 def dictionary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alphabet, codes) of each group."""
-    letters = alphabet(rows)
-    return letters, rows.join(letters, [GROUP, "v"]).select(GROUP, "row_id", "code")
+    """(alphabet, codes) of each group; a null has no letter and a null code."""
+    letters = alphabet(rows.where(F.col("v").isNotNull()))
+    return letters, rows.join(letters, [GROUP, "v"], "left").select(GROUP, "row_id", "code")
 
 
 def dictionary_decode(letters: DataFrame, codes: DataFrame) -> DataFrame:
     on = [c for c in (GROUP, "code") if c in letters.columns]
-    return codes.join(letters, on).select(GROUP, "row_id", "v")
+    return codes.join(letters, on, "left").select(GROUP, "row_id", "v")
 
 
 def dictionary_codes(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -103,16 +107,28 @@ def sparse_bool(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rare", rare).where(F.col("v") == F.col("rare")).select(GROUP, "row_id", "rare")
 
 
+def sparse_bool_head(rows: DataFrame) -> DataFrame:
+    """(group, first_row, n, rare): what a group stores beside its marks."""
+    return rows.groupBy(GROUP).agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"), (F.sum(F.col("v").cast("int")) * 2 < F.count("*")).alias("rare"))
+
+
+def sparse_bool_decode(head: DataFrame, marks: DataFrame) -> DataFrame:
+    at = F.explode(F.sequence("first_row", F.col("first_row") + F.col("n") - 1)).alias("row_id")
+    whole = head.select(GROUP, "rare", at).join(marks.select(GROUP, "row_id", F.lit(True).alias("_m")), [GROUP, "row_id"], "left")
+    return whole.select(GROUP, "row_id", F.when(F.col("_m"), F.col("rare")).otherwise(~F.col("rare")).alias("v"))
+
+
 def mainly_constant(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(common, others): each group's most frequent value, and the rows that differ from it."""
     common = stats.most_frequent(rows, "v", [GROUP]).select(GROUP, F.col("v").alias("common"), "n")
-    return common, rows.join(common, GROUP).where(F.col("v") != F.col("common")).select(GROUP, "row_id", "v")
+    return common, rows.join(common, GROUP).where(~F.col("v").eqNullSafe(F.col("common"))).select(GROUP, "row_id", "v")
 
 
 def mainly_constant_decode(common: DataFrame, others: DataFrame, rows: DataFrame) -> DataFrame:
     """rows: (group, row_id) of all rows."""
-    whole = rows.select(GROUP, "row_id").join(common, GROUP).join(others.withColumnRenamed("v", "o"), [GROUP, "row_id"], "left")
-    return whole.select(GROUP, "row_id", F.coalesce("o", "common").alias("v"))
+    marked = others.select(GROUP, "row_id", F.col("v").alias("_o"), F.lit(True).alias("_other"))
+    whole = rows.select(GROUP, "row_id").join(common, GROUP).join(marked, [GROUP, "row_id"], "left")
+    return whole.select(GROUP, "row_id", F.when(F.col("_other"), F.col("_o")).otherwise(F.col("common")).alias("v"))
 
 
 # Differences and frames.
@@ -151,6 +167,83 @@ def frame_table(rows: DataFrame, size: int) -> DataFrame:
     return rows.groupBy(frame).agg(F.min("v").alias("base"), width.cast("long").alias("width"), F.count("*").alias("count"))
 
 
+# Packed integers: groups of offsets from a base, as 32-bit words.
+
+WORD = 32
+
+
+def _words(values: str, width: str) -> str:
+    """The words of an array of values of that many bits, the first value lowest."""
+    part = f"if(i * {width} >= j * {WORD}, shiftleft(get({values}, i), i * {width} - j * {WORD}), shiftrightunsigned(get({values}, i), j * {WORD} - i * {width}))"
+    over = f"sequence(cast(floor(j * {WORD} / {width}) AS int), least(size({values}) - 1, cast(floor((j * {WORD} + {WORD - 1}) / {width}) AS int)))"
+    word = f"aggregate({over}, 0L, (a, i) -> a | ({part} & {(1 << WORD) - 1}L))"
+    return f"if({width} = 0, array(), transform(sequence(0, cast(ceil(size({values}) * {width} / {WORD}) AS int) - 1), j -> {word}))"
+
+
+def _value(words: str, width: str, i: str) -> str:
+    """The value at place i of packed words: only the words that hold it are looked at."""
+    low, high = f"cast(floor(({i}) * {width} / {WORD}) AS int)", f"cast(floor((({i}) * {width} + {width} - 1) / {WORD}) AS int)"
+    part = f"if(j * {WORD} >= ({i}) * {width}, shiftleft(get({words}, j), j * {WORD} - ({i}) * {width}), shiftrightunsigned(get({words}, j), ({i}) * {width} - j * {WORD}))"
+    mask = f"shiftrightunsigned(-1L, 64 - {width})"
+    return f"if({width} = 0, 0L, aggregate(sequence({low}, {high}), 0L, (a, j) -> a | {part}) & {mask})"
+
+
+def _width(span) -> Column:
+    """Bits of a span of values, 0 for none."""
+    return F.when(span == 0, 0).otherwise(F.length(F.bin(span.cast("long")))).cast("int")
+
+
+def _placed(rows: DataFrame, size: int) -> DataFrame:
+    """rows with ``place`` in their group, and ``frame``: ``size`` successive rows of it."""
+    start = rows.groupBy(GROUP).agg(F.min("row_id").alias("_start"))
+    placed = rows.join(start, GROUP).withColumn("place", (F.col("row_id") - F.col("_start")).cast("int"))
+    return placed.withColumn("frame", F.floor(F.col("place") / size).cast("int")).withColumn("v", F.col("v").cast("long")).drop("_start")
+
+
+def _packed(placed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, frame, first_row, base, width, n, words) of rows with place, frame, base and width."""
+    grouped = placed.groupBy(*by, "frame", "base", "width").agg(F.min("row_id").alias("first_row"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("place", (F.col("v") - F.col("base")).alias("o")))).alias("_v"))
+    return grouped.withColumn("_o", F.col("_v.o")).select(*by, "frame", "first_row", "base", "width", "n", F.expr(_words("_o", "width")).alias("words"))
+
+
+def fixed_width(rows: DataFrame, size: int = 1024) -> DataFrame:
+    """(group, frame, first_row, base, width, n, words): offsets from the group's least value, all of the width of its span.
+
+    Base and width are the group's; frames of ``size`` rows only say which words lie together.
+    """
+    span = rows.groupBy(GROUP).agg(F.min("v").cast("long").alias("base"), _width(F.max("v") - F.min("v")).alias("width"))
+    return _packed(_placed(rows, size).join(span, GROUP), [GROUP])
+
+
+def blocks(rows: DataFrame, size: int = 1024) -> DataFrame:
+    """As ``fixed_width``, with a base and a width for each frame."""
+    placed, by = _placed(rows, size), Window.partitionBy(GROUP, "frame")
+    based = placed.withColumn("base", F.min("v").over(by)).withColumn("width", _width(F.max("v").over(by) - F.col("base")))
+    return _packed(based, [GROUP])
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(group, row_id, v) of packed frames."""
+    one = packed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return one.select(GROUP, (F.col("first_row") + F.col("_i")).alias("row_id"), (F.col("base") + F.expr(_value("words", "width", "_i"))).alias("v"))
+
+
+def value_at(packed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(row_id, v) of the wanted row numbers, taken out of their frames' words alone. Groups begin at whole frames."""
+    near = wanted.select("row_id", F.floor(F.col("row_id") / size).alias("_f"))
+    held = packed.withColumn("_f", F.floor(F.col("first_row") / size))
+    met = near.join(held, "_f").withColumn("_i", (F.col("row_id") - F.col("first_row")).cast("int")).where((F.col("_i") >= 0) & (F.col("_i") < F.col("n")))
+    return met.select("row_id", (F.col("base") + F.expr(_value("words", "width", "_i"))).alias("v"))
+
+
+def slice_of(packed: DataFrame, start: int, end: int) -> DataFrame:
+    """(group, row_id, v) of row numbers from start to end - 1: frames outside are dropped, and values outside not unpacked."""
+    met = packed.where((F.col("first_row") < end) & (F.col("first_row") + F.col("n") > start))
+    low, high = F.greatest(F.lit(0), F.lit(start) - F.col("first_row")), F.least(F.col("n").cast("long"), F.lit(end) - F.col("first_row")) - 1
+    one = met.withColumn("_i", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    return one.select(GROUP, (F.col("first_row") + F.col("_i")).alias("row_id"), (F.col("base") + F.expr(_value("words", "width", "_i"))).alias("v"))
+
+
 def block_packed_bytes(rows: DataFrame, size: int, width: int) -> DataFrame:
     """(frame, bytes): packed with seven spare bytes, or raw where that is less."""
     t = frame_table(rows, size)
@@ -170,6 +263,38 @@ def patched(rows: DataFrame, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
     return width, outside.select(GROUP, "row_id", "v")
 
 
+def patched_packed(rows: DataFrame, size: int = 1024, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(frames, exceptions): packed offsets of the width that ``share`` of the values need, zeros for the others."""
+    width, outside = patched(rows, share)
+    fits = F.length(F.bin(F.col("v") - F.col("base"))) <= F.col("width")
+    inside = _placed(rows, size).join(width.select(GROUP, F.col("base").cast("long").alias("base"), F.least("width", F.lit(63)).alias("width")), GROUP)
+    return _packed(inside.withColumn("v", F.when(fits, F.col("v")).otherwise(F.col("base"))), [GROUP]), outside
+
+
+def patched_decode(packed: DataFrame, outside: DataFrame) -> DataFrame:
+    patch = outside.select(GROUP, "row_id", F.col("v").cast("long").alias("_x"))
+    return unpacked(packed).join(patch, [GROUP, "row_id"], "left").select(GROUP, "row_id", F.coalesce("_x", "v").alias("v"))
+
+
+def varints(rows: DataFrame, size: int = 1024) -> DataFrame:
+    """(group, frame, first_row, base, n, bytes): offsets from the group's least value, seven bits to a byte, lowest first;
+    the high bit says that more follow."""
+    base = rows.groupBy(GROUP).agg(F.min("v").cast("long").alias("base"))
+    placed = _placed(rows, size).join(base, GROUP).withColumn("_o", F.col("v") - F.col("base"))
+    each = "transform(sequence(0, cast(greatest(1, ceil(length(bin(_o)) / 7)) AS int) - 1), i -> cast((shiftrightunsigned(_o, 7 * i) & 127) | if(shiftrightunsigned(shiftrightunsigned(_o, 7 * i), 7) = 0, 0, 128) AS int))"
+    coded = placed.withColumn("_b", F.expr(each))
+    grouped = coded.groupBy(GROUP, "frame", "base").agg(F.min("row_id").alias("first_row"), F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("place", "_b"))).alias("_all"))
+    return grouped.select(GROUP, "frame", "first_row", "base", "n", F.flatten("_all._b").alias("bytes"))
+
+
+def varints_decode(coded: DataFrame) -> DataFrame:
+    """A value ends at each byte below 128; its bytes are those after the end before."""
+    ends = coded.withColumn("_ends", F.expr("filter(transform(bytes, (b, i) -> if(b < 128, i, -1)), i -> i >= 0)"))
+    one = ends.select("*", F.posexplode("_ends").alias("_i", "_end")).withColumn("_from", F.expr("coalesce(get(_ends, _i - 1) + 1, 0)"))
+    value = F.expr("aggregate(sequence(_from, _end), 0L, (a, i) -> a | shiftleft(cast(get(bytes, i) & 127 AS bigint), 7 * (i - _from)))")
+    return one.select(GROUP, (F.col("first_row") + F.col("_i")).alias("row_id"), (F.col("base") + value).alias("v"))
+
+
 def delta_blocks(rows: DataFrame, size: int) -> DataFrame:
     """(frame, base, max_delta, sorted): checkpoints of blocks; one that decreases inside cannot be encoded so."""
     frame = F.floor(F.col("row_id") / size).cast("long")
@@ -178,6 +303,26 @@ def delta_blocks(rows: DataFrame, size: int) -> DataFrame:
     return stepped.withColumn("d", step).groupBy("frame").agg(F.min_by("v", "row_id").alias("base"), F.coalesce(F.max("d"), F.lit(0)).alias("max_delta"), F.coalesce(F.min("d") >= 0, F.lit(True)).alias("sorted"))
 
 
+def delta_blocks_packed(rows: DataFrame, size: int) -> DataFrame:
+    """(group, frame, first_row, checkpoint, base, width, n, words): differences within blocks, packed, and their first value.
+
+    For columns that do not decrease within a block; the first difference of a block is 0.
+    """
+    placed, by = _placed(rows, size), Window.partitionBy(GROUP, "frame")
+    step = F.coalesce(F.col("v") - F.lag("v").over(by.orderBy("place")), F.lit(0))
+    stepped = placed.withColumn("_first", F.first("v").over(by.orderBy("place"))).withColumn("v", step)
+    kept = stepped.withColumn("base", F.lit(0).cast("long")).withColumn("width", _width(F.max("v").over(by)))
+    fine = kept.withColumn("v", F.when(F.col("v") >= 0, F.col("v")).otherwise(F.raise_error(F.lit("a block decreases"))))
+    return _packed(fine.withColumnRenamed("_first", "checkpoint"), [GROUP, "checkpoint"])
+
+
+def delta_blocks_decode(coded: DataFrame) -> DataFrame:
+    steps = coded.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    steps = steps.select(GROUP, "frame", "checkpoint", (F.col("first_row") + F.col("_i")).alias("row_id"), F.expr(_value("words", "width", "_i")).alias("d"))
+    sums = F.sum("d").over(Window.partitionBy(GROUP, "frame").orderBy("row_id"))
+    return steps.select(GROUP, "row_id", (F.col("checkpoint") + sums).alias("v"))
+
+
 def bit_ranges(rows: DataFrame, cuts: list[int]) -> DataFrame:
     """Values of 0 or more split at bit positions: a column part0, part1, ... for each range of bits, lowest first."""
     ends = [*cuts[1:], 63]
@@ -206,6 +351,31 @@ def frequency_tiers(rows: DataFrame, tiers: list[int]) -> DataFrame:
     return placed.withColumn("tier", tier)
 
 
+def frequency_codes(rows: DataFrame, tiers: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(values, codes): values by tier and place in it, and each row's tier and place."""
+    placed = frequency_tiers(rows.select("v"), tiers)
+    edges = F.create_map(*[F.lit(x) for i in range(len(tiers) + 1) for x in (i, sum(tiers[:i]))])
+    values = placed.select("tier", (F.col("place") - edges[F.col("tier")]).alias("code"), "v")
+    return values, rows.join(values, "v").select(GROUP, "row_id", "tier", "code")
+
+
+def frequency_decode(values: DataFrame, codes: DataFrame) -> DataFrame:
+    return codes.join(values, ["tier", "code"]).select(GROUP, "row_id", "v")
+
+
+def alp_exponent(rows: DataFrame, most: int = 18) -> int:
+    """The power of ten that stores a column's doubles in the fewest bits: exceptions take 64, the others the largest's."""
+    from laminar.functions.scalar import decimal_scale
+
+    facts = []
+    for e in range(most + 1):
+        scaled, exact = decimal_scale("v", e)
+        facts += [F.count_if(exact).alias(f"n{e}"), F.max(F.when(exact, F.abs(scaled))).alias(f"m{e}")]
+    found = rows.where(F.col("v").isNotNull()).agg(F.count("*").alias("n"), *facts).first()
+    cost = [found[f"n{e}"] * (int(found[f"m{e}"] or 0).bit_length() + 1) + (found["n"] - found[f"n{e}"]) * 64 for e in range(most + 1)]
+    return min(range(most + 1), key=lambda e: (cost[e], e))
+
+
 def alp(rows: DataFrame, exponent: int) -> DataFrame:
     """(group, row_id, scaled, exception): doubles as integers times a power of ten, where that is exact."""
     from laminar.functions.scalar import decimal_scale
@@ -223,10 +393,40 @@ def shared_prefix(rows: DataFrame, restart: int = 16) -> DataFrame:
     order = Window.partitionBy(GROUP).orderBy("row_id")
     before = F.when(F.col("row_id") % restart != 0, F.lag("v").over(order))
     pair = rows.withColumn("_b", F.coalesce(before, F.lit("")))
-    same = "size(filter(sequence(0, least(length(v), length(_b))), i -> i > 0 AND left(v, i) = left(_b, i)))"
+    # The longest shared prefix, by halving: the prefix of a length that is shared is shared at all lengths below.
+    step = "if(left(v, s + p) = left(_b, s + p) AND s + p <= least(length(v), length(_b)), s + p, s)"
+    same = f"aggregate(transform(sequence(0, 30), i -> shiftleft(1, 30 - i)), 0, (s, p) -> {step})"
     return pair.withColumn("shared", F.expr(same)).select(GROUP, "row_id", F.col("shared").cast("long").alias("shared"), F.expr("substring(v, shared + 1)").alias("suffix"))
 
 
+def shared_prefix_decode(coded: DataFrame, restart: int = 16) -> DataFrame:
+    """Strings from what they share with the one before, block by block between restart points."""
+    block = F.floor(F.col("row_id") / restart).alias("_b")
+    grouped = coded.groupBy(GROUP, block).agg(F.sort_array(F.collect_list(F.struct("row_id", "shared", "suffix"))).alias("s"))
+    return grouped.select(GROUP, F.explode(F.expr(_UNFOLD)).alias("x")).select(GROUP, "x.row_id", "x.v")
+
+
+_UNFOLD = (
+    "aggregate(s, named_struct('last', '', 'out', cast(array() AS array<struct<row_id: bigint, v: string>>)), "
+    "(a, x) -> named_struct('last', left(a.last, cast(x.shared AS int)) || x.suffix, "
+    "'out', array_append(a.out, named_struct('row_id', x.row_id, 'v', left(a.last, cast(x.shared AS int)) || x.suffix))), a -> a.out)"
+)
+
+
+def prefix_seek(coded: DataFrame, target: str, restart: int = 16) -> DataFrame:
+    """(group, row_id): in each group of a sorted column the first row whose string is not below the target, if any.
+
+    Heads at restart points stand whole, so only the last block whose head is below the target, and the next, are decoded.
+    """
+    heads = coded.where(F.col("row_id") % restart == 0).select(GROUP, "row_id", F.col("suffix").alias("head"))
+    below = heads.where(F.col("head") < target).groupBy(GROUP).agg(F.max("row_id").alias("_from"))
+    first = coded.groupBy(GROUP).agg(F.min("row_id").alias("_least"))
+    start = first.join(below, GROUP, "left").select(GROUP, F.coalesce("_from", "_least").alias("_from"))
+    block = F.floor(F.col("row_id") / restart)
+    near = coded.join(start, GROUP).where((block >= F.floor(F.col("_from") / restart)) & (block <= F.floor(F.col("_from") / restart) + 1))
+    return shared_prefix_decode(near.drop("_from"), restart).where(F.col("v") >= target).groupBy(GROUP).agg(F.min("row_id").alias("row_id"))
+
+
 def huffman_lengths(counts: list[tuple[object, int]]) -> dict[object, int]:
     """Canonical code lengths of values by count; for an alphabet of at most a few thousand values."""
     import heapq
@@ -247,14 +447,78 @@ def huffman_lengths(counts: list[tuple[object, int]]) -> dict[object, int]:
 
 
 HUFFMAN_VALUES = 4096
+#: Bits that a code may have.
+LONGEST = 12
+
+
+def limited(depth: dict[object, int], counts: dict[object, int], longest: int = LONGEST) -> dict[object, int]:
+    """Code lengths of at most ``longest`` bits: too long ones are cut, and the shares that this takes are given up by the
+    rarest values with shorter codes."""
+    if len(depth) > 1 << longest:
+        raise ValueError(f"{len(depth)} values need codes of more than {longest} bits")
+    out = {v: min(n, longest) for v, n in depth.items()}
+    over = sum(1 << (longest - n) for n in out.values()) - (1 << longest)
+    for v in sorted(out, key=lambda v: (counts[v], str(v))):
+        while over > 0 and out[v] < longest:
+            over -= 1 << (longest - out[v] - 1)
+            out[v] += 1
+    for v in sorted(out, key=lambda v: (-counts[v], str(v))):  # room left over goes back to the most frequent
+        while out[v] > 1 and over + (1 << (longest - out[v])) <= 0:
+            over += 1 << (longest - out[v])
+            out[v] -= 1
+    return out
+
+
+def canonical(lengths: dict[object, int]) -> dict[object, str]:
+    """Canonical codes, as bits: by length, then value."""
+    out, code, last = {}, 0, 0
+    for v in sorted(lengths, key=lambda v: (lengths[v], v)):
+        code <<= lengths[v] - last
+        out[v], last = format(code, f"0{lengths[v]}b"), lengths[v]
+        code += 1
+    return out
 
 
 def huffman(rows: DataFrame) -> DataFrame:
-    """(v, n, code_length) of a column with at most HUFFMAN_VALUES values; more are an error."""
+    """(v, n, code_length, code) of a column with at most HUFFMAN_VALUES values; more are an error."""
     counts = stats.unique_counts(rows, "v").orderBy("v").limit(HUFFMAN_VALUES + 1).collect()
     if len(counts) > HUFFMAN_VALUES:
         raise ValueError(f"more than {HUFFMAN_VALUES} values")
-    depth = huffman_lengths([(r["v"], r["n"]) for r in counts])
-    spark = rows.sparkSession
+    n = {r["v"]: r["n"] for r in counts}
+    depth = limited(huffman_lengths(list(n.items())), n)
+    code = canonical(depth)
     kind = rows.schema["v"].dataType.simpleString()
-    return spark.createDataFrame([(r["v"], r["n"], depth[r["v"]]) for r in counts], f"v {kind}, n long, code_length long")
+    return rows.sparkSession.createDataFrame([(v, n[v], depth[v], code[v]) for v in n], f"v {kind}, n long, code_length long, code string")
+
+
+def huffman_encode(rows: DataFrame, codes: DataFrame, size: int = 1024) -> DataFrame:
+    """(group, frame, first_row, n, bits): the codes of ``size`` successive rows, one after another."""
+    coded = rows.join(F.broadcast(codes.select("v", "code")), "v")  # at most HUFFMAN_VALUES rows
+    framed = coded.withColumn("frame", F.floor(F.col("row_id") / size).cast("long"))
+    grouped = framed.groupBy(GROUP, "frame").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("row_id", "code"))).alias("c"))
+    return grouped.select(GROUP, "frame", "first_row", "n", F.concat_ws("", "c.code").alias("bits"))
+
+
+def huffman_decode(coded: DataFrame, codes: DataFrame) -> DataFrame:
+    """Reads each frame's bits code by code, by a table of all strings of LONGEST bits."""
+    held = codes.select("v", "code").collect()  # at most HUFFMAN_VALUES rows
+    kind, to = codes.schema["v"].dataType.simpleString(), to_arrow_type(codes.schema["v"].dataType)
+    longest = max((len(r["code"]) for r in held), default=1)
+    table: list = [None] * (1 << longest)
+    for r in held:
+        first = int(r["code"].ljust(longest, "0"), 2)
+        table[first : first + (1 << (longest - len(r["code"])))] = [(r["v"], len(r["code"]))] * (1 << (longest - len(r["code"])))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for group, first, n, bits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at, values, padded = 0, [], bits + "0" * longest
+                for _ in range(n):
+                    v, used = table[int(padded[at : at + longest], 2)]
+                    values.append(v)
+                    at += used
+                yield pa.RecordBatch.from_arrays([pa.array([group] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, to)], [GROUP, "row_id", "v"])
+
+    return coded.select(GROUP, "first_row", "n", "bits").mapInArrow(run, f"{GROUP} long, row_id long, v {kind}")

@@ -91,6 +91,8 @@ class Range:
 
     def condition(self, name: str) -> Column:
         found = _range(F.col(name), self.lower, self.upper, self.lower_open, self.upper_open)
+        if self.upper is None and isinstance(self.lower, (int, float)):  # NaN is above all numbers, and in no range
+            found = found & ~F.isnan(F.col(name).cast("double"))
         return or_null(found, name) if self.null_allowed else found
 
     @property

@@ -5,7 +5,7 @@ Streams are numbered in pre-order over the schema: 0 is the row's own nulls, the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +58,43 @@ def stripes(t: ColTable) -> DataFrame:
     return with_starts(sizes, "stripe_id", "size", "stripe_offset")
 
 
+#: Pairs of a written table's metadata that are not its user's.
+OWN = ("keys", "stripe_rows", "chunk_rows", "checksum")
+
+
+def files(t: ColTable) -> DataFrame:
+    """(section, size) of the files of a written table that was opened, by its folders."""
+    spark = t.held.sparkSession
+    if t.path is None:
+        return spark.createDataFrame([], "section string, size long")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(t.path)
+    return held.groupBy(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("section")).agg(F.sum("length").alias("size"))
+
+
 def info(t: ColTable) -> DataFrame:
+    """(version, stripes, rows, raw_size, columns, checksum, rate, metadata); the last three of a table that was opened.
+
+    rate: raw bytes against those of the data's files; metadata: the user's pairs.
+    """
     total = _sized(t).agg(F.sum("_raw").alias("raw_size"), F.count("*").alias("rows"))
-    names = ", ".join(t.columns)
-    return total.select(F.lit(1).alias("version"), F.lit(t.n_stripes).cast("long").alias("stripes"), "rows", "raw_size", F.lit(names).alias("columns"))
+    stored = files(t).where("section = 'data'").agg(F.sum("size").alias("stored"))
+    names, own = ", ".join(t.columns), {k: v for k, v in sorted(t.about.items()) if k not in OWN}
+    pairs = ", ".join(f"{k}={v}" for k, v in own.items())
+    return total.crossJoin(F.broadcast(stored)).select(  # two single rows
+        F.lit(1).alias("version"), F.lit(t.n_stripes).cast("long").alias("stripes"), "rows", "raw_size", F.lit(names).alias("columns"),
+        F.lit(t.about.get("checksum")).cast("string").alias("checksum"), (F.col("raw_size") / F.col("stored")).alias("rate"), F.lit(pairs).alias("metadata"),
+    )
 
 
 def streams(t: ColTable, x=None) -> DataFrame:
-    """(stripe_id, stream, name, items, nulls, length) of each top-level column."""
+    """(stripe_id, stream, name, items, nulls, length, stream_offset) of each top-level column; offsets are in the stripe."""
     at = {n: i for i, depth, _, n, _ in schema_tree(_schema(t)) if depth == 1}
     rows = t.df if x is None or x.stripe is None else t.stripe(x.stripe)
     facts = [F.struct(F.lit(at[f.name]).alias("stream"), F.lit(f.name).alias("name"), F.col(f.name).isNull().alias("null"), raw_size(f).alias("size")) for f in _schema(t).fields]
     long = rows.select("stripe_id", F.explode(F.array(*facts)).alias("s")).select("stripe_id", "s.*")
-    return long.groupBy("stripe_id", "stream", "name").agg(F.count_if(~F.col("null")).alias("items"), F.count_if("null").alias("nulls"), F.sum("size").alias("length"))
+    found = long.groupBy("stripe_id", "stream", "name").agg(F.count_if(~F.col("null")).alias("items"), F.count_if("null").alias("nulls"), F.sum("size").alias("length"))
+    before = Window.partitionBy("stripe_id").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("stream_offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def content(t: ColTable, x) -> DataFrame:
@@ -82,13 +106,42 @@ def content(t: ColTable, x) -> DataFrame:
 
 
 def stats_of(t: ColTable) -> DataFrame:
-    return stats.column_stats(t.df.select(*t.columns))
+    """Each column's statistics, its type, and its physical size: what its chosen encodings take by estimate, where its
+    type has one."""
+    schema = _schema(t)
+    types = F.create_map(*[F.lit(x) for f in schema.fields for x in (f.name, f.dataType.typeName())])
+    known = [f.name for f in schema.fields if isinstance(f.dataType, T.AtomicType) and advisor.estimable(f.dataType)]
+    sized = advisor.choose_all(t.df, known).groupBy("column").agg(F.sum("size").alias("physical_size"))
+    return stats.column_stats(t.df.select(*t.columns)).withColumn("type", types[F.col("column")]).join(sized, "column", "left")
+
+
+#: The streams of an encoding within it, and how each is encoded.
+NESTED = {
+    "Dictionary": (("indices", "FixedBitWidth"), ("alphabet", "Trivial")), "RLE": (("lengths", "FixedBitWidth"), ("values", "FixedBitWidth")),
+    "MainlyConstant": (("common", "SparseBool"), ("others", "FixedBitWidth")), "SparseBool": (("rows", "FixedBitWidth"),),
+}
 
 
 def encoding(t: ColTable, x=None) -> DataFrame:
-    """(column, encoding, size) of each column's chosen encoding."""
+    """(column, stripe_id, depth, path, encoding, size): each column's chosen encoding, and below it the streams in it.
+
+    Sizes are those of whole columns; the streams in them have none of their own.
+    """
     rows = t.df if x is None or x.stripe is None else t.stripe(x.stripe)
-    return advisor.choose_all(rows, t.columns)
+    found = advisor.choose_all(rows, t.columns)
+    node = lambda path, encoding, depth, size: F.struct(F.lit(depth).alias("depth"), path.alias("path"), encoding.alias("encoding"), size.cast("long").alias("size"))
+    tree = F.array(node(F.col("column"), F.col("encoding"), 0, F.col("size")))
+
+    def below(parent: str, path, depth: int) -> list:
+        out = []
+        for name, kind in NESTED.get(parent, ()):
+            own = F.concat(path, F.lit(f"/{name}"))
+            out += [node(own, F.lit(kind), depth, F.lit(None)), *below(kind, own, depth + 1)]
+        return out
+
+    for kind in NESTED:
+        tree = F.when(F.col("encoding") == kind, F.concat(F.array(node(F.col("column"), F.col("encoding"), 0, F.col("size"))), F.array(*below(kind, F.col("column"), 1)))).otherwise(tree)
+    return found.select("column", "stripe_id", F.explode(tree).alias("n")).select("column", "stripe_id", "n.*")
 
 
 def histogram(t: ColTable, x=None) -> DataFrame:
@@ -102,16 +155,18 @@ def histogram(t: ColTable, x=None) -> DataFrame:
 
 
 def index(t: ColTable) -> DataFrame:
-    """(part, first_row, rows, and the first and last key as text) of each range of the layout."""
+    """(part, first_row, rows, and the first and last key as text) of each chunk."""
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in t.keys])
-    ranges = t.held.select("_p", "row_id", key.alias("k"))
-    return ranges.groupBy(F.col("_p").alias("part")).agg(F.min("row_id").alias("first_row"), F.count("*").alias("rows"), F.min_by("k", "row_id").alias("first_key"), F.max_by("k", "row_id").alias("last_key"))
+    chunks = t.df.select(F.col("chunk_id").alias("part"), "row_id", key.alias("k")).groupBy("part")
+    return chunks.agg(F.min("row_id").alias("first_row"), F.count("*").alias("rows"), F.min_by("k", "row_id").alias("first_key"), F.max_by("k", "row_id").alias("last_key"))
 
 
 def layout(t: ColTable) -> DataFrame:
-    """Sections of the table as written: the stripes, then the schema and the statistics."""
+    """(section, offset, size): the stripes, by raw bytes, and of a written table that was opened its files beside them."""
     body = stripes(t).select(F.concat(F.lit("stripe "), F.col("stripe_id")).alias("section"), F.col("stripe_offset").alias("offset"), "size")
-    return body
+    if t.path is None:
+        return body
+    return body.unionByName(files(t).select("section", F.lit(None).cast("long").alias("offset"), "size"))
 
 
 def stripes_metadata(t: ColTable) -> DataFrame:

@@ -24,16 +24,37 @@ def stripe_sizes(t: ColTable, texts: Sequence[str], fixed: int) -> DataFrame:
     return with_starts(sizes, "stripe_id", "size", "stripe_offset")
 
 
+#: Numbered parts whose sizes one window sums.
+RUN = 4096
+
+
 def with_starts(parts: DataFrame, order: str, size: str, out: str) -> DataFrame:
-    """The sum of the sizes before each part; parts are metadata, as many as there are stripes."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """The sum of the sizes before each part, which ``order`` numbers.
+
+    Sums run over RUN numbers at a time, and one window over a row for each such run gives what lies before it.
+    """
+    run = F.floor(F.col(order) / RUN).alias("_run")
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy(run).agg(F.sum(size).alias("_s")).select("_run", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_run", run).join(runs, "_run")
+    return placed.withColumn(out, (F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long")).drop("_run", "_before")
+
+
+def with_latest(parts: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """The greatest value of the parts before each one, by runs of numbers as in ``with_starts``; null before the first."""
+    run = F.floor(F.col(order) / RUN).alias("_run")
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy(run).agg(F.max(value).alias("_m")).select("_run", F.max("_m").over(before).alias("_before"))
+    inside = Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_run", run).join(runs, "_run")
+    return placed.withColumn(out, F.greatest("_before", F.max(value).over(inside))).drop("_run", "_before")
 
 
 def split(t: ColTable, texts: Sequence[str], fixed: int, start: int, end: int) -> DataFrame:
     """Rows of the stripes that start at a byte offset in [start, end); each row is in one split of a partition."""
     sizes = stripe_sizes(t, texts, fixed).where(F.col("stripe_offset").between(start, end - 1))
-    return t.df.join(F.broadcast(sizes.select("stripe_id", "stripe_offset")), "stripe_id")  # one row a stripe
+    return t.df.join(sizes.select("stripe_id", "stripe_offset"), "stripe_id")
 
 
 def every(t: ColTable, n: int, at: int) -> DataFrame:
@@ -99,7 +120,8 @@ def key_order(t: ColTable, key: str) -> DataFrame:
     inside = Window.partitionBy("chunk_id").orderBy("row_id")
     steps = t.df.select("chunk_id", F.col(key).alias("k"), F.lag(key).over(inside).alias("p"))
     edges = t.df.groupBy("chunk_id").agg(F.min_by(key, "row_id").alias("k"), F.max_by(key, "row_id").alias("last"))
-    joins = edges.select("chunk_id", "k", F.lag("last").over(Window.orderBy("chunk_id")).alias("p"))  # a row a chunk
+    before = edges.select((F.col("chunk_id") + 1).alias("chunk_id"), F.col("last").alias("p"))
+    joins = edges.select("chunk_id", "k").join(before, "chunk_id")
     both = steps.unionByName(joins)
     return both.agg(F.count_if(F.col("k") < F.col("p")).alias("out_of_order"), F.count_if(F.col("k") == F.col("p")).alias("repeated"))
 

@@ -39,10 +39,6 @@ def _ranges(t: ColTable, requests: DataFrame, key: str) -> DataFrame:
     return lookup.range_rows(t, requests, key, [])
 
 
-def _hits(t: ColTable, requests: DataFrame, key: str) -> DataFrame:
-    return lookup.batch_lookup(t, requests, key, [])
-
-
 register("cluster", IndexKind(lambda t, key: lookup.bounds(t, key), lookup.point_ranges, _ranges))
-register("hash", IndexKind(lambda t, key: lookup.hash_index(t.df, key, 64), _hits))
-register("sorted", IndexKind(scan.secondary, _hits, _ranges))
+register("hash", IndexKind(lambda t, key: lookup.HashIndex(t, key).entries, lambda t, requests, key: lookup.HashIndex(t, key).hits(requests)))
+register("sorted", IndexKind(scan.secondary, lambda t, requests, key: lookup.SortedIndex(t, key).points(requests), lambda t, requests, key: lookup.SortedIndex(t, key).ranges(requests)))

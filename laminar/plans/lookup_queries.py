@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laminar.operators import codecs, dedup, lookup, metadata, ranges, scan
-from laminar.plans.dsl import HELP
+from laminar.operators import codecs, dedup, lookup, ranges, scan
 from laminar.plans.dsl import run as dsl
 from laminar.plans.tables import CHUNK, STRIPES, numbered, read, table
+from laminar.sources import writer
+from laminar.sources.shared import scratch
+from laminar.table import ColTable
 
 L, O, E = numbered("lineitem"), numbered("orders"), numbered("events")
 Q: dict[str, tuple] = {}
@@ -24,7 +26,7 @@ def query(sql: str | None):
 # Requests: part keys for lineitem's orders, and ranges of order keys, made from the customers.
 
 POINTS = "SELECT c_custkey AS request_id, c_custkey * 3 AS key FROM customer"
-RANGES = "SELECT c_custkey AS request_id, c_custkey * 20 AS lo, c_custkey * 20 + c_nationkey AS hi FROM customer WHERE c_custkey % 5 = 0"
+RANGES = "SELECT c_custkey AS request_id, c_custkey * 20 AS lo, c_custkey * 20 + c_nationkey AS hi FROM customer"
 
 
 def points(spark, d):
@@ -32,7 +34,7 @@ def points(spark, d):
 
 
 def spans(spark, d):
-    c = read(spark, d, "customer").where(F.col("c_custkey") % 5 == 0)
+    c = read(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") * 20).alias("lo"), (F.col("c_custkey") * 20 + F.col("c_nationkey")).alias("hi"))
 
 
@@ -78,6 +80,15 @@ def join_05_soft_limit(spark, d):
     return lookup.soft_limit(t, lookup.batch_lookup(t, points(spark, d), "l_orderkey", []), 700)
 
 
+@query(
+    f"WITH h AS (SELECT r.request_id, t.row_id, t.stripe_id, t.l_partkey, t.l_returnflag FROM ({POINTS}) r JOIN {L} t ON t.l_orderkey = r.key), s AS (SELECT stripe_id, sum(8 + octet_length(encode(l_returnflag))) AS c FROM h GROUP BY 1), "
+    "b AS (SELECT stripe_id, coalesce(sum(c) OVER (ORDER BY stripe_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s) SELECT request_id, row_id, l_partkey, l_returnflag FROM h JOIN b USING (stripe_id) WHERE b < 9000"
+)
+def join_05_soft_bytes(spark, d):
+    t = table(spark, d, "lineitem")
+    return lookup.soft_limit(t, lookup.batch_lookup(t, points(spark, d), "l_orderkey", ["l_partkey", "l_returnflag"]), max_bytes=9000)
+
+
 @query(f"SELECT request_id, key FROM ({POINTS}) WHERE key IN (SELECT l_orderkey FROM lineitem)")
 def join_06_hits(spark, d):
     return lookup.hits(points(spark, d), read(spark, d, "lineitem"), "l_orderkey").select("request_id", "key")
@@ -96,11 +107,11 @@ def join_07_dictionary_decode(spark, d):
 
 # Row ranges: each user's events as row numbers.
 
-_SPANS = f"SELECT user_id AS g, row_id - row_id % 7 AS start_row, row_id + 5 + user_id % 4 AS end_row FROM {E} WHERE row_id % 3 = 0"
+_SPANS = f"SELECT user_id AS g, row_id - row_id % 7 AS start_row, row_id + 5 + user_id % 4 AS end_row FROM {E}"
 
 
 def user_spans(spark, d):
-    t = table(spark, d, "events").df.where(F.col("row_id") % 3 == 0)
+    t = table(spark, d, "events").df
     return t.select(F.col("user_id").alias("g"), (F.col("row_id") - F.col("row_id") % 7).alias("start_row"), (F.col("row_id") + 5 + F.col("user_id") % 4).alias("end_row"))
 
 
@@ -158,8 +169,17 @@ def idx_03_range_ranges(spark, d):
 
 @query(f"WITH p AS (SELECT chunk_id AS part, min(o_orderkey) AS a, max(o_orderkey) AS b FROM {O} GROUP BY 1) SELECT r.request_id, p.part FROM ({RANGES}) r JOIN p ON p.a < r.hi AND p.b >= r.lo")
 def idx_04_pruning(spark, d):
-    t = table(spark, d, "orders")
-    return lookup.pruned(lookup.bounds(t, "o_orderkey", "chunk_id"), spans(spark, d))
+    return lookup.pruned(table(spark, d, "orders"), spans(spark, d), "o_orderkey")
+
+
+# Ranges that are open, empty, beyond the table's ends, or over many equal keys.
+_ODD = "SELECT * FROM (VALUES (1, NULL::BIGINT, 40::BIGINT), (2, 14900, NULL), (3, 70, 70), (4, 90, 80), (5, -50, 3), (6, 100000000, 100000005), (7, -9, -1), (8, 500, 501), (9, 1, 2)) t(request_id, lo, hi)"
+
+
+@query(f"SELECT r.request_id, t.row_id, t.l_orderkey FROM ({_ODD}) r JOIN {L} t ON (r.lo IS NULL OR t.l_orderkey >= r.lo) AND (r.hi IS NULL OR t.l_orderkey < r.hi)")
+def join_02_odd_ranges(spark, d):
+    asked = spark.createDataFrame([(1, None, 40), (2, 14900, None), (3, 70, 70), (4, 90, 80), (5, -50, 3), (6, 100000000, 100000005), (7, -9, -1), (8, 500, 501), (9, 1, 2)], "request_id int, lo long, hi long")
+    return lookup.range_rows(table(spark, d, "lineitem"), asked, "l_orderkey", ["l_orderkey"])
 
 
 @query(f"SELECT row_id, o_orderkey AS key FROM {O} WHERE row_id = 7777")
@@ -167,10 +187,44 @@ def idx_05_key_at_row(spark, d):
     return lookup.key_at(table(spark, d, "orders"), 7777, "o_orderkey")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders")
+def _hash_index(spark, d):
+    t = table(spark, d, "orders")
+    if "hash" not in _BUILT.setdefault(id(t), {"table": t}):
+        _BUILT[id(t)]["hash"] = lookup.HashIndex(t, "o_custkey", 32)
+    return _BUILT[id(t)]["hash"]
+
+
+def _sorted_index(spark, d):
+    t = table(spark, d, "orders")
+    if "sorted" not in _BUILT.setdefault(id(t), {"table": t}):
+        _BUILT[id(t)]["sorted"] = lookup.SortedIndex(t, "o_custkey")
+    return _BUILT[id(t)]["sorted"]
+
+
+_BUILT: dict[int, dict] = {}
+
+
+@query(f"SELECT r.request_id, t.row_id, t.o_custkey, t.o_totalprice FROM ({POINTS}) r JOIN {O} t ON t.o_custkey = r.key")
 def idx_06_hash_index(spark, d):
-    b = lookup.hash_index(read(spark, d, "orders"), "o_custkey", 32)
-    return b.agg(F.sum("rows").alias("rows"), F.sum("keys").alias("keys"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """Rows through the index: bucket, entry, row number, row."""
+    return _hash_index(spark, d).rows(points(spark, d), ["o_custkey", "o_totalprice"])
+
+
+@query("SELECT o_custkey AS key, count(*) AS rows, 1 AS buckets FROM orders GROUP BY 1")
+def idx_06_hash_entries(spark, d):
+    """Each key's entries, all in one bucket."""
+    return _hash_index(spark, d).entries.groupBy("key").agg(F.count("*").alias("rows"), F.count_distinct("bucket").cast("int").alias("buckets"))
+
+
+@query(
+    f"WITH r AS ({POINTS}), b AS (SELECT min(o_custkey) AS a, max(o_custkey) AS z FROM orders), m AS (SELECT r.key, r.key < a OR r.key > z AS out, c FROM r, b LEFT JOIN (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1) o ON o.o_custkey = r.key) "
+    "SELECT count(*) AS lookups, count(*) FILTER (out) AS range_skips, count(*) FILTER (NOT out AND c IS NULL) AS in_vain, coalesce(sum(c), 0)::BIGINT AS matched, true AS mostly_skipped FROM m"
+)
+def idx_08_index_counters(spark, d):
+    """Keys that are not there are passed over by the ends or, nearly all of the others, by the filter."""
+    c = _hash_index(spark, d).counters(points(spark, d))
+    vain = F.col("filter_skips") + F.col("misses")
+    return c.select("lookups", "range_skips", vain.alias("in_vain"), "matched", (F.col("misses") * 10 <= vain).alias("mostly_skipped"))
 
 
 @query(f"SELECT o_custkey, row_id FROM {O} WHERE o_custkey >= 100 AND o_custkey < 200")
@@ -178,6 +232,18 @@ def idx_07_secondary_range(spark, d):
     return scan.secondary(table(spark, d, "orders"), "o_custkey").where("o_custkey >= 100 AND o_custkey < 200").select("o_custkey", "row_id")
 
 
+@query(f"SELECT r.request_id, t.row_id, t.o_orderkey, t.o_custkey FROM ({RANGES}) r JOIN {O} t ON t.o_custkey >= r.lo AND t.o_custkey < r.hi")
+def idx_07_sorted_ranges(spark, d):
+    """Ranges of a column that the table is not sorted by, through the index."""
+    index = _sorted_index(spark, d)
+    return index.rows(index.ranges(spans(spark, d)), ["o_orderkey", "o_custkey"])
+
+
+@query(f"SELECT r.request_id, t.row_id FROM ({POINTS}) r JOIN {O} t ON t.o_custkey = r.key")
+def idx_07_sorted_points(spark, d):
+    return _sorted_index(spark, d).points(points(spark, d))
+
+
 @query(
     f"WITH r AS ({POINTS}), b AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS z FROM orders), m AS (SELECT r.key, r.key < a OR r.key > z AS out, c FROM r, b LEFT JOIN (SELECT o_orderkey, count(*) AS c FROM orders GROUP BY 1) o ON o.o_orderkey = r.key) "
     "SELECT count(*) AS lookups, count(*) FILTER (out) AS range_skips, count(*) FILTER (NOT out AND c IS NULL) AS misses, coalesce(sum(c), 0)::BIGINT AS matched FROM m"
@@ -212,11 +278,71 @@ def meta_03_schema(spark, d):
 _ORDER_SIZE = "8 + 8 + octet_length(encode(o_orderstatus)) + 8 + 12 + octet_length(encode(o_orderpriority))"
 
 
-@query(f"SELECT 1 AS version, (SELECT ceil(count(*) / {STRIPES['orders']}.0)::BIGINT FROM orders) AS stripes, count(*) AS rows, sum({_ORDER_SIZE})::BIGINT AS raw_size, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS columns FROM orders")
+@query(f"SELECT 1 AS version, (SELECT ceil(count(*) / {STRIPES['orders']}.0)::BIGINT FROM orders) AS stripes, count(*) AS rows, sum({_ORDER_SIZE})::BIGINT AS raw_size, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS columns, NULL::VARCHAR AS checksum, NULL::DOUBLE AS rate, '' AS metadata FROM orders")
 def meta_04_info(spark, d):
     return dsl(table(spark, d, "orders"), "show info;")
 
 
+def _written(spark, d):
+    """Orders, written with user metadata and opened again; once for each session and table."""
+    t = table(spark, d, "orders")
+    if "written" not in _BUILT.setdefault(id(t), {"table": t}):
+        path = scratch(spark, "written")
+        writer.write(t.df.select(*t.columns), path, ["o_orderkey"], writer.WriterOptions.parse({"stripe_rows": "4000", "chunk_rows": "512", "owner": "me", "purpose": "test"}))
+        _BUILT[id(t)]["written"] = ColTable.open(spark, path)
+    return _BUILT[id(t)]["written"]
+
+
+@query(f"SELECT row_id, stripe_id, row_id // 512 AS chunk_id, o_orderkey, o_custkey, o_totalprice FROM {O}")
+def scan_18_open(spark, d):
+    """A written table, opened: rows, row numbers, stripes and chunks."""
+    return _written(spark, d).df.select("row_id", "stripe_id", "chunk_id", "o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(f"SELECT r.request_id, t.row_id, t.o_totalprice FROM ({RANGES}) r JOIN {O} t ON t.o_orderkey >= r.lo AND t.o_orderkey < r.hi")
+def scan_18_open_lookup(spark, d):
+    return lookup.range_rows(_written(spark, d), spans(spark, d), "o_orderkey", ["o_totalprice"])
+
+
+@query("SELECT count(*) AS rows, 'owner=me, purpose=test' AS metadata, true AS packed, true AS sound FROM orders")
+def meta_04_info_written(spark, d):
+    """The checksum is that of the rows, and files take fewer bytes than they hold."""
+    t = _written(spark, d)
+    sound = writer.checksum(t.df.select(*t.columns)).first()["checksum"]
+    return dsl(t, "SHOW INFO").select("rows", "metadata", (F.col("rate") > 1).alias("packed"), (F.col("checksum") == F.lit(sound)).alias("sound"))
+
+
+@query("SELECT section, size > 0 AS filled FROM (SELECT unnest(['data', 'metadata', 'ranges', 'stats', 'stripes']) AS section, 1 AS size) UNION ALL SELECT 'stripe ' || s, true FROM (SELECT DISTINCT (row_number() OVER () - 1) // 4000 AS s FROM orders)")
+def meta_12_layout_written(spark, d):
+    return dsl(_written(spark, d), "SHOW FILE LAYOUT").select("section", (F.col("size") > 0).alias("filled"))
+
+
+@query("SELECT true AS written, false AS changed")
+def wr_21_verify(spark, d):
+    """The checksum of what was written holds, and that of rows with one value changed does not."""
+    t = _written(spark, d)
+    changed = t.df.select(*t.columns).withColumn("o_custkey", F.when(F.col("o_orderkey") == 7, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    same = writer.checksum(changed).select((F.col("checksum") == F.lit(t.about["checksum"])).alias("changed"))
+    return same.select(F.lit(writer.verify(spark, t.path)).alias("written"), "changed")
+
+
+@query("SELECT (sum(" + _ORDER_SIZE + "))::BIGINT AS raw, true AS smaller FROM orders")
+def agg_18_compression_rate(spark, d):
+    rate = writer.compression_rate(spark, _written(spark, d).path)
+    return rate.select("raw", (F.col("stored") < F.col("raw")).alias("smaller"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 3000 AND o_orderstatus = 'F'")
+def scan_19_connector(spark, d):
+    """The written table by its own format, with pushed filters."""
+    from laminar.sources import connector
+
+    connector.register(spark)
+    path = _written(spark, d).path
+    rows = spark.read.format("laminar").load(path if "://" in path else f"file://{path}")
+    return rows.where("o_orderkey > 3000 AND o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 @query(
     "SELECT 'c_custkey' AS \"column\", count(c_custkey) AS values, 0::BIGINT AS nulls, min(c_custkey) AS min_long, max(c_custkey) AS max_long, NULL::DOUBLE AS min_double, NULL::DOUBLE AS max_double, NULL::VARCHAR AS min_string, NULL::VARCHAR AS max_string, (8 * count(*))::BIGINT AS size FROM customer"
     " UNION ALL SELECT 'c_name', count(*), 0, NULL, NULL, NULL, NULL, min(c_name), max(c_name), sum(octet_length(encode(c_name)))::BIGINT FROM customer"
@@ -225,7 +351,14 @@ def meta_04_info(spark, d):
     " UNION ALL SELECT 'c_mktsegment', count(*), 0, NULL, NULL, NULL, NULL, min(c_mktsegment), max(c_mktsegment), sum(octet_length(encode(c_mktsegment)))::BIGINT FROM customer"
 )
 def meta_05_stats(spark, d):
-    return dsl(table(spark, d, "customer"), "SHOW STATS")
+    return dsl(table(spark, d, "customer"), "SHOW STATS").drop("type", "physical_size")
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'long', true), ('c_name', 'string', true), ('c_nationkey', 'integer', true), ('c_acctbal', 'double', true), ('c_mktsegment', 'string', true)) t(\"column\", type, sized)")
+def meta_05_types(spark, d):
+    """Types, and physical sizes that are there and no larger than a raw copy with its prefixes."""
+    found = dsl(table(spark, d, "customer"), "SHOW STATS")
+    return found.select("column", "type", ((F.col("physical_size") > 0) & (F.col("physical_size") <= F.col("size") + 4 * F.col("values") + 1000)).alias("sized"))
 
 
 _STRIPED = f"SELECT stripe_id, sum({_ORDER_SIZE})::BIGINT AS size, count(*) AS rows FROM {O} GROUP BY 1"
@@ -237,8 +370,8 @@ def meta_06_stripes(spark, d):
 
 
 @query(
-    "SELECT stripe_id, s AS stream, n AS name, count(*) AS items, 0::BIGINT AS nulls, sum(b)::BIGINT AS length FROM ("
-    f"SELECT stripe_id, unnest([1, 2, 3, 4, 5, 6]) AS s, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS n, unnest([8, 8, octet_length(encode(o_orderstatus)), 8, 12, octet_length(encode(o_orderpriority))]) AS b FROM {O} WHERE stripe_id = 1) GROUP BY ALL"
+    "SELECT *, coalesce(sum(length) OVER (PARTITION BY stripe_id ORDER BY stream ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_offset FROM (SELECT stripe_id, s AS stream, n AS name, count(*) AS items, 0::BIGINT AS nulls, sum(b)::BIGINT AS length FROM ("
+    f"SELECT stripe_id, unnest([1, 2, 3, 4, 5, 6]) AS s, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS n, unnest([8, 8, octet_length(encode(o_orderstatus)), 8, 12, octet_length(encode(o_orderpriority))]) AS b FROM {O} WHERE stripe_id = 1) GROUP BY ALL)"
 )
 def meta_07_streams(spark, d):
     return dsl(table(spark, d, "orders"), "SHOW STREAMS STRIPE 1")
@@ -264,13 +397,15 @@ def meta_12_layout(spark, d):
     return dsl(table(spark, d, "orders"), "SHOW FILE LAYOUT")
 
 
-@query("SELECT count(*) AS rows, min(o_orderkey)::VARCHAR AS first_key, max(o_orderkey)::VARCHAR AS last_key FROM orders")
+@query(f"SELECT chunk_id AS part, min(row_id) AS first_row, count(*) AS rows, min(o_orderkey)::VARCHAR AS first_key, max(o_orderkey)::VARCHAR AS last_key FROM {O} GROUP BY 1")
 def meta_09_index(spark, d):
-    parts = metadata.index(table(spark, d, "orders"))
-    return parts.agg(F.sum("rows").alias("rows"), F.min_by("first_key", "first_row").alias("first_key"), F.max_by("last_key", "first_row").alias("last_key"))
+    return dsl(table(spark, d, "orders"), "SHOW INDEX")
 
 
-@query(f"SELECT unnest({list(HELP)!r}) AS command")
+@query(
+    "SELECT unnest(['SELECT columns|* [FROM t] [LIMIT n] [OFFSET n] [STRIPE s]', 'DESCRIBE', 'SHOW SCHEMA', 'SHOW INFO', 'SHOW STATS', 'SHOW STRIPES', 'SHOW STREAMS [STRIPE s]', 'SHOW ENCODING [STRIPE s]', 'SHOW INDEX', "
+    "'SHOW HISTOGRAM [TOP n] [STRIPE s]', 'SHOW CONTENT stream [STRIPE s]', 'SHOW FILE LAYOUT', 'SHOW STRIPES METADATA', 'SHOW STRIPE GROUPS', 'SHOW OPTIONAL SECTIONS', 'HELP', 'QUIT']) AS command"
+)
 def meta_14_help(spark, d):
     return dsl(table(spark, d, "orders"), "HELP")
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laminar.plans import dsl, lookup_queries, scan_queries, stat_queries
+from laminar.plans import dsl, lookup_queries, report_queries, scan_queries, stat_queries
 from laminar.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {**scan_queries.Q, **lookup_queries.Q, **stat_queries.Q}
+_ALL: dict[str, tuple[Query, str | None]] = {**scan_queries.Q, **lookup_queries.Q, **stat_queries.Q, **report_queries.Q}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def meta_01_select_default(spark, d):
     return dsl(table(spark, d, "orders"), "select o_orderkey o_custkey from orders")
 
 
-@query(f"SELECT * EXCLUDE (row_id, stripe_id, chunk_id) FROM {O} WHERE stripe_id = 3 ORDER BY row_id OFFSET 2990")
+@query(f"SELECT * EXCLUDE (row_id, stripe_id, chunk_id) FROM {O} WHERE stripe_id = 3 ORDER BY row_id LIMIT 100 OFFSET 2990")
 def sort_02_limit_in_stripe(spark, d):
     return table(spark, d, "orders").select(None, limit=100, offset=2990, stripe=3)
 
@@ -332,18 +332,23 @@ def fn_04_pack(spark, d):
     return scalar.pack(read(spark, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 13).alias("v")), 4, 8)
 
 
-@query("SELECT event_id, floor(t / 1000)::BIGINT AS micros, ((t % 1000) + 1000) % 1000 AS nanos FROM (SELECT event_id, (user_id - 70) * 123457 AS t FROM events)")
+# Nanoseconds of the size of present-day ones, before and after the epoch, beyond what a double holds.
+@query("SELECT event_id, (t - n) // 1000 AS micros, n AS nanos FROM (SELECT event_id, t, ((t % 1000) + 1000) % 1000 AS n FROM (SELECT event_id, (user_id - 70) * 27764557984720173 + event_id AS t FROM events))")
 def fn_05_timestamp_split(spark, d):
-    t = (F.col("user_id") - 70) * 123457
+    t = (F.col("user_id") - 70) * F.lit(27764557984720173) + F.col("event_id")
     micros, nanos = scalar.split_nanos(t)
     return read(spark, d, "events").select("event_id", micros.alias("micros"), nanos.alias("nanos"))
 
 
-@query("SELECT a.user_id, true AS same, len(map_keys(m)) > 1 AS several FROM (" + MAPS + ") a")
+# Each user's map against itself turned round, against one with a value changed for even users, and against null.
+@query("SELECT a.user_id, true AS same, user_id % 2 <> 0 AS changed, false AS missing, len(map_keys(m)) > 1 AS several FROM (" + MAPS + ") a")
 def fn_09_map_equality(spark, d):
     m = maps(spark, d)
-    turned = m.withColumn("r", F.map_from_entries(F.reverse(F.map_entries("m"))))
-    return turned.select("user_id", scalar.same_map("m", "r").alias("same"), (F.size("m") > 1).alias("several"))
+    entries = F.reverse(F.map_entries("m"))
+    step = F.when(F.col("user_id") % 2 == 0, 1).otherwise(0)
+    other = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), (e["value"] + F.when(i == 0, step).otherwise(0)).alias("value")))
+    turned = m.withColumn("r", F.map_from_entries(entries)).withColumn("o", F.map_from_entries(other)).withColumn("n", F.when(F.col("user_id") < 0, F.col("m")))
+    return turned.select("user_id", scalar.same_map("m", "r").alias("same"), scalar.same_map("m", "o").alias("changed"), scalar.same_map("m", "n").alias("missing"), (F.size("m") > 1).alias("several"))
 
 
 @query("SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS scaled, CAST(round(p_retailprice * 100) AS BIGINT) / 100.0::DOUBLE = p_retailprice AS exact FROM part")

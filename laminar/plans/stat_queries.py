@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laminar.functions import scalar
 from laminar.operators import advisor, codecs, stats
-from laminar.plans.tables import numbered, read, table
+from laminar.plans.dsl import run as dsl
+from laminar.plans.tables import STRIPES, numbered, read, table
 from laminar.sources import batches, writer
+from laminar.table import ColTable
 
 L, O, E, P = numbered("lineitem"), numbered("orders"), numbered("events"), numbered("part")
 Q: dict[str, tuple] = {}
@@ -113,17 +116,25 @@ def agg_15_most_frequent(spark, d):
     return stats.most_frequent(read(spark, d, "lineitem").select(F.col("l_quantity").alias("v")))
 
 
-@query("SELECT 5000::BIGINT AS rows_max, count(*) AS rows_total, ceil(count(*) / 5000.0) >= 1 AS some FROM orders")
+# Batches of stripes, so that their number and rows follow from the table; the bytes are at least those of the numbers.
+@query(f"SELECT count(*) AS batches, min(n) AS min_rows, max(n) AS max_rows, avg(n)::DOUBLE AS avg_rows, sum(n)::BIGINT AS total_rows, true AS fits FROM (SELECT stripe_id, b, count(*) AS n FROM (SELECT stripe_id, row_id % {STRIPES['orders']} // 700 AS b FROM {O}) GROUP BY ALL)")
 def agg_17_batch_sizes(spark, d):
-    s = batches.sizes(batches.serialize(read(spark, d, "orders"), rows=5000))
-    return s.select(F.col("max_rows").alias("rows_max"), F.col("total_rows").alias("rows_total"), (F.col("batches") >= 1).alias("some"))
+    t = table(spark, d, "orders")
+    s = batches.sizes(batches.serialize_groups(t.df.select("stripe_id", "row_id", "o_orderkey", "o_totalprice"), "stripe_id", "row_id", 700))
+    fits = (F.col("min_bytes") >= 16 * F.col("min_rows")) & (F.col("max_bytes") <= 64 * F.col("max_rows")) & (F.col("total_bytes") >= F.col("max_bytes"))
+    return s.select("batches", "min_rows", "max_rows", "avg_rows", "total_rows", fits.alias("fits"))
 
 
-@query("SELECT c_custkey AS key, true AS maybe FROM customer")
+# All keys that were added, and how many of as many that were not the filter lets through: about 1 % at ten bits a key.
+@query("SELECT (SELECT count(*) FROM customer) AS added, 0::BIGINT AS missed, (SELECT count(*) FROM customer) AS others, true AS few, true AS sound")
 def agg_19_bloom(spark, d):
     keys = read(spark, d, "customer").select(F.col("c_custkey").alias("key"))
-    bits = writer.bloom_bits(2000)
-    return writer.may_hold(writer.bloom(keys, "key", bits), keys, "key", bits)
+    n = keys.count()
+    bits = writer.bloom_bits(n)
+    held = writer.bloom(keys, "key", bits)
+    probes = keys.unionByName(keys.select((-F.col("key") - 1).alias("key")))
+    got = writer.may_hold(held, probes, "key", bits).agg(F.count_if(F.expr("key >= 0")).alias("added"), F.count_if(F.expr("key >= 0 AND NOT maybe")).alias("missed"), F.count_if(F.expr("key < 0")).alias("others"), F.count_if(F.expr("key < 0 AND maybe")).alias("let"))
+    return got.select("added", "missed", "others", (F.col("let") * 20 < F.col("others")).alias("few"), (F.col("let") < F.col("others")).alias("sound"))
 
 
 @query(f"SELECT chunk_id, count(*) AS rows, count(*) FILTER (user_id % 5 = 0) AS nulls FROM {E} GROUP BY chunk_id")
@@ -161,6 +172,12 @@ def enc_03_fixed_width(spark, d):
     return g.withColumn("width", (F.ceil(F.col("bits") / 8) * 8).cast("int"))
 
 
+@query(f"SELECT stripe_id, row_id, l_partkey * 7919 - 100000 AS v FROM {L}")
+def enc_03_fixed_width_decode(spark, d):
+    rows = table(spark, d, "lineitem").df.select("stripe_id", "row_id", (F.col("l_partkey") * 7919 - 100000).alias("v"))
+    return codecs.unpacked(codecs.fixed_width(rows))
+
+
 _NULLS = f"SELECT stripe_id, row_id, nullif(p_size, 9)::BIGINT AS v FROM {P}"
 
 
@@ -193,6 +210,32 @@ def enc_06_sparse_bool(spark, d):
     return codecs.sparse_bool(table(spark, d, "orders").df.select("stripe_id", "row_id", (F.col("o_orderstatus") == "F").alias("v")))
 
 
+@query(f"SELECT stripe_id, row_id, o_orderstatus = 'F' AS v FROM {O}")
+def enc_06_sparse_bool_decode(spark, d):
+    rows = table(spark, d, "orders").df.select("stripe_id", "row_id", (F.col("o_orderstatus") == "F").alias("v"))
+    return codecs.sparse_bool_decode(codecs.sparse_bool_head(rows), codecs.sparse_bool(rows))
+
+
+@query(f"SELECT stripe_id, row_id, row_id >= 4000 AND stripe_id % 2 = 0 AS v FROM {O}")
+def enc_06_constant_groups_decode(spark, d):
+    """Groups that are all false, all true, or both."""
+    rows = table(spark, d, "orders").df.select("stripe_id", "row_id", ((F.col("row_id") >= 4000) & (F.col("stripe_id") % 2 == 0)).alias("v"))
+    return codecs.sparse_bool_decode(codecs.sparse_bool_head(rows), codecs.sparse_bool(rows))
+
+
+@query(f"SELECT stripe_id, row_id, l_partkey * l_partkey * 1000003 - 5 AS v FROM {L}")
+def enc_07_varint_decode(spark, d):
+    rows = table(spark, d, "lineitem").df.select("stripe_id", "row_id", (F.col("l_partkey") * F.col("l_partkey") * 1000003 - 5).alias("v"))
+    return codecs.varints_decode(codecs.varints(rows))
+
+
+@query(f"SELECT stripe_id, sum(greatest(1, ceil(length(bin(o_custkey - m)) / 7.0)))::BIGINT AS bytes FROM (SELECT stripe_id, o_custkey, min(o_custkey) OVER (PARTITION BY stripe_id) AS m FROM {O}) GROUP BY stripe_id")
+def enc_07_varint_stream(spark, d):
+    """The bytes that are written, not an estimate of them."""
+    coded = codecs.varints(codecs.column(table(spark, d, "orders").df, "o_custkey"))
+    return coded.groupBy("stripe_id").agg(F.sum(F.size("bytes")).cast("long").alias("bytes"))
+
+
 @query(f"SELECT stripe_id, sum(greatest(1, ceil(length(bin(o_custkey - m)) / 7.0)))::BIGINT AS bytes FROM (SELECT stripe_id, o_custkey, min(o_custkey) OVER (PARTITION BY stripe_id) AS m FROM {O}) GROUP BY stripe_id")
 def enc_07_varint(spark, d):
     from laminar.functions.scalar import varint_size
@@ -232,6 +275,36 @@ def enc_10_mainly_constant_decode(spark, d):
     return codecs.mainly_constant_decode(*codecs.mainly_constant(rows), rows)
 
 
+_TYPES = f"SELECT stripe_id, row_id, CASE WHEN row_id % 5 <> 0 THEN event_type END AS v FROM {E}"
+
+
+def _types(spark, d):
+    return table(spark, d, "events").df.select("stripe_id", "row_id", F.when(F.col("row_id") % 5 != 0, F.col("event_type")).alias("v"))
+
+
+@query(_TYPES)
+def enc_10_nulls_decode(spark, d):
+    rows = _types(spark, d)
+    return codecs.mainly_constant_decode(*codecs.mainly_constant(rows), rows)
+
+
+@query(_TYPES)
+def enc_02_nulls_decode(spark, d):
+    return codecs.dictionary_decode(*codecs.dictionary(_types(spark, d)))
+
+
+@query(f"SELECT stripe_id, row_id, p_name AS v FROM {P}")
+def enc_11_prefix_decode(spark, d):
+    return codecs.shared_prefix_decode(codecs.shared_prefix(codecs.column(table(spark, d, "part").df, "p_name")))
+
+
+# A column in order within each stripe: keys as text of one width.
+@query(f"SELECT stripe_id, min(row_id) AS row_id FROM {P} WHERE printf('key/%08d', p_partkey) >= 'key/00000700x' GROUP BY 1")
+def enc_11_prefix_seek(spark, d):
+    rows = table(spark, d, "part").df.select("stripe_id", "row_id", F.format_string("key/%08d", "p_partkey").alias("v"))
+    return codecs.prefix_seek(codecs.shared_prefix(rows), "key/00000700x")
+
+
 _PREFIX = f"SELECT stripe_id, row_id, v, CASE WHEN row_id % 16 <> 0 THEN coalesce(lag(v) OVER (PARTITION BY stripe_id ORDER BY row_id), '') ELSE '' END AS b FROM (SELECT stripe_id, row_id, p_name AS v FROM {P})"
 
 
@@ -250,25 +323,70 @@ def enc_12_alp_decode(spark, d):
     return codecs.alp_decode(codecs.alp(codecs.column(table(spark, d, "part").df, "p_retailprice"), 2), 2)
 
 
+@query(f"SELECT stripe_id, row_id, CASE row_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE -1 END AS sign, row_id % 4 = 1 AS minus FROM {P}")
+def enc_12_alp_zeros(spark, d):
+    """-0.0 comes back as -0.0."""
+    v = F.expr("CASE row_id % 4 WHEN 0 THEN 1.25D WHEN 1 THEN -0.0D WHEN 2 THEN 0.0D ELSE -1.5D END")
+    rows = codecs.alp_decode(codecs.alp(table(spark, d, "part").df.select("stripe_id", "row_id", v.alias("v")), 2), 2)
+    return rows.select("stripe_id", "row_id", F.signum("v").cast("int").alias("sign"), scalar.negative_zero("v").alias("minus"))
+
+
+@query("SELECT min(e)::INT AS exponent FROM (SELECT e, bool_and(round_even(p_retailprice * 10::DOUBLE ** e, 0) / 10::DOUBLE ** e = p_retailprice) AS fits FROM part, range(6) t(e) GROUP BY e) WHERE fits")
+def enc_12_alp_exponent(spark, d):
+    """Prices have so many places that a power of ten makes all of them whole; the least such one takes the fewest bits."""
+    return spark.createDataFrame([(codecs.alp_exponent(codecs.column(table(spark, d, "part").df, "p_retailprice")),)], "exponent int")
+
+
+# One value of 37 is far above the others.
+_FAR = f"SELECT stripe_id, row_id, l_partkey + CASE WHEN row_id % 37 = 0 THEN 4000000000 + row_id ELSE 0 END AS v FROM {L}"
 _PATCH = (
-    f"WITH r AS (SELECT stripe_id, row_id, (l_partkey * l_partkey) AS v FROM {L}), b AS (SELECT stripe_id, min(v) AS base, count(*) AS n FROM r GROUP BY 1), s AS (SELECT r.*, base, n, length(bin(v - base)) AS bits FROM r JOIN b USING (stripe_id)), "
+    f"WITH r AS ({_FAR}), b AS (SELECT stripe_id, min(v) AS base, count(*) AS n FROM r GROUP BY 1), s AS (SELECT r.*, base, n, length(bin(v - base)) AS bits FROM r JOIN b USING (stripe_id)), "
     "k AS (SELECT stripe_id, base, n, greatest(1, ceil(bits / 7.0))::INT AS k, count(*) AS c FROM s GROUP BY ALL), a AS (SELECT *, sum(c) OVER (PARTITION BY stripe_id ORDER BY k) AS r FROM k), w AS (SELECT stripe_id, base, n, 7 * min(k) AS width FROM a WHERE r >= n * 0.9 GROUP BY ALL) "
 )
 
 
+def _far(spark, d):
+    far = F.when(F.col("row_id") % 37 == 0, F.lit(4000000000) + F.col("row_id")).otherwise(0)
+    return table(spark, d, "lineitem").df.select("stripe_id", "row_id", (F.col("l_partkey") + far).alias("v"))
+
+
 @query(_PATCH + "SELECT stripe_id, base, n, width::INT AS width FROM w")
 def enc_13_patched_width(spark, d):
-    return codecs.patched(table(spark, d, "lineitem").df.select("stripe_id", "row_id", (F.col("l_partkey") * F.col("l_partkey")).alias("v")))[0]
+    return codecs.patched(_far(spark, d))[0]
 
 
 @query(_PATCH + "SELECT stripe_id, row_id, v FROM s JOIN w USING (stripe_id) WHERE bits > width")
 def enc_13_patched_exceptions(spark, d):
-    return codecs.patched(table(spark, d, "lineitem").df.select("stripe_id", "row_id", (F.col("l_partkey") * F.col("l_partkey")).alias("v")))[1]
+    return codecs.patched(_far(spark, d))[1]
 
 
-@query(f"SELECT row_id // 32 AS frame, min(o_custkey) AS base, CASE WHEN max(o_custkey) = min(o_custkey) THEN 0 ELSE length(bin(max(o_custkey) - min(o_custkey))) END AS width, count(*) AS \"count\" FROM {O} GROUP BY 1")
+@query(_FAR)
+def enc_13_patched_decode(spark, d):
+    return codecs.patched_decode(*codecs.patched_packed(_far(spark, d)))
+
+
+@query(
+    f"SELECT stripe_id, base, width, ceil(n / 32.0)::BIGINT AS groups, (n // 32 * width + ceil(n % 32 * width / 32.0))::BIGINT AS words FROM (SELECT stripe_id, min(o_custkey) AS base, length(bin(max(o_custkey) - min(o_custkey)))::INT AS width, count(*) AS n FROM {O} GROUP BY 1)"
+)
 def enc_14_groups_of_32(spark, d):
-    return codecs.frame_table(codecs.column(table(spark, d, "orders").df, "o_custkey"), 32)
+    """One base and one width for the stream; groups of 32 values fill as many words as the width has bits."""
+    packed = codecs.fixed_width(codecs.column(table(spark, d, "orders").df, "o_custkey"), 32)
+    return packed.groupBy("stripe_id", "base", "width").agg(F.count("*").alias("groups"), F.sum(F.size("words")).cast("long").alias("words"))
+
+
+@query(f"SELECT stripe_id, row_id, o_custkey AS v FROM {O}")
+def enc_14_groups_decode(spark, d):
+    return codecs.unpacked(codecs.fixed_width(codecs.column(table(spark, d, "orders").df, "o_custkey"), 32))
+
+
+@query(f"SELECT stripe_id, row_id % {STRIPES['lineitem']} // 1024 AS frame, min(l_orderkey) AS base, CASE WHEN max(l_orderkey) = min(l_orderkey) THEN 0 ELSE length(bin(max(l_orderkey) - min(l_orderkey))) END AS width, count(*) AS n FROM {L} GROUP BY ALL")
+def enc_15_blocks(spark, d):
+    return codecs.blocks(codecs.column(table(spark, d, "lineitem").df, "l_orderkey")).select("stripe_id", "frame", "base", "width", "n")
+
+
+@query(f"SELECT stripe_id, row_id, l_orderkey AS v FROM {L}")
+def enc_15_blocks_decode(spark, d):
+    return codecs.unpacked(codecs.blocks(codecs.column(table(spark, d, "lineitem").df, "l_orderkey")))
 
 
 @query(f"SELECT frame, least(ceil(c * w / 8.0) + 7, c * 8)::BIGINT AS bytes FROM (SELECT row_id // 1024 AS frame, count(*) AS c, CASE WHEN max(o_custkey) = min(o_custkey) THEN 0 ELSE length(bin(max(o_custkey) - min(o_custkey))) END AS w FROM {O} GROUP BY 1)")
@@ -281,6 +399,16 @@ def enc_16_bit_ranges(spark, d):
     return codecs.bit_ranges(codecs.column(table(spark, d, "orders").df, "o_custkey"), [0, 4, 10])
 
 
+@query(f"SELECT stripe_id, row_id, o_custkey AS v FROM {O}")
+def enc_16_bit_ranges_decode(spark, d):
+    return codecs.bit_ranges_decode(codecs.bit_ranges(codecs.column(table(spark, d, "orders").df, "o_custkey"), [0, 4, 10]), [0, 4, 10])
+
+
+@query(f"SELECT stripe_id, row_id, l_quantity AS v FROM {L}")
+def enc_17_frequency_decode(spark, d):
+    return codecs.frequency_decode(*codecs.frequency_codes(codecs.column(table(spark, d, "lineitem").df, "l_quantity"), [4, 16]))
+
+
 @query("SELECT v, n, place, CASE WHEN place < 4 THEN 0 WHEN place < 20 THEN 1 ELSE 2 END AS tier FROM (SELECT l_quantity AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_quantity) - 1 AS place FROM lineitem GROUP BY 1)")
 def enc_17_frequency_tiers(spark, d):
     return codecs.frequency_tiers(read(spark, d, "lineitem").select(F.col("l_quantity").alias("v")), [4, 16])
@@ -291,10 +419,39 @@ def enc_18_frames(spark, d):
     return codecs.frames(codecs.column(table(spark, d, "orders").df, "o_custkey"), 128)
 
 
-@query("SELECT count(*) AS n_values, sum(n)::BIGINT AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+# The least bits of any code of whole bits a value: twice the two rarest are joined, as recursion in SQL over sorted counts.
+@query(
+    "WITH RECURSIVE c AS (SELECT list(n ORDER BY n) AS l FROM (SELECT count(*) AS n FROM events GROUP BY event_type)), "
+    "h AS (SELECT l, 0::BIGINT AS bits FROM c UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM h WHERE len(l) > 1) "
+    "SELECT (SELECT count(DISTINCT event_type) FROM events) AS n_values, (SELECT count(*) FROM events) AS n, max(bits)::BIGINT AS bits, true AS prefix_free FROM h"
+)
 def enc_20_huffman(spark, d):
+    """The coded bits are the least there are, and no code begins another."""
     coded = codecs.huffman(read(spark, d, "events").select(F.col("event_type").alias("v")))
-    return coded.agg(F.count("*").alias("n_values"), F.sum("n").alias("n"))
+    total = coded.agg(F.count("*").alias("n_values"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("code_length")).alias("bits"), F.sort_array(F.collect_list("code")).alias("_c"))
+    return total.withColumn("prefix_free", F.expr("forall(transform(slice(_c, 2, size(_c)), (x, i) -> startswith(x, _c[i])), x -> NOT x)")).drop("_c")
+
+
+@query(f"SELECT stripe_id, row_id, event_type AS v FROM {E}")
+def enc_20_huffman_decode(spark, d):
+    rows = codecs.column(table(spark, d, "events").df, "event_type")
+    codes = codecs.huffman(rows.select("v"))
+    return codecs.huffman_decode(codecs.huffman_encode(rows, codes), codes)
+
+
+@query(f"SELECT stripe_id, row_id, l_partkey AS v FROM {L}")
+def enc_20_huffman_many_decode(spark, d):
+    """As many values as need codes of the longest length, some of them cut to it."""
+    rows = codecs.column(table(spark, d, "lineitem").df, "l_partkey")
+    rows = rows.withColumn("v", F.col("v"))
+    codes = codecs.huffman(rows.select("v"))
+    return codecs.huffman_decode(codecs.huffman_encode(rows, codes), codes)
+
+
+@query(f"SELECT stripe_id, row_id, o_orderkey * 3 AS v FROM {O}")
+def enc_21_delta_blocks_decode(spark, d):
+    rows = table(spark, d, "orders").df.select("stripe_id", "row_id", (F.col("o_orderkey") * 3).alias("v"))
+    return codecs.delta_blocks_decode(codecs.delta_blocks_packed(rows, 1024))
 
 
 @query(f"SELECT row_id // 1024 AS frame, arg_min(v, row_id) AS base, coalesce(max(d) FILTER (row_id % 1024 <> 0), 0) AS max_delta, coalesce(min(d) FILTER (row_id % 1024 <> 0) >= 0, true) AS sorted FROM (SELECT row_id, o_orderkey AS v, o_orderkey - lag(o_orderkey) OVER (ORDER BY row_id) AS d FROM {O}) GROUP BY 1")
@@ -307,14 +464,18 @@ def enc_22_shared_dictionary(spark, d):
     return codecs.alphabet(codecs.column(table(spark, d, "customer").df, "c_mktsegment"), by_group=False)
 
 
-@query(f"SELECT row_id, o_custkey AS v FROM {O} WHERE row_id IN (0, 77, 1024, 9999)")
+@query(f"SELECT row_id, l_partkey AS v FROM {L} WHERE row_id IN (SELECT c_custkey * 31 FROM customer)")
 def enc_39_random_access(spark, d):
-    return table(spark, d, "orders").df.where(F.col("row_id").isin(0, 77, 1024, 9999)).select("row_id", F.col("o_custkey").alias("v"))
+    """Values out of packed words, for rows asked for in a table."""
+    t = table(spark, d, "lineitem")
+    packed = codecs.fixed_width(codecs.column(t.df, "l_partkey"), 1000)  # stripes begin at whole frames
+    return codecs.value_at(packed, read(spark, d, "customer").select((F.col("c_custkey") * 31).alias("row_id")), 1000)
 
 
-@query(f"SELECT row_id, o_custkey AS v FROM {O} WHERE row_id >= 3000 AND row_id < 3500")
+@query(f"SELECT stripe_id, row_id, o_custkey AS v FROM {O} WHERE row_id >= 3000 AND row_id < 4500")
 def enc_40_slice(spark, d):
-    return table(spark, d, "orders").rows(3000, 3500).select("row_id", F.col("o_custkey").alias("v"))
+    """A range of rows out of packed words, over the end of a stripe."""
+    return codecs.slice_of(codecs.fixed_width(codecs.column(table(spark, d, "orders").df, "o_custkey")), 3000, 4500)
 
 
 # Estimates and the choice of an encoding, as closed formulas in SQL too.
@@ -381,6 +542,13 @@ def enc_38_estimates_numeric(spark, d):
     return advisor.estimates(table(spark, d, "orders").df, "o_custkey")
 
 
+# One and so many sixty-fourths: doubles whose bits are these whole numbers.
+@query(_numeric("4607182418800017408 + o_custkey % 64 * 70368744177664", O, 8) + "SELECT stripe_id, encoding, size, place FROM est")
+def enc_38_estimates_double(spark, d):
+    rows = table(spark, d, "orders").df.withColumn("x", 1 + F.col("o_custkey") % 64 / F.lit(64.0))
+    return advisor.estimates(rows, "x")
+
+
 @query(_strings("o_orderpriority", O) + "SELECT stripe_id, encoding, size, place FROM est")
 def enc_38_estimates_string(spark, d):
     return advisor.estimates(table(spark, d, "orders").df, "o_orderpriority")
@@ -415,6 +583,37 @@ def agg_16_histogram(spark, d):
     return chosen.groupBy("encoding").agg(F.count("*").alias("instances"), F.sum("size").alias("bytes"))
 
 
+_ROOTS = (
+    "SELECT 'o_custkey' AS \"column\", stripe_id, encoding, size FROM (" + _numeric("o_custkey", "(SELECT * FROM " + O + " WHERE stripe_id = 1)", 8) + _CHOSEN + ") UNION ALL "
+    "SELECT 'o_orderpriority', stripe_id, encoding, size FROM (" + _strings("o_orderpriority", "(SELECT * FROM " + O + " WHERE stripe_id = 1)") + _CHOSEN + ")"
+)
+
+
+@query(_ROOTS)
+def meta_08_encoding(spark, d):
+    shown = dsl(table(spark, d, "orders"), "SHOW ENCODING STRIPE 1").where("depth = 0 AND column IN ('o_custkey', 'o_orderpriority')")
+    return shown.select("column", "stripe_id", "encoding", "size")
+
+
+@query(
+    f"WITH r AS ({_ROOTS}), c AS (SELECT * FROM (VALUES ('Dictionary', 'indices', 'FixedBitWidth'), ('Dictionary', 'alphabet', 'Trivial'), ('RLE', 'lengths', 'FixedBitWidth'), ('RLE', 'values', 'FixedBitWidth'), ('MainlyConstant', 'common', 'SparseBool'), ('MainlyConstant', 'others', 'FixedBitWidth')) t(parent, name, encoding)) "
+    "SELECT \"column\" || '/' || name AS path, c.encoding FROM r JOIN c ON r.encoding = c.parent"
+)
+def meta_08_streams(spark, d):
+    """The streams in an encoding, one level down."""
+    shown = dsl(table(spark, d, "orders"), "SHOW ENCODING STRIPE 1").where("depth = 1 AND (path LIKE 'o_custkey/%' OR path LIKE 'o_orderpriority/%')")
+    return shown.select("path", "encoding")
+
+
+@query(
+    "SELECT encoding, count(*) AS instances, sum(size)::BIGINT AS bytes FROM (SELECT * FROM (" + _numeric("p_partkey", P, 8) + _CHOSEN + ") UNION ALL SELECT * FROM (" + _strings("p_brand", P) + _CHOSEN + ")) GROUP BY encoding ORDER BY bytes DESC, encoding LIMIT 1"
+)
+def meta_10_histogram(spark, d):
+    t = table(spark, d, "part")
+    two = ColTable.lay_out(t.df.select("p_partkey", "p_brand"), ["p_partkey"], t.stripe_rows, t.chunk_rows)
+    return dsl(two, "SHOW HISTOGRAM TOP 1").select("encoding", "instances", "bytes")
+
+
 # Writers.
 
 
@@ -423,6 +622,23 @@ def wr_07_user_sequence(spark, d):
     return writer.cut_by_key(read(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 25)
 
 
+@query(
+    f"WITH r AS (SELECT row_id, l_returnflag AS key, row_id = 0 OR l_returnflag <> lag(l_returnflag) OVER (ORDER BY row_id) AS new FROM {L}), s AS (SELECT *, max(CASE WHEN new THEN row_id END) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS a FROM r) "
+    "SELECT row_id, key, sum(CASE WHEN (row_id - a) % 2 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS stripe FROM s"
+)
+def wr_07_change_of_key(spark, d):
+    """A stripe ends where the key changes in row order, and after two rows."""
+    return writer.cut_by_change(table(spark, d, "lineitem"), "l_returnflag", 2)
+
+
+@query(f"SELECT row_id, row_id // 3000 AS key, row_id // 3000 AS stripe FROM {E}")
+def wr_07_long_runs(spark, d):
+    """Runs of a key over several chunks."""
+    rows = table(spark, d, "events").df.select(F.col("row_id").alias("place"), F.floor(F.col("row_id") / 3000).alias("key"))
+    laid = ColTable.lay_out(rows, ["place"])
+    return writer.cut_by_change(laid, "key").select("row_id", "key", "stripe")
+
+
 @query(f"SELECT row_id, chunk_id FROM {E}")
 def wr_08_chunks(spark, d):
     return table(spark, d, "events").df.select("row_id", "chunk_id")
@@ -464,9 +680,12 @@ def wr_13_null_streams(spark, d):
     return writer.null_streams(rows, ["a", "p_partkey"])
 
 
-@query("SELECT unnest(['nulls', 'm/click', 'm/view', 'id', 'm']) AS stream, unnest(range(5))::INT AS place")
+@query("WITH k AS (SELECT DISTINCT event_type AS t FROM events), n AS (SELECT 'm/' || t AS stream, row_number() OVER (ORDER BY t)::INT AS place FROM k), c AS (SELECT count(*)::INT AS c FROM k) SELECT 'nulls' AS stream, 0 AS place UNION ALL SELECT * FROM n UNION ALL SELECT 'user_id', c + 1 FROM c UNION ALL SELECT 'm', c + 2 FROM c")
 def wr_17_stream_order(spark, d):
-    return spark.createDataFrame([(s, i) for i, s in enumerate(writer.stream_order(["id", "m"], {"m": ["click", "view"]}))], "stream string, place int")
+    """The features are the keys that the column holds."""
+    shown = maps(spark, d)
+    keys = [r["key"] for r in writer.in_maps(shown, "user_id", "m").orderBy("key").collect()]
+    return spark.createDataFrame([(s, i) for i, s in enumerate(writer.stream_order(shown.columns, {"m": keys}))], "stream string, place int")
 
 
 @query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS \"column\", unnest([8 * count(*), 8 * count(*), sum(octet_length(encode(o_orderstatus))), 8 * count(*), 12 * count(*), sum(octet_length(encode(o_orderpriority)))])::BIGINT AS bytes FROM orders")
@@ -480,8 +699,10 @@ def ser_01_round_trip(spark, d):
     return batches.deserialize(batches.serialize(rows, 3000), rows.schema)
 
 
-@query("SELECT ceil(count(*) / 5000.0)::BIGINT AS n FROM orders")
+@query(f"SELECT stripe_id, row_id, o_orderkey, o_totalprice FROM {O} WHERE row_id % {STRIPES['orders']} % 700 BETWEEN 5 AND 14")
 def ser_04_rows_of_batch(spark, d):
-    rows = read(spark, d, "orders").coalesce(1)
-    packed = batches.serialize(rows, 5000)
-    return batches.deserialize(packed, rows.schema, 1, 1).agg(F.count("*").alias("n"))
+    """Rows 5 to 14 of each batch."""
+    rows = table(spark, d, "orders").df.select("stripe_id", "row_id", "o_orderkey", "o_totalprice")
+    return batches.deserialize(batches.serialize_groups(rows, "stripe_id", "row_id", 700), rows.schema, 5, 10)
+
+

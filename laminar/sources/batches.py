@@ -1,6 +1,7 @@
 """Rows as self-contained binary batches, and back: whole, projected by column, or by range of rows.
 
-A batch is an Arrow IPC stream of up to a fixed number of rows; a projection reads only the wanted columns of each batch.
+A batch is an Arrow IPC stream of up to a fixed number of rows; a projection decodes only the wanted columns of each batch,
+though its bytes are read whole.
 """
 
 from __future__ import annotations
@@ -36,6 +37,31 @@ def serialize(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return df.mapInArrow(run, BATCH)
 
 
+def serialize_groups(df: DataFrame, group: str, order: str, rows: int) -> DataFrame:
+    """As ``serialize``, with batches of at most ``rows`` rows of one group, in order within it.
+
+    A batch is made of rows that a window numbers, so its rows do not depend on how tasks are cut.
+    """
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    cut = df.withColumn("_batch", F.floor(place / rows).cast("long"))
+    names = df.columns
+
+    def run(keys, table):
+        import pyarrow as pa
+
+        own = table.select(names).sort_by(order).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        data = sink.getvalue().to_pybytes()
+        head = [pa.array([0], pa.int32()), pa.array([keys[1].as_py()], pa.int32()), pa.array([own.num_rows], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())]
+        return pa.Table.from_arrays(head, ["task", "batch", "rows", "bytes", "data"])
+
+    return cut.groupBy(group, "_batch").applyInArrow(run, BATCH)
+
+
 def deserialize(batches: DataFrame, schema: T.StructType, first: int = 0, count: int | None = None) -> DataFrame:
     """The rows of all batches; of each batch only ``count`` from row ``first`` on, if given."""
     return project(batches, schema, schema.fieldNames(), None, first, count)

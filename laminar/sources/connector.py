@@ -26,7 +26,11 @@ def _dataset(path: str, files: list[str] | None = None):
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    # Without a scheme a path is one of Spark's default file system, which the workers that run this do not know.
+    if "://" not in path:
+        raise ValueError(f"the path needs a scheme, as in file://{path}")
+    scheme, mark, rest = path.partition("://")
+    system, place = fs.FileSystem.from_uri(f"s3{mark}{rest}" if scheme in ("s3a", "s3n") else path)
     return ds.dataset(files or f"{place}/data", format="parquet", filesystem=system)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laminar.operators import stats
-from laminar.operators.scan import raw_size
+from laminar.operators.scan import raw_size, with_latest, with_starts
 from laminar.table import ColTable
 
 #: The default raw size at which a stripe ends.
@@ -44,44 +44,83 @@ class WriterOptions:
         return out
 
 
-def cut_by_key(df: DataFrame, key: str, order: str, max_rows: int = 0) -> DataFrame:
-    """df with ``stripe``: a new one at each change of key in row order, and after ``max_rows`` rows of it.
+def cut_by_key(df: DataFrame, key: str, order: str, max_rows: int = 0, done: Column | None = None) -> DataFrame:
+    """df with ``part``: of each key's rows, in order, the number of the run of ``max_rows`` that each falls in.
 
-    Sequences are windows by key: rows of one key are consecutive, as they are in a table laid out by it.
+    This is for rows that are not in a table's order yet, as those of a stream: a key's rows are one sequence wherever they
+    stand. done: how many rows of the key were cut before. ``cut_by_change`` cuts a table in row order.
     """
     own = Window.partitionBy(key).orderBy(order)
-    part = F.floor((F.row_number().over(own) - 1) / max_rows) if max_rows else F.lit(0)
-    return df.withColumn("part", part.cast("long"))
+    place = F.row_number().over(own) - 1 + (done if done is not None else F.lit(0))
+    return df.withColumn("part", (F.floor(place / max_rows) if max_rows else F.lit(0)).cast("long"))
+
+
+def cut_by_change(t: ColTable, key: str, max_rows: int = 0) -> DataFrame:
+    """(row_id, key, stripe): a new stripe at each change of key in row order, and after ``max_rows`` rows without one.
+
+    Changes within a chunk come from a window over it; a chunk's first row is compared with the last of the one before,
+    and what crosses chunks, the start of the run that goes on and the stripes before, comes from a row for each chunk.
+    """
+    inside = Window.partitionBy("chunk_id").orderBy("row_id")
+    rows = t.df.select("chunk_id", "row_id", F.col(key).alias("key"))
+    last = rows.groupBy("chunk_id").agg(F.max_by("key", "row_id").alias("_last")).select((F.col("chunk_id") + 1).alias("chunk_id"), "_last")
+    first_row = F.row_number().over(inside) == 1
+    before = F.when(first_row, F.col("_last")).otherwise(F.lag("key").over(inside))
+    changed = rows.join(last, "chunk_id", "left").withColumn("_new", (F.col("row_id") == 0) | ~F.col("key").eqNullSafe(before))
+    started = changed.withColumn("_run", F.max(F.when(F.col("_new"), F.col("row_id"))).over(inside))
+    # The last start of a run in each chunk; chunks without one carry on that of an earlier chunk: the greatest so far.
+    carried = with_latest(started.groupBy("chunk_id").agg(F.max("_run").alias("_own")), "chunk_id", "_own", "_carried")
+    run = F.coalesce("_run", "_carried")
+    placed = started.join(carried.select("chunk_id", "_carried"), "chunk_id").withColumn("_place", F.col("row_id") - run)
+    cut = (F.col("_place") % max_rows == 0) if max_rows else (F.col("_place") == 0)
+    marked = placed.withColumn("_cut", cut.cast("long"))
+    sums = with_starts(marked.groupBy("chunk_id").agg(F.sum("_cut").alias("_n")), "chunk_id", "_n", "_stripes")
+    stripe = F.col("_stripes") + F.sum("_cut").over(inside) - 1
+    return marked.join(sums.select("chunk_id", "_stripes"), "chunk_id").select("row_id", "key", stripe.cast("long").alias("stripe"))
 
 
 def cut_by_size(t: ColTable, limit: int, flush: Callable[[dict], bool] | None = None) -> DataFrame:
     """(chunk_id, stripe): stripes that end with the chunk in which their raw bytes reach ``limit``, or ``flush`` says so.
 
-    The fold sees one row for each chunk, in one group, because each cut depends on the one before; its state is a dict
-    of the stripe's bytes, rows and chunks.
+    The fold sees one row for each chunk, in order, because each cut depends on the one before; it holds no more than a
+    batch of them, and its state is a dict of the stripe's bytes, rows and chunks.
     """
     fields = t.df.select(*t.columns).schema.fields
     total = sum((raw_size(f) for f in fields), F.lit(0).cast("long"))
     chunks = t.df.groupBy("chunk_id").agg(F.sum(total).alias("bytes"), F.count("*").alias("rows"))
     test = flush or (lambda state: state["bytes"] >= limit)
 
-    def fold(pdf):
-        pdf = pdf.sort_values("chunk_id")
-        out, stripe, state = [], 0, {"bytes": 0, "rows": 0, "chunks": 0}
-        for size, rows in zip(pdf["bytes"], pdf["rows"], strict=True):
-            out.append(stripe)
-            state = {"bytes": state["bytes"] + int(size), "rows": state["rows"] + int(rows), "chunks": state["chunks"] + 1}
-            if test(state):
-                stripe, state = stripe + 1, {"bytes": 0, "rows": 0, "chunks": 0}
-        pdf["stripe"] = out
-        return pdf[["chunk_id", "stripe"]]
+    def fold(parts):
+        stripe, state = 0, {"bytes": 0, "rows": 0, "chunks": 0}
+        for pdf in parts:
+            out = []
+            for size, rows in zip(pdf["bytes"], pdf["rows"], strict=True):
+                out.append(stripe)
+                state = {"bytes": state["bytes"] + int(size), "rows": state["rows"] + int(rows), "chunks": state["chunks"] + 1}
+                if test(state):
+                    stripe, state = stripe + 1, {"bytes": 0, "rows": 0, "chunks": 0}
+            yield pdf[["chunk_id"]].assign(stripe=out)
+
+    return chunks.repartition(1).sortWithinPartitions("chunk_id").mapInPandas(fold, "chunk_id long, stripe long")
+
 
-    return chunks.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, "chunk_id long, stripe long")
+def memory_policy(raw_limit: int, encoded_limit: int, factor: float, low: int = 0) -> Callable[[dict], bool]:
+    """Ends a stripe at a raw size, or when its expected encoded size reaches a limit.
 
+    low: once a stripe has ended at the raw size, further ones end at this lower size until one ends for its encoded size.
+    """
+    pressed = {"on": False}
+
+    def test(state: dict) -> bool:
+        if state["bytes"] / max(factor, 1.0) >= encoded_limit:
+            pressed["on"] = False
+            return True
+        if state["bytes"] >= (low if pressed["on"] and low else raw_limit):
+            pressed["on"] = bool(low)
+            return True
+        return False
 
-def memory_policy(raw_limit: int, encoded_limit: int, factor: float) -> Callable[[dict], bool]:
-    """Ends a stripe at a raw size, or when its expected encoded size reaches a limit."""
-    return lambda state: state["bytes"] >= raw_limit or state["bytes"] / max(factor, 1.0) >= encoded_limit
+    return test
 
 
 def random_policy(seed: int, chance: float) -> Callable[[dict], bool]:
@@ -135,29 +174,51 @@ def write(df: DataFrame, path: str, keys: Sequence[str], options: WriterOptions
     """Lays df out by keys and writes it under path with sidecars: data, stripes, stats, and metadata with a checksum."""
     options = options or WriterOptions()
     t = ColTable.lay_out(df, keys, options.stripe_rows, options.chunk_rows)
-    t.df.drop("chunk_id").write.option("compression", options.compression).parquet(f"{path}/data")
+    row = F.col("row_id")
+    data = t.held.select(*t.columns, "row_id", F.floor(row / t.stripe_rows).cast("long").alias("stripe_id"), "_at")
+    data.write.option("compression", options.compression).parquet(f"{path}/data")
+    spark = df.sparkSession
+    counts = [(p, t.starts[i + 1] - t.starts[i]) for i, p in enumerate(t.parts)]
+    spark.createDataFrame(counts, "range long, rows long").coalesce(1).write.parquet(f"{path}/ranges")
     t.df.groupBy("stripe_id").agg(F.count("*").alias("rows")).write.parquet(f"{path}/stripes")
     stats.column_stats(t.df.select(*t.columns)).write.parquet(f"{path}/stats")
     pairs = {**options.user_metadata, "stripe_rows": str(options.stripe_rows), "chunk_rows": str(options.chunk_rows), "keys": ",".join(keys)}
     if options.checksum:
         pairs["checksum"] = checksum(t.df.select(*t.columns)).first()["checksum"]
-    df.sparkSession.createDataFrame(list(pairs.items()), "key string, value string").write.parquet(f"{path}/metadata")
+    # Last, so that a table whose writing was cut short has no metadata and does not open.
+    spark.createDataFrame(list(pairs.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/metadata")
     return t
 
 
+def abort(spark, path: str) -> None:
+    """Removes what an unfinished write has left; a finished table is refused."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")):
+        raise ValueError(f"{path} is a finished table")
+    system.delete(place, True)
+
+
 def metadata(spark, path: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}
 
 
 def verify(spark, path: str) -> bool:
     """Whether the data's checksum is the one written with it."""
-    data = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id")
+    data = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id", "_at")
     return checksum(data).first()["checksum"] == metadata(spark, path).get("checksum")
 
 
-def append(batch: DataFrame, path: str) -> None:
-    """One more part of a table written part by part."""
-    batch.write.mode("append").parquet(f"{path}/data")
+def append(batch: DataFrame, path: str, epoch: int) -> None:
+    """One more part of a table written part by part: a folder for each epoch, which a repeated one replaces.
+
+    A table that ``write`` finished has row numbers, statistics and a checksum of all its rows, so it takes no parts.
+    """
+    spark = batch.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        raise ValueError(f"{path} is a finished table")
+    batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
 
 
 def bloom_bits(keys: int, per_key: int = 10) -> int:
@@ -191,7 +252,7 @@ def may_hold(filter_blocks: DataFrame, probes: DataFrame, key: str, bits: int, h
 
 def compression_rate(spark, path: str) -> DataFrame:
     """(raw, stored, rate): raw bytes of a written table against those of its files."""
-    data = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id")
+    data = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id", "_at")
     raw = raw_bytes(data).agg(F.sum("bytes").alias("raw"))
     stored = spark.read.format("binaryFile").load(f"{path}/data/*.parquet").agg(F.sum("length").alias("stored"))
     return raw.crossJoin(stored).withColumn("rate", F.col("raw") / F.col("stored"))  # two single rows

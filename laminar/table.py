@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.sources.shared import scratch
+from laminar.sources.shared import materialize, scratch
 
 _PLACE = 33  # bits of the place within a range
 
@@ -24,6 +24,10 @@ class ColTable:
 
     def __init__(self, held: DataFrame, counts: list[tuple[int, int]], keys: Sequence[str], stripe_rows: int, chunk_rows: int):
         self.keys, self.stripe_rows, self.chunk_rows = list(keys), stripe_rows, chunk_rows
+        self._indexes: dict[tuple, DataFrame] = {}
+        #: Of a written table that was opened: its path, and the pairs of its metadata.
+        self.path: str | None = None
+        self.about: dict[str, str] = {}
         self.columns = [c for c in held.columns if c != "_at"]
         self.parts = [p for p, _ in counts]
         self.starts = [0]
@@ -38,15 +42,45 @@ class ColTable:
 
     @classmethod
     def lay_out(cls, df: DataFrame, keys: Sequence[str], stripe_rows: int = 10_000, chunk_rows: int = 1024) -> ColTable:
-        """Writes df in key order; keys should tell rows apart, or equal keys fall in any order."""
+        """Writes df in key order; keys should tell rows apart, or equal keys fall in the order of a checksum of their rows.
+
+        The checksum parts the ranges too, so a key that many rows share is no single range.
+        """
         spark: SparkSession = df.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        tie = F.xxhash64(*[F.col(c) for c in plain]) if plain else F.lit(0)
+        ranged = df.withColumn("_tie", tie).repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
+        ordered = ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id())
         path = scratch(spark, "table")
         ordered.write.parquet(path)
         held = spark.read.schema(ordered.schema).parquet(path)
-        counts = held.groupBy(F.shiftright("_at", _PLACE).alias("p")).count().collect()
-        return cls(held, sorted((r["p"], r["count"]) for r in counts), keys, stripe_rows, chunk_rows)
+        return cls(held, cls._counts(held), keys, stripe_rows, chunk_rows)
+
+    @staticmethod
+    def _counts(held: DataFrame) -> list[tuple[int, int]]:
+        """(range, rows) of each range: as many as there were shuffle partitions."""
+        return sorted((r["p"], r["count"]) for r in held.groupBy(F.shiftright("_at", _PLACE).alias("p")).count().collect())
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> ColTable:
+        """A table that ``laminar.sources.writer.write`` wrote: keys and sizes come from its metadata, rows from its data."""
+        about = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}
+        if missing := {"keys", "stripe_rows", "chunk_rows"} - about.keys():
+            raise ValueError(f"{path} is no written table: its metadata has no {', '.join(sorted(missing))}")
+        held = spark.read.parquet(f"{path}/data").drop("row_id", "stripe_id")
+        counts = sorted((r["range"], r["rows"]) for r in spark.read.parquet(f"{path}/ranges").collect())
+        out = cls(held, counts, about["keys"].split(","), int(about["stripe_rows"]), int(about["chunk_rows"]))
+        out.path, out.about = path, about
+        return out
+
+    def index(self, key: str, by: str = "chunk_id") -> DataFrame:
+        """(part, first_key, last_key, start_row, rows) of each chunk or stripe; worked out and written once."""
+        if (key, by) not in self._indexes:
+            parts = self.df.groupBy(F.col(by).alias("part"))
+            found = parts.agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.min("row_id").alias("start_row"), F.count("*").alias("rows"))
+            self._indexes[key, by] = materialize(found, "index")
+        return self._indexes[key, by]
 
     def _mark(self, row: int) -> int:
         """The ``_at`` of a row number, or one past all for numbers past the end."""
@@ -115,9 +149,18 @@ class ColTable:
 _CACHE: dict[tuple, ColTable] = {}
 
 
+def _version(spark: SparkSession, path: str) -> tuple:
+    """What changes when the files under a path do: their number, bytes and latest time of change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.getContentSummary(place)
+    inside = [x.getModificationTime() for x in system.listStatus(place)]
+    return found.getFileCount(), found.getLength(), max(inside, default=0)
+
+
 def cached(spark: SparkSession, path: str, keys: Sequence[str], stripe_rows: int = 10_000, chunk_rows: int = 1024) -> ColTable:
-    """The table laid out from a Parquet path, once in an application; ``forget`` drops what is kept."""
-    at = (spark.sparkContext.applicationId, path, tuple(keys), stripe_rows, chunk_rows)
+    """The table laid out from a Parquet path, once in an application and version of its files; ``forget`` drops all."""
+    at = (spark.sparkContext.applicationId, path, _version(spark, path), tuple(keys), stripe_rows, chunk_rows)
     if at not in _CACHE:
         _CACHE[at] = ColTable.lay_out(spark.read.parquet(path), keys, stripe_rows, chunk_rows)
     return _CACHE[at]
