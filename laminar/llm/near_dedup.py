@@ -525,7 +525,8 @@ def grouped(docs: DataFrame, k: int, percent: int, recall: float = RECALL, key:
     classes = materialize(once.withColumn("class", F.monotonically_increasing_id()), "classes")
     likely = materialize(likely_links(classes, percent), "likely")
     families = materialize(components(likely).select(F.col("id").alias("class"), F.col("root").alias("family")), "families")
-    members = classes.join(families.select("class"), "class").select("class", "doc_id", "digest", "copies")
+    # Written, so that its size is known: where it is small it goes to the texts, which then stay in place.
+    members = materialize(classes.join(families.select("class"), "class").select("class", "doc_id", "digest", "copies"), "members")
     sets = member_sets(docs, members, k)
     links = materialize(confirmed_likeliest(likely, sets, percent), "confirmed")
     more = materialize(confirmed_apart(families, components(links), sets, percent), "confirmed")
