@@ -286,9 +286,85 @@ def test_plan():
     assert sorted(packing.plan({60: 1, 30: 1, 20: 2}, 100)[0][0]) == [20, 20, 60]
 
 
+def brute_plan(counts, limit):
+    """Best-two-fit piece by piece: the largest that fits, then the smallest replaced by the two that fill its gap best."""
+    left, out = Counter(counts), []
+    while left:
+        used, room = [], limit
+        while fits := [x for x in left if x <= room]:
+            used.append(max(fits))
+            left = left - Counter([used[-1]])
+            room -= used[-1]
+        while room:
+            pairs = [(x + y, -y) for x in left for y in left if x >= y and x + y <= room + used[-1] and (x != y or left[x] > 1)]
+            if not pairs or max(pairs)[0] <= used[-1]:
+                break
+            total, small = max(pairs)
+            left = left + Counter([used[-1]]) - Counter([total + small, -small])
+            room += used.pop() - total
+            used = sorted([*used, total + small, -small], reverse=True)
+        out.append(sorted(used))
+    return out
+
+
+def test_plan_brute():
+    draw = np.random.default_rng(5)
+    for _ in range(30):
+        counts = {int(k): int(draw.integers(1, 9)) for k in draw.integers(5, 90, 12)}
+        got = [sorted(own) for own, times in packing.plan(counts, 100) for _ in range(times)]
+        want = brute_plan(counts, 100)
+        assert sum(map(sum, got)) == sum(map(sum, want)) and abs(len(got) - len(want)) <= 1
+        assert got[0] == want[0]
+
+
+def test_encoder_exact():
+    """Ids are those of the tokenizer on whole texts, whatever stands between words."""
+    import random
+
+    own = packing.encoder(packing.default_tokenizer())
+    draw = random.Random(1)
+    signs = ["a", "B", "é", "ß", ".", ",", "'s", " ", "\n", "1", "23", "日", "!", "\r", "\t", "word", "\u0120", " the", "²", "ª", "_", '"']
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 12))) for _ in range(800)]
+    ids, bounds = own.encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # 4. Quality classifier.
 
 
+def test_quality_brute(spark):
+    """Columns, ratios and scores against plain versions."""
+    import pyarrow.parquet as pq
+
+    texts = ["The cat SAT, the cat sat 12 34 34!", "", "a  b\nc", "x"]
+    _, data, offsets = next(iter(text_buffers(pa.array(texts))))
+    found = quality_classifier.features(data, offsets)
+
+    def shape(word):
+        return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z\u0080-\U0010ffff]", "a", word))))
+
+    for text, own in zip(texts, found, strict=True):
+        words = WORD.findall(text.lower())
+        shapes = ["again" if i and words[i] == words[i - 1] else shape(w) for i, w in enumerate(WORD.findall(text))]
+        grams = {("w", w) for w in words} | {(n, *shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+        assert len(own) == len(grams)
+    rows, labels = [c for c in found if len(c)] * 2, np.array([1.0, 0.0, 1.0, 0.0, 0.0, 1.0])
+    got = quality_classifier.ratios(rows, labels, 1 << quality_classifier.BITS)
+    counts = [Counter(c for r, y in zip(rows, labels, strict=True) if y == v for c in r.tolist()) for v in (1, 0)]
+    n = [sum(c.values()) + 1.0 * (1 << quality_classifier.BITS) for c in counts]
+    for column in rows[0].tolist()[:20]:
+        assert got[column] == pytest.approx(np.log((counts[0][column] + 1) / n[0]) - np.log((counts[1][column] + 1) / n[1]))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scored = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).collect()}
+    for d in pq.read_table(f"{SF}/documents.parquet").to_pylist():
+        _, data, offsets = next(iter(text_buffers(pa.array([d["text"] or ""]))))
+        own = quality_classifier.features(data, offsets)[0].tolist()
+        margin = sum(float(model.weight[c]) for c in own) / max(sum(float(model.square[c]) for c in own), 1e-12) ** 0.5 + model.bias
+        assert scored[d["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-4)
+
+
 def test_quality_held_out(spark):
     import pyarrow.parquet as pq
 
