@@ -6,6 +6,7 @@ sample of the column in a few rounds of counting; bytes without a symbol are wri
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -18,24 +19,19 @@ ROUNDS = 5
 KEEP = 0.6
 
 
-def split(data: bytes, table: dict[bytes, int]) -> list[bytes]:
-    """The longest symbol at each place, or the one byte there."""
-    out, at = [], 0
-    while at < len(data):
-        for n in range(min(LONGEST, len(data) - at), 0, -1):
-            if n == 1 or data[at : at + n] in table:
-                out.append(data[at : at + n])
-                at += n
-                break
-    return out
+def cutter(table: dict[bytes, int]):
+    """A function that cuts bytes into the longest symbol at each place, or the one byte there, as one compiled pattern."""
+    longest_first = sorted((x for x in table if len(x) > 1), key=lambda x: (-len(x), x))
+    return re.compile(b"|".join([*map(re.escape, longest_first), b"."]), re.S).findall
 
 
 def learn(sample: list[bytes]) -> dict[bytes, int]:
     table: dict[bytes, int] = {}
     for _ in range(ROUNDS):
         gains: Counter = Counter()
+        split = cutter(table)
         for data in sample:
-            parts = split(data, table)
+            parts = split(data)
             for a, b in zip(parts, [*parts[1:], b""], strict=True):
                 gains[a] += len(a)
                 if b and len(a) + len(b) <= LONGEST:
@@ -45,39 +41,41 @@ def learn(sample: list[bytes]) -> dict[bytes, int]:
     return table
 
 
+def encoder(table: dict[bytes, int]):
+    """A function that gives the codes of bytes."""
+    split = cutter(table)
+    codes = {bytes([i]): bytes([ESCAPE, i]) for i in range(256)} | {x: bytes([i]) for x, i in table.items()}
+    return lambda data: b"".join(map(codes.__getitem__, split(data)))
+
+
+def decoder(table: dict[bytes, int]):
+    """A function that gives the bytes of codes: runs of codes at a time, between escaped bytes."""
+    symbols = {i: x for x, i in table.items()}
+    runs = re.compile(rb"\xff(.)|([^\xff]+)", re.S).findall
+    return lambda data: b"".join([escaped or b"".join(map(symbols.__getitem__, run)) for escaped, run in runs(data)])
+
+
 def encode(data: bytes, table: dict[bytes, int]) -> bytes:
-    out = bytearray()
-    for part in split(data, table):
-        code = table.get(part)
-        out += bytes([ESCAPE, part[0]]) if code is None else bytes([code])
-    return bytes(out)
+    return encoder(table)(data)
 
 
 def decode(data: bytes, table: dict[bytes, int]) -> bytes:
-    symbols = {i: s for s, i in table.items()}
-    out, at = bytearray(), 0
-    while at < len(data):
-        if data[at] == ESCAPE:
-            out.append(data[at + 1])
-            at += 2
-        else:
-            out += symbols[data[at]]
-            at += 1
-    return bytes(out)
+    return decoder(table)(data)
 
 
 def compress(rows: DataFrame, seed: int = 1) -> tuple[dict[bytes, int], DataFrame]:
     """(table, rows with ``code`` bytes in place of v); the sample is about SAMPLE rows, the same on each run."""
-    n = rows.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    drawn = rows.where(F.col("v").isNotNull() & (F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(10**6)) < int(share * 10**6))).select("v").collect()
+    n, whole = rows.count(), 1 << 62
+    mixed = F.xxhash64(F.lit(seed), "row_id").bitwiseAND(F.lit(whole - 1))
+    drawn = rows.where(F.col("v").isNotNull() & (mixed < (whole if n <= SAMPLE else whole * SAMPLE // n))).select("v").collect()
     table = learn([r["v"].encode() for r in drawn])
 
     def run(batches):
         import pyarrow as pa
 
+        coded = encoder(table)
         for batch in batches:
-            codes = [None if v is None else encode(v.encode(), table) for v in batch.column(2).to_pylist()]
+            codes = [None if v is None else coded(v.encode()) for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["stripe_id", "row_id", "code"])
 
     return table, rows.select("stripe_id", "row_id", "v").mapInArrow(run, "stripe_id long, row_id long, code binary")
@@ -87,8 +85,9 @@ def expand(rows: DataFrame, table: dict[bytes, int]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        plain = decoder(table)
         for batch in batches:
-            texts = [None if c is None else decode(c, table).decode() for c in batch.column(2).to_pylist()]
+            texts = [None if c is None else plain(c).decode() for c in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["stripe_id", "row_id", "v"])
 
     return rows.select("stripe_id", "row_id", "code").mapInArrow(run, "stripe_id long, row_id long, v string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laminar.functions import scalar
-from laminar.operators import advisor, codecs, stats
+from laminar.operators import advisor, codecs, policies, stats, symbols
 from laminar.plans.dsl import run as dsl
 from laminar.plans.tables import STRIPES, numbered, read, table
 from laminar.sources import batches, writer
@@ -614,6 +614,54 @@ def meta_10_histogram(spark, d):
     return dsl(two, "SHOW HISTOGRAM TOP 1").select("encoding", "instances", "bytes")
 
 
+def _one(rows: str, order: str = "size * factor, place", where: str = "true") -> str:
+    """The choice of each stripe's first estimate by an order."""
+    return f"SELECT 'o_custkey' AS \"column\", stripe_id, encoding, size FROM (SELECT *, row_number() OVER (PARTITION BY stripe_id ORDER BY {order}) AS k FROM ({rows} SELECT * FROM est) WHERE {where}) WHERE k = 1"
+
+
+@query(_one(_numeric("o_custkey", O, 8), "size, place"))
+def enc_34_learned_policy(spark, d):
+    """A score that is the size alone."""
+    return policies.learned(lambda encoding, size: size)(table(spark, d, "orders").df, ["o_custkey"])
+
+
+@query(_one(_numeric("o_custkey", O, 8), where="encoding = 'Varint'"))
+def enc_35_replayed_policy(spark, d):
+    return policies.replayed('{"o_custkey": "Varint"}')(table(spark, d, "orders").df, ["o_custkey"])
+
+
+@query(_one(_numeric("o_custkey", O, 8), "size * factor, place"))
+def enc_36_remembered_policy(spark, d):
+    """The second pick replays the first, which is the same for each stripe of this column."""
+    memo: dict[str, str] = {}
+    pick = policies.remembered(policies.cost_based(), memo)
+    pick(table(spark, d, "orders").df, ["o_custkey"])
+    return pick(table(spark, d, "orders").df, ["o_custkey"]).where(F.lit(len(memo) == 1))
+
+
+@query("SELECT count(DISTINCT stripe_id) AS stripes, true AS usable, true AS alike FROM " + O)
+def enc_37_random_policy(spark, d):
+    """One usable encoding for each stripe, the same for the same seed."""
+    rows = table(spark, d, "orders").df
+    sized = advisor.estimates(rows, "o_custkey").select("stripe_id", "encoding", "size")
+    first, again = (policies.random_choice(3)(rows, ["o_custkey"]).select("stripe_id", "encoding", "size") for _ in range(2))
+    both = first.join(again.withColumnRenamed("encoding", "e").drop("size"), "stripe_id").join(sized.withColumn("u", F.lit(True)), ["stripe_id", "encoding", "size"], "left")
+    return both.agg(F.count("*").alias("stripes"), F.bool_and(F.coalesce("u", F.lit(False))).alias("usable"), F.bool_and(F.col("e") == F.col("encoding")).alias("alike"))
+
+
+@query(f"SELECT stripe_id, row_id, p_name AS v FROM {P}")
+def enc_19_symbols_decode(spark, d):
+    rows = codecs.column(table(spark, d, "part").df, "p_name")
+    coded, codes = symbols.compress(rows)
+    return symbols.expand(codes, coded)
+
+
+@query("SELECT sum(octet_length(encode(p_name)))::BIGINT AS raw, true AS smaller FROM part")
+def enc_19_symbol_sizes(spark, d):
+    found = symbols.sizes(codecs.column(table(spark, d, "part").df, "p_name"))
+    return found.select("raw", (F.col("coded") < F.col("raw")).alias("smaller"))
+
+
 # Writers.
 
 
