@@ -51,6 +51,13 @@ def with_latest(parts: DataFrame, order: str, value: str, out: str) -> DataFrame
     return placed.withColumn(out, F.greatest("_before", F.max(value).over(inside))).drop("_run", "_before")
 
 
+def selected(t: ColTable, marks: DataFrame) -> DataFrame:
+    """The rows that sparse marks (row_id) name: only the range between the first and the last mark is read."""
+    ends = marks.agg(F.min("row_id").alias("a"), F.max("row_id").alias("z")).first()
+    near = t.rows(0, 0) if ends["a"] is None else t.rows(ends["a"], ends["z"] + 1)
+    return near.join(marks.select("row_id"), "row_id", "left_semi")
+
+
 def split(t: ColTable, texts: Sequence[str], fixed: int, start: int, end: int) -> DataFrame:
     """Rows of the stripes that start at a byte offset in [start, end); each row is in one split of a partition."""
     sizes = stripe_sizes(t, texts, fixed).where(F.col("stripe_offset").between(start, end - 1))

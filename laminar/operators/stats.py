@@ -20,7 +20,8 @@ def _null(kind: str) -> Column:
 
 
 def _facts(f: T.StructField) -> Column:
-    """The aggregates of one column, as a struct. NaN takes no part in a minimum or maximum."""
+    """The aggregates of one column, as a struct. NaN takes no part in a minimum or maximum, wherever it stands: a running
+    comparison that begins with it would keep it, and give another answer for another order of the rows."""
     c, kind = F.col(f"`{f.name}`"), f.dataType
     parts = [F.lit(f.name).alias("column"), F.count(c).alias("values"), F.count_if(c.isNull()).alias("nulls")]
     number = c.cast("double")

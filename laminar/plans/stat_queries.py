@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laminar.functions import scalar
-from laminar.operators import advisor, codecs, policies, stats, symbols
+from laminar.operators import advisor, codecs, policies, scan, stats, symbols
 from laminar.plans.dsl import run as dsl
 from laminar.plans.tables import STRIPES, numbered, read, table
 from laminar.sources import batches, writer
@@ -662,6 +662,38 @@ def enc_19_symbol_sizes(spark, d):
     return found.select("raw", (F.col("coded") < F.col("raw")).alias("smaller"))
 
 
+@query(f"SELECT stripe_id, row_id, o_orderstatus = 'O' AS v FROM {O}")
+def fn_12_bool_packing(spark, d):
+    """Booleans as words of 32 bits, and back."""
+    rows = table(spark, d, "orders").df.select("stripe_id", "row_id", (F.col("o_orderstatus") == "O").cast("long").alias("v"))
+    return codecs.unpacked(codecs.fixed_width(rows)).select("stripe_id", "row_id", (F.col("v") == 1).alias("v"))
+
+
+@query(f"SELECT row_id, o_orderkey FROM {O} WHERE o_custkey % 97 = 5")
+def filt_16_sparse_selection(spark, d):
+    """The rows of the rarer value of a boolean, selected by their marks."""
+    t = table(spark, d, "orders")
+    marks = codecs.sparse_bool(t.df.select("stripe_id", "row_id", (F.col("o_custkey") % 97 == 5).alias("v")))
+    return scan.selected(t, marks.where("rare")).select("row_id", "o_orderkey")
+
+
+@query("SELECT row_id, vec_id, len(embedding) AS n, embedding[1]::DOUBLE AS first, label FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings)")
+def scan_16_arrays(spark, d):
+    """A column of arrays in a laid-out table."""
+    t = ColTable.lay_out(read(spark, d, "embeddings"), ["vec_id"], 100, 20)
+    return t.df.select("row_id", "vec_id", F.size("embedding").alias("n"), F.get("embedding", F.lit(0)).cast("double").alias("first"), "label")
+
+
+@query("SELECT unnest(['vec_id', 'embedding', 'label']) AS \"column\", unnest([8 * count(*), sum(4 * len(embedding)), 4 * count(*)])::BIGINT AS bytes FROM embeddings")
+def wr_19_raw_bytes_arrays(spark, d):
+    return writer.raw_bytes(read(spark, d, "embeddings"))
+
+
+@query("SELECT 'user_id' AS \"column\", 8 * count(*) AS bytes FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT 'm', sum(octet_length(encode(event_type)) + 8)::BIGINT FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)")
+def wr_19_raw_bytes_maps(spark, d):
+    return writer.raw_bytes(maps(spark, d))
+
+
 # Writers.
 
 
