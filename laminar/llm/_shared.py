@@ -12,6 +12,7 @@ import functools
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from laminar.sources.shared import discard, materialize, scratch, shared_dir
 
@@ -22,6 +23,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a table that may go to all executors.
+SENT = 32 << 20
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked to be sent to all executors if its rows, counted, take no more than SENT bytes.
+
+    Beyond that the join is the optimizer's, which shuffles both sides. Either way the rows are the same.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= SENT else table
+
+
 def trimmed(run):
     """run, a function over Arrow batches, that gives freed memory back to the system when it ends.
 

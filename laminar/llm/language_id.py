@@ -44,7 +44,7 @@ BITS = 18
 SWITCH = 12.0
 CLIP = 6.0
 UNKNOWN = "und"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: First code points of ranges of letters by script, in order; code points before the first are Latin.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),

@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U, discard, materialize, mix, shingles_of, shuffle_partitions, text_buffers, trimmed, words_of
+from ._shared import U, discard, materialize, mix, shingles_of, shuffle_partitions, small, text_buffers, trimmed, words_of
 
 SHINGLE = 3
 PERCENT = 85
@@ -411,9 +411,11 @@ def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "digest", "values"],
                 )
 
-    found = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, digest binary, values binary")
+    # Where the members are few enough they go to the texts, which then stay in place.
+    asked = docs.join(small(members.select("doc_id"), 16), "doc_id", "left_semi")
+    found = asked.mapInArrow(trimmed(run), "doc_id long, digest binary, values binary")
     # Another text of an id is no member's set; a set of several rows can come several times, from rows of one id.
-    own = materialize(found.join(members, ["doc_id", "digest"]).select("class", "copies", "values"), "sets")
+    own = materialize(found.join(small(members, 96), ["doc_id", "digest"]).select("class", "copies", "values"), "sets")
     once = own.where("copies > 1").groupBy("class").agg(F.any_value("values").alias("values"))
     return own.where("copies = 1").select("class", "values").unionByName(once)
 
@@ -447,9 +449,10 @@ def confirmed_likeliest(likely: DataFrame, sets: DataFrame, percent: int) -> Dat
     both = likely.select("a", "b", "alike").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
     best = materialize(both.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b")), "likeliest")
     counts = best.groupBy("b").count()
-    cells = best.join(counts, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), _block("count"))).alias("cell"))
+    cells = materialize(best.join(counts, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), _block("count"))).alias("cell")), "dealt")
     asking = cells.select("cell", "b", F.lit(1).alias("side"), F.col("a").alias("class"))
     asked = cells.select("cell", "b", F.lit(0).alias("side"), F.col("b").alias("class")).distinct()
+    places = materialize(asking.unionByName(asked), "dealt")
 
     def run(batches):
         import pyarrow as pa
@@ -466,7 +469,7 @@ def confirmed_likeliest(likely: DataFrame, sets: DataFrame, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = shuffle_partitions(likely.sparkSession)
-    dealt = asking.unionByName(asked).join(sets, "class").select("cell", "b", "side", "class", "values")
+    dealt = sets.join(small(places, 64), "class").select("cell", "b", "side", "class", "values")
     return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), LINKS)
 
 
@@ -500,7 +503,8 @@ def confirmed_apart(families: DataFrame, first: DataFrame, sets: DataFrame, perc
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = shuffle_partitions(families.sparkSession)
-    dealt = asking.unionByName(asked).join(sets, "class").select("cell", "side", "class", "part", "values")
+    places = materialize(asking.unionByName(asked), "dealt")
+    dealt = sets.join(small(places, 64), "class").select("cell", "side", "class", "part", "values")
     return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), LINKS)
 
 
@@ -525,7 +529,6 @@ def grouped(docs: DataFrame, k: int, percent: int, recall: float = RECALL, key:
     classes = materialize(once.withColumn("class", F.monotonically_increasing_id()), "classes")
     likely = materialize(likely_links(classes, percent), "likely")
     families = materialize(components(likely).select(F.col("id").alias("class"), F.col("root").alias("family")), "families")
-    # Written, so that its size is known: where it is small it goes to the texts, which then stay in place.
     members = materialize(classes.join(families.select("class"), "class").select("class", "doc_id", "digest", "copies"), "members")
     sets = member_sets(docs, members, k)
     links = materialize(confirmed_likeliest(likely, sets, percent), "confirmed")
