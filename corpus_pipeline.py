@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laminar.llm import language_id, near_dedup, packing, quality_rules
-from laminar.llm._shared import materialize
+from laminar.llm._shared import materialize, small
 
 LEAST_SCORE = 0.4
 SHINGLE, PERCENT = 5, 80
@@ -41,10 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first row of each group, found by its id; where an id has several rows, by the digest of its set as well."""
     found = materialize(near_dedup.grouped(docs, SHINGLE, PERCENT, by_id=False), "grouped").where("doc_id IS NOT NULL")
     stays = F.col("digest").isNull() | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
-    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays.cast("int")).alias("stays")).where("stays = 1"), "ids")
-    once = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    whole = once.unionByName(docs.where(F.col("doc_id").isNull()))
-    several = ids.where("rows > 1").select("doc_id")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays.cast("int")).alias("stays"))
+    # What goes, and ids of several rows, are far fewer than what stays, so most texts need not be looked at.
+    others = materialize(ids.where("rows > 1 OR stays = 0"), "ids")
+    whole = docs.join(small(others.select("doc_id"), 16), "doc_id", "left_anti").select(*docs.columns)
+    several = others.where("rows > 1 AND stays = 1").select("doc_id")
     if several.isEmpty():
         return whole
     rows = near_dedup.with_digest(docs.join(several, "doc_id", "left_semi").select(*docs.columns), SHINGLE)
