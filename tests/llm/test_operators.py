@@ -330,6 +330,24 @@ def test_encoder_exact():
         assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kept", [0, 3, 40, 1 << 19])
+def test_encoder_keeps_stretches(kept, monkeypatch):
+    """Stretches that an earlier block had are not encoded again, as far as they are kept; ids are the same."""
+    own = packing.Encoder(packing.default_tokenizer(), kept=kept)
+    blocks = [["the cat, sat.\nOn it", "x" * 100 + " b"], [" ".join(f"w{i}q" for i in range(60))], ["the cat, sat.\nOn it", "b the"], ["b the cat,"]]
+    asked = []
+    whole = own._whole
+    monkeypatch.setattr(own, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    for block in blocks:
+        asked.clear()
+        ids, bounds = own.encode(pa.array(block))
+        for text, a, b in zip(block, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.words) <= kept and "x" * 100 not in own.words.to_pylist()
+    if kept > 100:
+        assert not any(asked)
+
+
 # 4. Quality classifier.
 
 
