@@ -5,10 +5,12 @@ one 16-bit code, as copies and positively scaled copies are, form a node, indexe
 with the smallest ids can be among the nearest, so as many are kept as a query can return.
 
 The graph starts from blocks of ``BLOCK`` nodes, compared within each: ``TREES`` times all nodes are laid out in the order
-of their nearest pivots, at several levels. The blocks of the first layout are also the cells in which the rounds work.
+of their nearest pivots, at several levels. Runs of blocks of the first layout, of up to ``CELL`` components, are also the
+cells in which the rounds work.
 A round joins neighbours of neighbours: every node gathers its neighbours, forward and reverse, compares those pairs of
 them that were not compared before, and offers each its best matches, which are merged into the graph. Edges travel as
-ids; a cell gets the code of each node that its edges name once, with the similarity that an offer to it must exceed.
+ids; a cell gets the code of each node that its edges name once, with the similarity that an offer to it must exceed. So a
+round sends no more codes than nodes times cells, nor than ``DEGREE + REVERSE`` for each node, whatever the table's size.
 Rounds end when few entries are new.
 
 A query starts at its node's neighbours and, in rounds, expands the best nodes not yet expanded: they are joined with
@@ -40,6 +42,8 @@ from .near_dedup import _groups
 DEGREE, REVERSE, OFFERS = 32, 32, 12
 #: Nodes that are compared with each other at the start, layouts, and pivots of a layout at each of its levels.
 BLOCK, TREES, PIVOTS, LEVELS = 1024, 4, 256, 3
+#: Components of the nodes of a cell, a block at least. A cell gets the codes of up to DEGREE + REVERSE nodes for each.
+CELL = 1 << 18
 #: The build ends when at most this share of the graph's entries is new; it fails if that takes more rounds than this.
 SETTLED, ROUNDS = 0.02, 30
 BEAM, EXPAND = 128, 64
@@ -125,8 +129,8 @@ def _merge(offers: DataFrame, n: int) -> DataFrame:
 
 
 def _laid_out(points: DataFrame, pivots: list[np.ndarray], ranges: int) -> DataFrame:
-    """(node, cell, code, near, sims): points in the order of their nearest pivots, cut into cells of about BLOCK, and the
-    best matches of each within its cell."""
+    """(node, cell, code, near, sims): points in the order of their nearest pivots, cut into blocks of about BLOCK, the cell
+    of each, and the best matches of each within its block."""
 
     def place(batches):
         import pyarrow as pa
@@ -155,15 +159,16 @@ def _laid_out(points: DataFrame, pivots: list[np.ndarray], ranges: int) -> DataF
         import pyarrow as pa
         from pyspark import TaskContext
 
-        held, cell = None, TaskContext.get().partitionId() << 32
+        held, first, block, together = None, TaskContext.get().partitionId() << 32, 0, 1
         for batch in batches:
             table = pa.Table.from_batches([batch]).select([0, 1])
             held = table if held is None else pa.concat_tables([held, table])
             while held.num_rows >= 2 * BLOCK:
-                yield whole(held.slice(0, BLOCK), cell)
-                held, cell = held.slice(BLOCK), cell + 1
+                together = max(1, CELL // (BLOCK * _codes(held.slice(0, 1).column(1)).shape[1]))
+                yield whole(held.slice(0, BLOCK), first + block // together)
+                held, block = held.slice(BLOCK), block + 1
         if held is not None and held.num_rows:
-            yield whole(held, cell)
+            yield whole(held, first + block // together)
 
     laid = points.mapInArrow(trimmed(place), "node long, code binary, at long")
     dealt = laid.repartitionByRange(ranges, "at", "node") if ranges > 1 else laid.coalesce(1)

@@ -498,6 +498,26 @@ def test_neighbours_scaled_copies(spark):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {3: [0, 1, 2, 4, 5], 200: [0, 1, 2, 3, 4], 399: [0, 1, 2, 3, 4]}
 
 
+def test_neighbours_cells(spark, monkeypatch):
+    """A cell holds several blocks where its codes take little room, so fewer codes travel, and a round finds the same."""
+    draw = np.random.default_rng(8)
+    codes = neighbours._code(draw.standard_normal((5000, 8)))
+    points = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(codes)], "node long, code binary").repartition(4)
+    pivots = [neighbours._unit(codes[:16])]
+    found = {}
+    for width in (neighbours.CELL, 1):
+        monkeypatch.setattr(neighbours, "CELL", width)
+        laid = neighbours.materialize(neighbours._laid_out(points, pivots, 1), "cells")
+        cells = laid.select("node", "cell", "code")
+        graph = neighbours.materialize(neighbours._merge(laid.select("node", "near", "sims", F.lit(False).alias("old")), 4), "graph")
+        sent = neighbours._around(graph).join(cells.select(F.col("node").alias("centre"), "cell"), "centre").select("cell", "member").distinct().count()
+        after = {r["node"]: r["sims"] for r in neighbours._round(graph, cells, 4).collect()}
+        found[width] = cells.select("cell").distinct().count(), sent, np.array([after[i] for i in range(5000)])
+    (few, little, wide), (many, much, narrow) = found.values()
+    assert (few, many) == (1, 4) and little <= 5000 <= much
+    assert np.allclose(wide, narrow, atol=1e-5)
+
+
 # 6. Near-duplicates.
 
 
