@@ -47,40 +47,49 @@ def located(t: ColTable, requests: DataFrame, key: str) -> DataFrame:
     """requests (lo, hi) with ``first_part`` and ``last_part``: the chunks of a table sorted by key that may hold their keys.
 
     Requests without such chunks are left out. Chunks follow each other in key order, so both ends are searched for, not
-    compared with all chunks: a literal list of the ends of runs of chunks, no longer than there are shuffle partitions,
-    gives the run, and one sweep over the run's chunks and the distinct bounds that fall in it gives the chunk.
+    compared with all chunks: halving a literal list of the ends of runs of chunks, no longer than there are shuffle
+    partitions, gives the run, and one sweep over the run's chunks and the distinct bounds that fall in it gives the chunk.
+    Bounds on or beyond the table's ends need no search, however many there are. The sweep goes on from what came before
+    in its order, as a frame that reaches to the end is gone through again for each row.
     """
     parts = t.index(key).select("part", "first_key", "last_key")
     n_chunks = -(-t.n_rows // t.chunk_rows)
     per = -(-n_chunks // int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or 1
     run = F.floor(F.col("part") / per).cast("int")
-    ends = sorted((r["run"], r["a"], r["z"]) for r in parts.groupBy(run.alias("run")).agg(F.min("first_key").alias("a"), F.max("last_key").alias("z")).collect())
+    grouped = parts.where(F.col("first_key").isNotNull()).groupBy(run.alias("run")).agg(F.min("first_key").alias("a"), F.max("last_key").alias("z"), F.min("part").alias("p"))
+    ends = sorted((r["run"], r["a"], r["z"], r["p"]) for r in grouped.collect())
     if not ends:
         return requests.where("false").withColumns({"first_part": F.lit(0).cast("long"), "last_part": F.lit(0).cast("long")})
+    least, greatest = F.lit(ends[0][1]), F.lit(ends[-1][2])
 
-    def below(bound: str, values: list) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda x: x < F.col(bound)))
-
-    def swept(bound: str, run_of: Column, end: str, out: str) -> DataFrame:
-        asked = requests.where(F.col(bound).isNotNull()).select(F.col(bound).alias("k")).distinct()
-        asked = asked.withColumn("run", run_of).select("run", "k", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("part"))
+    def swept(bound: str, values: list, back: int, end: str, out: str) -> DataFrame:
+        """The chunk of each bound between the table's ends; runs are those of ``ends``, whose numbers may have gaps."""
+        place = places_below(F.col("k"), values) - back
+        asked = requests.select(F.col(bound).alias("k")).where((F.col("k") > least) & (F.col("k") <= greatest)).distinct()
+        asked = asked.withColumn("run", F.get(F.array(*[F.lit(r) for r, *_ in ends]), place)).select("run", "k", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("part"))
         both = asked.unionByName(parts.select(run.alias("run"), F.col(end).alias("k"), F.lit(1).alias("kind"), "part"))
-        order = Window.partitionBy("run").orderBy("k", "kind", "part")
-        if out == "first_part":
-            found = F.first("part", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        else:
-            found = F.last("part", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return both.withColumn(out, found).where("kind = 0").select(F.col("k").alias(f"_{bound}"), out).where(F.col(out).isNotNull())
-
-    first = swept("lo", below("k", [z for _, _, z in ends]), "last_key", "first_part")
-    last = swept("hi", below("k", [a for _, a, _ in ends]) - 1, "first_key", "last_part")
-    asked = requests.join(first, F.col("lo") == F.col("_lo"), "left").join(last, F.col("hi") == F.col("_hi"), "left")
-    low = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(F.col("first_part"))
-    high = F.when(F.col("hi").isNull(), F.lit(n_chunks - 1)).otherwise(F.col("last_part"))
+        order = [F.desc(c) if out == "first_part" else F.asc(c) for c in ("k", "kind", "part")]
+        sofar = Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both.withColumn(out, F.last("part", ignorenulls=True).over(sofar))
+        return found.where("kind = 0").select(F.col("k").alias(f"_{bound}"), out).where(F.col(out).isNotNull())
+
+    first = swept("lo", [z for _, _, z, _ in ends], 0, "last_key", "first_part")
+    last = swept("hi", [a for _, a, _, _ in ends], 1, "first_key", "last_part")
+    met = requests.where((F.col("lo").isNull() | (F.col("lo") <= greatest)) & (F.col("hi").isNull() | (F.col("hi") > least)))
+    asked = met.join(first, F.col("lo") == F.col("_lo"), "left").join(last, F.col("hi") == F.col("_hi"), "left")
+    low = F.when(F.col("lo").isNull(), F.lit(0)).when(F.col("lo") <= least, F.lit(ends[0][3])).otherwise(F.col("first_part"))
+    high = F.when(F.col("hi").isNull() | (F.col("hi") > greatest), F.lit(n_chunks - 1)).otherwise(F.col("last_part"))
     out = asked.drop("_lo", "_hi").withColumns({"first_part": low.cast("long"), "last_part": high.cast("long")})
     return out.where("first_part <= last_part")
 
 
+def places_below(x: Column, values: Sequence) -> Column:
+    """How many of ``values``, which are in order, are less than x: by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(values).bit_length()))])
+    held = F.array(*[F.lit(v) for v in values])
+    return F.aggregate(steps, F.lit(0), lambda s, p: F.when(F.get(held, s + p - 1) < x, s + p).otherwise(s))
+
+
 def pruned(t: ColTable, requests: DataFrame, key: str) -> DataFrame:
     """(request_id, part): the chunks that may hold keys in [lo, hi) of a request."""
     near = located(t, requests, key)

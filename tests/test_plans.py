@@ -34,6 +34,20 @@ def test_range_lookup_plan(spark, laid):
     assert "NestedLoop" not in plan(lookup.pruned(laid, asked, "k"))
 
 
+def test_many_requests_past_the_ends(spark, laid):
+    """Sweeps go on from row to row, and bounds beyond the table's ends are not in them."""
+    asked = spark.range(-3000, 60_000).select(F.col("id").alias("request_id"), (F.col("id") * 3 - 1).alias("lo"), (F.col("id") * 3 + 2).alias("hi"))
+    near = lookup.located(laid, asked, "k")
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in text.lower()
+    got = [tuple(r) for r in near.select("request_id", "first_part", "last_part").orderBy("request_id").collect()]
+    ends = [(p * 300, p * 300 + 297) for p in range(40)]
+    holds = {i: [p for p in range(max(i // 100 - 1, 0), min(i // 100 + 2, 40)) if ends[p][1] >= i * 3 - 1 and ends[p][0] < i * 3 + 2] for i in range(0, 4000)}
+    assert got == [(i, h[0], h[-1]) for i, h in holds.items() if h]
+    swept = [r["k"] for r in spark.createDataFrame([(0,), (3,), (4,), (9,), (10,)], "k long").withColumn("n", lookup.places_below(F.col("k"), [3, 4, 4, 9])).where("n <> CASE k WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 9 THEN 3 ELSE 4 END").collect()]
+    assert not swept
+
+
 def test_point_lookup_plan(spark, laid):
     asked = spark.createDataFrame([(1, 300), (2, 333), (3, 301), (4, None)], "request_id int, key long")
     df = lookup.batch_lookup(laid, asked, "k", ["g"])
