@@ -446,8 +446,9 @@ def huffman_lengths(counts: list[tuple[object, int]]) -> dict[object, int]:
     return depth
 
 
+#: Values up to which an alphabet is held by the driver and each task.
 HUFFMAN_VALUES = 4096
-#: Bits that a code may have.
+#: Bits that a code of such an alphabet may have.
 LONGEST = 12
 
 
@@ -479,11 +480,64 @@ def canonical(lengths: dict[object, int]) -> dict[object, str]:
     return out
 
 
+def huffman_length_counts(histogram: dict[int, int]) -> dict[int, int]:
+    """How many values have codes of each length, from how many values have each count.
+
+    Nodes of one weight are joined in pairs all at once, so the work grows with the distinct counts, not with the values.
+    """
+    import heapq
+
+    if sum(histogram.values()) == 1:
+        return {1: 1}
+    heap = [(n, i, m) for i, (n, m) in enumerate(sorted(histogram.items()))]
+    children: list = [None] * len(heap)  # of each kind of node: the kinds of its two parts, or None for a value
+    heapq.heapify(heap)
+
+    def join(weight: int, m: int, a: int, b: int) -> None:
+        heapq.heappush(heap, (weight, len(children), m))
+        children.append((a, b))
+
+    while len(heap) > 1 or heap[0][2] > 1:
+        weight, kind, m = heapq.heappop(heap)
+        if m > 1:
+            join(2 * weight, m // 2, kind, kind)
+        if m % 2:
+            other, second, left = heapq.heappop(heap)
+            if left > 1:
+                heapq.heappush(heap, (other, second, left - 1))
+            join(weight + other, 1, kind, second)
+    depths: list[dict[int, int]] = [{} for _ in children]
+    depths[-1] = {0: 1}
+    for kind in range(len(children) - 1, len(histogram) - 1, -1):
+        for part in children[kind]:
+            for depth, m in depths[kind].items():
+                depths[part][depth + 1] = depths[part].get(depth + 1, 0) + m
+    out: dict[int, int] = {}
+    for own in depths[: len(histogram)]:
+        for depth, m in own.items():
+            out[depth] = out.get(depth, 0) + m
+    return dict(sorted(out.items()))
+
+
+def _first_codes(counts: dict[int, int]) -> dict[int, int]:
+    """The least canonical code of each length, from how many codes have it."""
+    out, code, last = {}, 0, 0
+    for length, m in sorted(counts.items()):
+        code <<= length - last
+        out[length], code, last = code, code + m, length
+    return out
+
+
 def huffman(rows: DataFrame) -> DataFrame:
-    """(v, n, code_length, code) of a column with at most HUFFMAN_VALUES values; more are an error."""
+    """(v, n, code_length, code) of a column.
+
+    The codes of at most HUFFMAN_VALUES values have at most LONGEST bits. Those of more values are as long as their counts
+    make them, which is less than one and a half times the bits of the number of rows; they are numbered by ranges in the
+    order of counts, so no task and not the driver holds all values.
+    """
     counts = stats.unique_counts(rows, "v").orderBy("v").limit(HUFFMAN_VALUES + 1).collect()
     if len(counts) > HUFFMAN_VALUES:
-        raise ValueError(f"more than {HUFFMAN_VALUES} values")
+        return _huffman_many(rows)
     n = {r["v"]: r["n"] for r in counts}
     depth = limited(huffman_lengths(list(n.items())), n)
     code = canonical(depth)
@@ -491,16 +545,45 @@ def huffman(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([(v, n[v], depth[v], code[v]) for v in n], f"v {kind}, n long, code_length long, code string")
 
 
+def _huffman_many(rows: DataFrame) -> DataFrame:
+    """A frequent value has no longer code than a rarer one, so a place in the order of counts tells length and code."""
+    from laminar.operators.scan import composite_order
+    from laminar.sources.shared import materialize
+
+    counts = materialize(stats.unique_counts(rows, "v"), "counts")
+    # Distinct counts: as many as the root of twice the rows at most.
+    held = huffman_length_counts({r["n"]: r["count"] for r in counts.groupBy("n").count().collect()})
+    first = _first_codes(held)
+    end = 0
+    length = code = None
+    for bits, m in held.items():
+        end += m
+        own = F.col("place") < end
+        at = F.col("place") + F.lit(first[bits] - (end - m))
+        length = F.when(own, bits) if length is None else length.when(own, bits)
+        code = F.when(own, at) if code is None else code.when(own, at)
+    placed = composite_order(counts, [("n", False), ("v", True)]).select("v", "n", length.cast("long").alias("code_length"), code.alias("_c"))
+    return materialize(placed.select("v", "n", "code_length", F.expr("lpad(bin(_c), cast(code_length AS int), '0')").alias("code")), "codes")
+
+
+def _few(codes: DataFrame) -> bool:
+    return codes.limit(HUFFMAN_VALUES + 1).count() <= HUFFMAN_VALUES
+
+
 def huffman_encode(rows: DataFrame, codes: DataFrame, size: int = 1024) -> DataFrame:
     """(group, frame, first_row, n, bits): the codes of ``size`` successive rows, one after another."""
-    coded = rows.join(F.broadcast(codes.select("v", "code")), "v")  # at most HUFFMAN_VALUES rows
+    own = codes.select("v", "code")
+    coded = rows.join(F.broadcast(own) if _few(codes) else own, "v")  # at most HUFFMAN_VALUES rows are sent
     framed = coded.withColumn("frame", F.floor(F.col("row_id") / size).cast("long"))
     grouped = framed.groupBy(GROUP, "frame").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("row_id", "code"))).alias("c"))
     return grouped.select(GROUP, "frame", "first_row", "n", F.concat_ws("", "c.code").alias("bits"))
 
 
 def huffman_decode(coded: DataFrame, codes: DataFrame) -> DataFrame:
-    """Reads each frame's bits code by code, by a table of all strings of LONGEST bits."""
+    """Reads each frame's bits code by code, by a table of all strings of LONGEST bits; codes of many values by their
+    lengths, and then joined with their values."""
+    if not _few(codes):
+        return _decode_many(coded, codes)
     held = codes.select("v", "code").collect()  # at most HUFFMAN_VALUES rows
     kind, to = codes.schema["v"].dataType.simpleString(), to_arrow_type(codes.schema["v"].dataType)
     longest = max((len(r["code"]) for r in held), default=1)
@@ -522,3 +605,34 @@ def huffman_decode(coded: DataFrame, codes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([group] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, to)], [GROUP, "row_id", "v"])
 
     return coded.select(GROUP, "first_row", "n", "bits").mapInArrow(run, f"{GROUP} long, row_id long, v {kind}")
+
+
+def _decode_many(coded: DataFrame, codes: DataFrame) -> DataFrame:
+    """Canonical codes of a length follow each other after all shorter ones, so the next bits tell the length by their size.
+
+    A code travels as the number that its bits make after a 1.
+    """
+    lengths = [(r["l"], int(r["first"], 2), r["m"]) for r in codes.groupBy(F.length("code").alias("l")).agg(F.min("code").alias("first"), F.count("*").alias("m")).orderBy("l").collect()]
+    longest = lengths[-1][0]
+    ends = [(first + m) << (longest - bits) for bits, first, m in lengths]
+    sizes = [bits for bits, _, _ in lengths]
+
+    def run(batches):
+        from bisect import bisect_right
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for group, first, n, bits in zip(*(batch.column(i) for i in range(4)), strict=True):
+                group, first, n, bits = group.as_py(), first.as_py(), n.as_py(), bits.as_py()
+                at, marks, padded = 0, [], bits + "0" * longest
+                for _ in range(n):
+                    ahead = int(padded[at : at + longest], 2)
+                    used = sizes[bisect_right(ends, ahead)]
+                    marks.append(1 << used | ahead >> (longest - used))
+                    at += used
+                yield pa.RecordBatch.from_arrays([pa.array([group] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(marks, pa.int64())], [GROUP, "row_id", "_mark"])
+
+    read = coded.select(GROUP, "first_row", "n", "bits").mapInArrow(run, f"{GROUP} long, row_id long, _mark long")
+    values = codes.select(F.conv(F.concat(F.lit("1"), "code"), 2, 10).cast("long").alias("_mark"), "v")
+    return read.join(values, "_mark").select(GROUP, "row_id", "v")

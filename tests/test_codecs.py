@@ -1,5 +1,8 @@
 """Encodings give their input back, and filters, bounds, writers and streams keep their rules."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,37 @@ def test_doubles(spark):
     assert back(codecs.alp_decode(codecs.alp(values(spark, vs, "double"), 2), 2)) == vs
 
 
+def test_huffman_length_counts():
+    """Lengths from the histogram of counts are as cheap as those from the values, one by one."""
+    rng = random.Random(5)
+    for trial in range(300):
+        own = [rng.choice([1, 1, 1, 2, 2, 3, rng.randint(1, 10 ** rng.randint(1, 5))]) for _ in range(rng.randint(1, 90))]
+        slow = codecs.huffman_lengths(list(enumerate(own)))
+        held = codecs.huffman_length_counts(dict(Counter(own)))
+        spread = [n for n, m in sorted(held.items()) for _ in range(m)]
+        assert len(spread) == len(own) and (len(own) == 1 or sum(2.0**-n for n in spread) == 1)
+        assert sum(a * b for a, b in zip(sorted(own, reverse=True), spread, strict=True)) == sum(own[i] * n for i, n in slow.items()), trial
+
+
+def test_huffman_of_many_values(spark):
+    """More values than one task holds: frequent ones have the shorter codes, no code begins another, and rows come back."""
+    held = [v for v in range(codecs.HUFFMAN_VALUES + 900) for _ in range(1 + (v % 7 == 0) + 300 * (v < 3))]
+    rows = values(spark, held)
+    codes = codecs.huffman(rows.select("v"))
+    own = codes.collect()
+    assert len(own) == codecs.HUFFMAN_VALUES + 900 and all(len(r["code"]) == r["code_length"] for r in own)
+    order = sorted(r["code"] for r in own)
+    assert not any(b.startswith(a) for a, b in zip(order, order[1:]))
+    slow = codecs.huffman_lengths(list(Counter(held).items()))
+    assert sum(r["n"] * r["code_length"] for r in own) == sum(n * slow[v] for v, n in Counter(held).items())
+    back = codecs.huffman_decode(codecs.huffman_encode(rows, codes), codes)
+    assert sorted((r["row_id"], r["v"]) for r in back.collect()) == list(enumerate(held))
+    words = rows.withColumn("v", F.concat(F.lit("w"), F.col("v").cast("string")))
+    codes = codecs.huffman(words.select("v"))
+    back = codecs.huffman_decode(codecs.huffman_encode(words, codes), codes)
+    assert sorted((r["row_id"], r["v"]) for r in back.collect()) == [(i, f"w{v}") for i, v in enumerate(held)]
+
+
 def test_huffman(spark):
     got = {r["v"]: r["code_length"] for r in codecs.huffman(values(spark, [1] * 8 + [2] * 4 + [3] * 2 + [4] * 2)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
