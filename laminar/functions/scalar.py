@@ -36,8 +36,16 @@ def varint_size(x) -> Column:
     return F.greatest(F.lit(1), F.ceil(bits(x) / 7)).cast("int")
 
 
-def split_nanos(nanos) -> tuple[Column, Column]:
-    """Microseconds, rounded down, and the nanoseconds left, 0 to 999."""
+def split_nanos(nanos, wide: bool = False) -> tuple[Column, Column]:
+    """Microseconds, rounded down, and the nanoseconds left, 0 to 999.
+
+    wide: nanoseconds as decimals without a fraction, past the 292 years that a long holds; microseconds past the range of
+    a long are an error.
+    """
+    if wide:
+        t = _c(nanos).cast("decimal(38,0)")
+        rest = F.pmod(t, F.lit(1000)).cast("long")
+        return ((t - rest) / F.lit(1000)).cast("long"), rest
     t = _c(nanos).cast("long")
     rest = F.pmod(t, F.lit(1000).cast("long"))
     # Whole-number division, as a double cannot hold present-day nanoseconds; of the rest first, so that nothing overflows.

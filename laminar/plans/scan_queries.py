@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from laminar.functions import scalar
@@ -335,8 +337,8 @@ def fn_04_pack(spark, d):
 # Nanoseconds of the size of present-day ones, before and after the epoch, beyond what a double holds.
 @query("SELECT event_id, (t - n) // 1000 AS micros, n AS nanos FROM (SELECT event_id, t, ((t % 1000) + 1000) % 1000 AS n FROM (SELECT event_id, (user_id - 70) * 27764557984720173 + event_id AS t FROM events))")
 def fn_05_timestamp_split(spark, d):
-    t = (F.col("user_id") - 70) * F.lit(27764557984720173) + F.col("event_id")
-    micros, nanos = scalar.split_nanos(t)
+    t = (F.col("user_id") - 70).cast("decimal(20,0)") * F.lit(Decimal(27764557984720173)) + F.col("event_id")
+    micros, nanos = scalar.split_nanos(t, wide=True)
     return read(spark, d, "events").select("event_id", micros.alias("micros"), nanos.alias("nanos"))
 
 

@@ -3,12 +3,14 @@
 import datetime
 import math
 import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from laminar.functions import scalar
 from laminar.operators import codecs, filters, lookup, scan
+from laminar.plans import scan_queries
 from laminar.sources import writer
 from laminar.table import ColTable
 
@@ -111,6 +113,20 @@ def test_split_nanos(spark):
     assert [(r[0], r[1]) for r in df.select(micros, nanos).collect()] == [divmod(v, 1000) for v in values]
 
 
+def test_split_nanos_past_a_long(spark, tmp_path):
+    values = [2**63, -(2**63) - 1, 10**21 + 7, -(10**21) - 7, 9 * 10**21 + 999, -1, 0, 1000, 2**63 - 1, 1000 * 2**63 - 1, -1000 * 2**63]
+    df = spark.createDataFrame([(Decimal(v),) for v in values], "t decimal(38,0)")
+    micros, nanos = scalar.split_nanos("t", wide=True)
+    out = df.select(micros.alias("m"), nanos.alias("n"))
+    assert out.schema.simpleString() == "struct<m:bigint,n:bigint>"
+    assert [(r[0], r[1]) for r in out.collect()] == [divmod(v, 1000) for v in values]
+    with pytest.raises(Exception, match="OVERFLOW"):
+        spark.createDataFrame([(Decimal(1000 * 2**63),)], "t decimal(38,0)").select(micros).collect()
+    spark.createDataFrame([(7, 90_000), (8, 1499), (9, 0)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["micros"], r["nanos"]) for r in scan_queries.fn_05_timestamp_split(spark, str(tmp_path)).collect()}
+    assert got == {e: divmod((u - 70) * 27764557984720173 + e, 1000) for e, u in ((7, 90_000), (8, 1499), (9, 0))}
+
+
 def test_range_keeps_no_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (-1.0,), (None,)], "v double")
     for f, want in ((filters.Range(0, None), [1.0]), (filters.Range(0.0, None, lower_open=True), [1.0]), (filters.Range(None, 0), [-1.0]), (filters.Range(0, None, null_allowed=True), [1.0, None])):
