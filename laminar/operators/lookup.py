@@ -234,7 +234,7 @@ class SortedIndex:
     def __init__(self, t: ColTable, key: str):
         self.t, self.key = t, key
         rows = t.df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("row_id").alias("row"))
-        self.entries = ColTable.lay_out(rows, ["key", "row"], t.stripe_rows, t.chunk_rows)
+        self.entries = ColTable.lay_out(rows, ["key", "row"], t.stripe_rows, t.chunk_rows, len(t.parts))
 
     def points(self, requests: DataFrame) -> DataFrame:
         """(request_id, row_id) of requested keys."""

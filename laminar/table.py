@@ -2,8 +2,8 @@
 
 Laying out range-partitions the rows by key once, sorts each range and writes it. Each written row carries its range and
 its place there in one number, ``_at``, which grows with the row number; the ranges' row counts (as many as there are
-shuffle partitions) give row numbers without a sort of the whole table in one task, and turn a range of row numbers into
-a range of ``_at`` that the Parquet reader prunes by.
+shuffle partitions, or pieces of 32 MB in a large table) give row numbers without a sort of the whole table in one task,
+and turn a range of row numbers into a range of ``_at`` that the Parquet reader prunes by.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.sources.shared import materialize, scratch
+from laminar.sources.shared import CODEC, materialize, scratch
 
 _PLACE = 33  # bits of the place within a range
+#: Bytes of Parquet that a range is made of, so that it is sorted in memory; a range's rows take several times as many.
+RANGE_BYTES = 32 << 20
 
 
 class ColTable:
@@ -36,30 +38,30 @@ class ColTable:
         self.n_rows = self.starts[-1]
         spark = held.sparkSession
         offsets = spark.createDataFrame(list(zip(self.parts, self.starts[:-1], strict=True)) or [(0, 0)], "_p long, _first long")
-        # As many rows as shuffle partitions, so the broadcast is bounded.
+        # A row a range: as many as shuffle partitions, or one for each RANGE_BYTES of a large table.
         row = (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << _PLACE) - 1))).cast("long")
         self.held = held.withColumn("_p", F.shiftright("_at", _PLACE)).join(F.broadcast(offsets), "_p").withColumn("row_id", row)
 
     @classmethod
-    def lay_out(cls, df: DataFrame, keys: Sequence[str], stripe_rows: int = 10_000, chunk_rows: int = 1024) -> ColTable:
+    def lay_out(cls, df: DataFrame, keys: Sequence[str], stripe_rows: int = 10_000, chunk_rows: int = 1024, ranges: int = 0) -> ColTable:
         """Writes df in key order; keys should tell rows apart, or equal keys fall in the order of a checksum of their rows.
 
-        The checksum parts the ranges too, so a key that many rows share is no single range.
+        The checksum parts the ranges too, so a key that many rows share is no single range. It is worked out where ranges
+        and order need it and does not travel with the rows. ranges: how many at least, if more than shuffle partitions.
         """
         spark: SparkSession = df.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges)
         plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-        tie = F.xxhash64(*[F.col(c) for c in plain]) if plain else F.lit(0)
-        ranged = df.withColumn("_tie", tie).repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
-        ordered = ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+        order = [*[F.col(k) for k in keys], *([F.xxhash64(*[F.col(c) for c in plain])] if plain else [])]
+        ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
         path = scratch(spark, "table")
-        ordered.write.parquet(path)
+        ordered.write.parquet(path, compression=CODEC)
         held = spark.read.schema(ordered.schema).parquet(path)
         return cls(held, cls._counts(held), keys, stripe_rows, chunk_rows)
 
     @staticmethod
     def _counts(held: DataFrame) -> list[tuple[int, int]]:
-        """(range, rows) of each range: as many as there were shuffle partitions."""
+        """(range, rows) of each range."""
         return sorted((r["p"], r["count"]) for r in held.groupBy(F.shiftright("_at", _PLACE).alias("p")).count().collect())
 
     @classmethod
@@ -160,9 +162,10 @@ def _version(spark: SparkSession, path: str) -> tuple:
 
 def cached(spark: SparkSession, path: str, keys: Sequence[str], stripe_rows: int = 10_000, chunk_rows: int = 1024) -> ColTable:
     """The table laid out from a Parquet path, once in an application and version of its files; ``forget`` drops all."""
-    at = (spark.sparkContext.applicationId, path, _version(spark, path), tuple(keys), stripe_rows, chunk_rows)
+    version = _version(spark, path)
+    at = (spark.sparkContext.applicationId, path, version, tuple(keys), stripe_rows, chunk_rows)
     if at not in _CACHE:
-        _CACHE[at] = ColTable.lay_out(spark.read.parquet(path), keys, stripe_rows, chunk_rows)
+        _CACHE[at] = ColTable.lay_out(spark.read.parquet(path), keys, stripe_rows, chunk_rows, -(-version[1] // RANGE_BYTES))
     return _CACHE[at]
 
 

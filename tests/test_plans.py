@@ -50,6 +50,21 @@ def test_many_requests_past_the_ends(spark, laid):
     assert not swept
 
 
+def test_layout_ships_no_checksum(spark, monkeypatch):
+    """The checksum of equal keys orders rows and parts ranges, but is no column of what is shuffled; large files have more ranges."""
+    seen = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, *a, **k: (seen.append(self._df), write(self, *a, **k))[1])
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    t = ColTable.lay_out(rows, ["k"], ranges=9)
+    shuffled = seen[0]._jdf.queryExecution().sparkPlan().toString().split("Exchange")[-1] if seen else ""
+    assert seen and "_tie" not in shuffled
+    assert len(t.parts) == 9 and t.n_rows == 3000
+    order = [r["v"] for r in t.df.orderBy("row_id").collect()]
+    want = [r["v"] for r in rows.orderBy("k", F.xxhash64("k", "v")).collect()]
+    assert order == want
+
+
 def test_point_lookup_plan(spark, laid):
     asked = spark.createDataFrame([(1, 300), (2, 333), (3, 301), (4, None)], "request_id int, key long")
     df = lookup.batch_lookup(laid, asked, "k", ["g"])
