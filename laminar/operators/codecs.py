@@ -253,7 +253,10 @@ def block_packed_bytes(rows: DataFrame, size: int, width: int) -> DataFrame:
 def patched(rows: DataFrame, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(base, exceptions) of each group: the least number of seven-bit groups that holds ``share`` of values less the
     minimum, and the rows that need more."""
-    base = rows.groupBy(GROUP).agg(F.min("v").alias("base"), F.count("*").alias("n"))
+    from laminar.sources.shared import materialize
+
+    # Written, so that the optimizer knows that it is small, a row a group, and need not shuffle the rows to meet it.
+    base = materialize(rows.groupBy(GROUP).agg(F.min("v").alias("base"), F.count("*").alias("n")), "base")
     sized = rows.join(base, GROUP).withColumn("bits", F.length(F.bin((F.col("v") - F.col("base")).cast("long"))))
     groups = sized.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("bits") / 7)).cast("int"))
     counts = groups.groupBy(GROUP, "n", "base", "k").agg(F.count("*").alias("c"))

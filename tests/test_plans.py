@@ -65,6 +65,12 @@ def test_layout_ships_no_checksum(spark, monkeypatch):
     assert order == want
 
 
+def test_patched_rows_stay(spark, laid):
+    """The rows meet their group's least value where they are."""
+    text = plan(codecs.patched(laid.df.select("stripe_id", "row_id", F.col("k").alias("v")))[0])
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_point_lookup_plan(spark, laid):
     asked = spark.createDataFrame([(1, 300), (2, 333), (3, 301), (4, None)], "request_id int, key long")
     df = lookup.batch_lookup(laid, asked, "k", ["g"])
