@@ -75,16 +75,22 @@ def project(batches: DataFrame, schema: T.StructType, columns: Sequence[str], na
     out = T.StructType([T.StructField(n, schema[c].dataType, True) for c, n in zip(columns, names or columns, strict=True)])
     wanted = to_arrow_schema(out)
 
+    return batches.select("data").mapInArrow(opener(columns, wanted, first, count), out)
+
+
+def opener(columns: list[str], wanted, first: int, count: int | None):
+    """What gives record batches of the wanted columns. Each stream is read where it lies, as the bytes of many come at once."""
+
     def run(parts):
         import pyarrow as pa
 
         for part in parts:
-            for data in part.column(0).to_pylist():
-                for own in pa.ipc.open_stream(data):
+            for data in part.column(0):
+                for own in pa.ipc.open_stream(data.as_buffer()):
                     kept = own.select(columns).slice(first, count)
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, wanted, strict=True)], schema=wanted)
 
-    return batches.select("data").mapInArrow(run, out)
+    return run
 
 
 def sizes(batches: DataFrame) -> DataFrame:

@@ -202,3 +202,23 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     out = spark.read.parquet(f"file://{tmp_path}/out/data")
     assert out.count() == 30 and out.agg(F.max("part")).first()[0] == 2
+
+
+def test_streams_are_read_in_place():
+    """Many serialized batches come at once; they are not copied before the first is opened."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.string())])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.record_batch([pa.array(range(20_000)), pa.array(["x" * 5] * 20_000)], schema=schema))
+    data = sink.getvalue().to_pybytes()
+    part = pa.record_batch([pa.array([data] * 60, pa.binary())], ["data"])
+    wanted = pa.schema([("b", pa.string())])
+    tracemalloc.start()
+    got = [x.num_rows for x in batches.opener(["b"], wanted, 5, 10)(iter([part]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [10] * 60 and peak < len(data) * 10
