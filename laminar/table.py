@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.sources.shared import CODEC, materialize, scratch
+from laminar.sources.shared import materialize, scratch
 
 _PLACE = 33  # bits of the place within a range
 #: Bytes of Parquet that a range is made of, so that it is sorted in memory; a range's rows take several times as many.
 RANGE_BYTES = 32 << 20
+#: Of what is laid out: takes a third less than the session's default.
+CODEC = "zstd"
 
 
 class ColTable:
